@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import round_doubles
 from ..operators import risk
-from ..operators.layout import POS, block_window, by_position, cut_blocks, date_chunk, drop_halo, index_rows, previous
+from ..operators.layout import BLK, POS, block_window, by_position, drop_halo, plain
 from ..sources.tables import daily_bars, daily_covariate
 from .sqlparts import (
     BARS, COVARIATE, RETURNS, RISK_COLUMNS, YEAR, frame, query, risk_ctes, rounded, whole,
@@ -20,22 +20,22 @@ def daily_returns(bars: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Simple returns of the close, first row 0."""
     rows = by_position(bars, keys, halo=1)
     step = F.col("close") / F.lag("close").over(block_window(keys)) - 1.0
-    return drop_halo(rows.withColumn("ret", F.coalesce(step, F.lit(0.0)))).drop(POS)
+    return drop_halo(rows.withColumn("ret", F.coalesce(step, F.lit(0.0))))
 
 
 def returns(spark, sf):
-    return daily_returns(daily_bars(spark, sf)).select("series_id", "date", "ret")
+    return daily_returns(daily_bars(spark, sf)).select("series_id", "date", "ret", POS, BLK)
 
 
 def with_benchmark(spark, sf):
     """Series returns beside the covariate's own returns, inner join on the date."""
     market = daily_covariate(spark, sf, "close").withColumn("market", F.lit("all"))
     market = daily_returns(market, ["market"]).select("date", F.col("ret").alias("bench"))
-    return returns(spark, sf).join(market, "date")
+    return plain(returns(spark, sf)).join(market, "date")
 
 
 def q_bars(spark, sf):
-    return round_doubles(daily_bars(spark, sf), 6)
+    return round_doubles(plain(daily_bars(spark, sf)))
 
 
 def q_risk_report(spark, sf):

@@ -103,3 +103,8 @@ def round_doubles(df: DataFrame, digits: int = 6, **special: int) -> DataFrame:
         c = F.col(name)
         out.append(F.round(c, special.get(name, digits)).alias(name) if kind == "double" else c)
     return df.select(*out)
+
+
+def attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Put the columns of a global aggregate, always exactly one row, beside every row."""
+    return df.join(F.broadcast(one_row), F.lit(True))

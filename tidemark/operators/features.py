@@ -213,25 +213,26 @@ def hurst(price: Column, n: int, w) -> Column:
     return reduce(lambda a, b: a + b, [y * ((x - mean_x) / sxx) for x, y in zip(xs, logs)])
 
 
-def entropy_of(values: Column, bins: int) -> Column:
-    """Entropy (natural log) of an equal-width histogram of an array.
+def bin_index(values: Column, low: Column, high: Column, bins: int) -> Column:
+    """Equal-width bin of every array element; both edges belong to the histogram.
 
-    Both edges belong to the histogram; an array of one single value falls into
-    the middle of a range of width 1.
+    One single value falls into the middle of a range of width 1.
     """
-    low, high = F.array_min(values), F.array_max(values)
     flat = low == high
     start = F.when(flat, low - 0.5).otherwise(low)
     width = F.when(flat, F.lit(1.0)).otherwise(high - low)
-    index = F.transform(values, lambda v: F.least(F.floor((v - start) / width * bins), F.lit(bins - 1)))
-    total = F.size(values) + EPS
-    terms = F.transform(
-        F.sequence(F.lit(0), F.lit(bins - 1)),
-        lambda b: F.size(F.filter(index, lambda i: i == b)) / total,
-    )
-    return F.aggregate(
-        terms, F.lit(0.0), lambda acc, p: acc - F.when(p > 0, p * F.log(p)).otherwise(0.0)
-    )
+    return F.transform(values, lambda v: F.least(F.floor((v - start) / width * bins), F.lit(bins - 1)))
+
+
+def entropy_of_bins(index: Column, bins: int) -> Column:
+    """Entropy (natural log) of an array of bin numbers."""
+    def share(b: int) -> Column:
+        return F.size(F.filter(index, lambda i: i == b)) / (F.size(index) + EPS)
+
+    def term(p: Column) -> Column:
+        return F.when(p > 0, -p * F.log(p)).otherwise(0.0)
+
+    return reduce(lambda a, b: a + b, [term(share(b)) for b in range(bins)])
 
 
 def add_complexity(df: DataFrame) -> DataFrame:
@@ -251,17 +252,20 @@ def add_complexity(df: DataFrame) -> DataFrame:
             "skewness": sample_skew(lr, 21, w),
             "kurtosis": sample_kurtosis(lr, 21, w),
             "_bag": F.when(F.count(lr).over(recent) == 63, F.collect_list(lr).over(recent)),
+            "_least": F.min(lr).over(recent),
+            "_most": F.max(lr).over(recent),
         }
     )
+    df = df.withColumn("_bins", bin_index(F.col("_bag"), F.col("_least"), F.col("_most"), 10))
     return df.withColumns(
         {
             "z_score_ret": (lr - F.col("_mean")) / (F.col("_std") + EPS),
             "sharpe_ratio": F.col("_mean") / (F.col("_std") + EPS) * YEAR_ROOT,
             "sortino_ratio": F.col("_mean") / (F.col("_dstd") + EPS) * YEAR_ROOT,
             "hurst_exponent": F.when(F.col(POS) >= 125, hurst(c, 126, w)),
-            "entropy": F.when(F.col("_bag").isNotNull(), entropy_of(F.col("_bag"), 10)),
+            "entropy": F.when(F.col("_bins").isNotNull(), entropy_of_bins(F.col("_bins"), 10)),
         }
-    ).drop("_mean", "_std", "_dstd", "_bag", *[f"_d_{k}" for k in (2, 4, 8, 16)], *spans)
+    ).drop("_mean", "_std", "_dstd", "_bag", "_bins", "_least", "_most", *[f"_d_{k}" for k in (2, 4, 8, 16)], *spans)
 
 
 FAMILIES = {
@@ -300,7 +304,7 @@ def covariate_returns(covariates: DataFrame, name: str = "name", value: str = "c
     The reference point of a log return is the series' own previous row. All
     series are pivoted at once instead of chained outer joins.
     """
-    rows = by_position(covariates.select(name, "date", value), [name])
+    rows = by_position(covariates.select(name, "date", value), [name], halo=1)
     w = block_window([name])
     rows = drop_halo(rows.withColumn("_r", F.log(F.col(value) / F.lag(value).over(w))))
     # the covariate names are a short list, so they are read to name the columns

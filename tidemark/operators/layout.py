@@ -50,8 +50,14 @@ def index_rows(df: DataFrame, keys: list[str], order: list[str], chunk: Column)
     )
 
 
+def located(df: DataFrame, keys: list[str], date: str = "date") -> DataFrame:
+    """Rows with ``_pos``; numbered here only if they do not carry it yet."""
+    return df if POS in df.columns else index_rows(df, keys, [date], date_chunk(date))
+
+
 def cut_blocks(df: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
-    return df.withColumn(BLK, F.floor(F.col(POS) / block))
+    """Rows with ``_blk``; a block kept from an earlier step is used as it is."""
+    return df if BLK in df.columns else df.withColumn(BLK, F.floor(F.col(POS) / block))
 
 
 def with_halo(df: DataFrame, block: int = BLOCK_ROWS, halo: int = HALO_ROWS) -> DataFrame:
@@ -65,7 +71,14 @@ def with_halo(df: DataFrame, block: int = BLOCK_ROWS, halo: int = HALO_ROWS) ->
 
 
 def drop_halo(df: DataFrame) -> DataFrame:
-    return df.filter(OWN).drop(OWN, BLK)
+    """Only the rows a block owns. ``_pos`` and ``_blk`` stay, and with them the
+    partitioning, so that later windows on (key, block) need no exchange."""
+    return df.filter(OWN).drop(OWN)
+
+
+def plain(df: DataFrame) -> DataFrame:
+    """Without the layout columns."""
+    return df.drop(POS, BLK)
 
 
 def block_window(keys: list[str]):
@@ -74,7 +87,7 @@ def block_window(keys: list[str]):
 
 def by_position(df: DataFrame, keys: list[str], date: str = "date", **halo: int) -> DataFrame:
     """Positions, blocks and halos for rows ordered by a date column."""
-    return with_halo(index_rows(df, keys, [date], date_chunk(date)), **halo)
+    return with_halo(located(df, keys, date), **halo)
 
 
 # name -> (aggregate, how a block's carry and its local value combine)
@@ -115,26 +128,25 @@ def running(df: DataFrame, keys: list[str], outputs: dict[str, tuple[str, str]])
     return df.withColumns(local).join(carry, [*keys, BLK]).withColumns(merged).drop(*carries)
 
 
-def previous(df: DataFrame, keys: list[str], outputs: dict[str, tuple[str, object]]) -> DataFrame:
-    """Lag by one row along ``_pos`` across block borders.
+def previous(df: DataFrame, keys: list[str], outputs: dict[str, str]) -> DataFrame:
+    """Value of the row before along ``_pos``, NULL on a key's first row.
 
-    ``outputs`` maps a new column to ``(input column, default for the first row)``.
+    Also right where rows were filtered out, even whole blocks: each block gets
+    the last values of the nearest earlier block that has rows. ``outputs`` maps
+    a new column to its input.
     """
     w = block_window(keys)
     before = Window.partitionBy(*keys).orderBy(BLK)
-    tails = df.groupBy(*keys, BLK).agg(*[F.max_by(src, POS).alias(f"_t_{o}") for o, (src, _) in outputs.items()])
-    tails = tails.select(
-        *keys, BLK, *[F.lag(f"_t_{o}").over(before).alias(f"_c_{o}") for o in outputs]
+    tail = {o: F.lag(f"_t_{o}").over(before).alias(f"_c_{o}") for o in outputs}
+    tails = (
+        df.groupBy(*keys, BLK)
+        .agg(*[F.max_by(src, POS).alias(f"_t_{o}") for o, src in outputs.items()])
+        .select(*keys, BLK, *tail.values())
+    )
+    lagged = df.withColumn("_first", F.row_number().over(w) == 1).withColumns(
+        {o: F.lag(src).over(w) for o, src in outputs.items()}
     )
-    first_in_block = F.row_number().over(w) == 1
-    cols = {}
-    for out, (src, default) in outputs.items():
-        start = F.when(F.col(POS) == 0, F.lit(default)).otherwise(F.col(f"_c_{out}"))
-        cols[out] = F.when(F.col("_first"), start).otherwise(F.col(out))
-    lagged = df.withColumns({o: F.lag(src).over(w) for o, (src, _) in outputs.items()})
+    cols = {o: F.when(F.col("_first"), F.col(f"_c_{o}")).otherwise(F.col(o)) for o in outputs}
     return (
-        lagged.withColumn("_first", first_in_block)
-        .join(tails, [*keys, BLK])
-        .withColumns(cols)
-        .drop("_first", *[f"_c_{o}" for o in outputs])
+        lagged.join(tails, [*keys, BLK]).withColumns(cols).drop("_first", *[f"_c_{o}" for o in outputs])
     )

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import TINY, TRADING_DAYS, full
-from .layout import BLK, POS, block_window, cut_blocks, date_chunk, drop_halo, index_rows, by_position
+from ..session import stage
+from .layout import BLK, POS, block_window, by_position, cut_blocks, drop_halo, located, plain
 from .orderstats import linear, lower_rank, pick_ranks
 
 YEAR_ROOT = TRADING_DAYS**0.5
@@ -101,7 +102,7 @@ def wealth_path(df: DataFrame, keys: list[str], ret: str = "ret", eps: float = 1
 
 def drawdown_path(df: DataFrame, keys: list[str], ret: str = "ret", date: str = "date") -> DataFrame:
     """Wealth, peak and drawdown of every row, ordered by ``date``."""
-    return wealth_path(cut_blocks(index_rows(df, keys, [date], date_chunk(date))), keys, ret)
+    return wealth_path(cut_blocks(located(df, keys, date)), keys, ret)
 
 
 def longest_run(df: DataFrame, keys: list[str], flag: Column, out: str) -> DataFrame:
@@ -194,11 +195,14 @@ def risk_report(
     """All risk metrics, one row per key.
 
     ``keys`` is free: series, strategy, regime, split. Rows with a NULL return
-    are left out. ``benchmark`` names a return column and adds Beta.
+    are left out; rows that carry ``_pos`` must be numbered without gaps per key.
+    ``benchmark`` names a return column and adds Beta.
     """
     need = [*keys, date, ret] + ([benchmark] if benchmark else [])
+    need += [c for c in (POS, BLK) if c in df.columns]
     rows = df.select(*need).filter(F.col(ret).isNotNull())
-    path = drawdown_path(rows, keys, ret, date)
+    # five reports read the path, so it is staged instead of computed five times
+    path = stage(drawdown_path(rows, keys, ret, date))
     r, dd = F.col(ret), F.col("drawdown")
     metrics = [
         cagr(r).alias("CAGR"),
@@ -219,8 +223,8 @@ def risk_report(
     report = (
         base.withColumn("Calmar_Ratio", calmar)
         .join(longest_run(path, keys, dd < 0, "Drawdown_Duration_Days"), keys)
-        .join(tail_losses(rows, keys, ret), keys)
-        .join(worst_month(rows, keys, ret, date), keys)
+        .join(tail_losses(path, keys, ret), keys)
+        .join(worst_month(path, keys, ret, date), keys)
     )
     order = [
         "CAGR", "Annualized_Volatility", "Sharpe_Ratio", "Sortino_Ratio", "Calmar_Ratio",
@@ -269,7 +273,7 @@ def rolling_risk(
     }
     if benchmark:
         cols[f"rolling_beta_{n}d"] = rolling_beta(r, F.col(benchmark), n, w)
-    return drop_halo(rows.withColumns(cols)).drop(POS)
+    return plain(drop_halo(rows.withColumns(cols)))
 
 
 def rolling_drawdown(df: DataFrame, keys: list[str], ret: str = "ret", n: int = 252, date: str = "date") -> DataFrame:
@@ -283,4 +287,4 @@ def rolling_drawdown(df: DataFrame, keys: list[str], ret: str = "ret", n: int =
     rows = rows.withColumn("_w", wealth)
     peak = F.max("_w").over(w.rowsBetween(-(n - 1), 0))
     out = rows.withColumn(f"rolling_drawdown_{n}d", (F.col("_w") - peak) / (peak + 1e-15))
-    return drop_halo(out).drop("_w", POS)
+    return plain(drop_halo(out)).drop("_w")

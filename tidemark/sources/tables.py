@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.layout import date_chunk, index_rows
 from ..session import stage
 
 
@@ -22,7 +23,8 @@ def daily_bars(spark: SparkSession, folder: str) -> DataFrame:
     """Daily bars per return flag: one partial aggregation over the line items.
 
     Staged, because every later operator reads the bars in several branches and
-    the raw scan must not be repeated.
+    the raw scan must not be repeated. The second, bar-level stage carries the
+    row positions ``_pos`` that all windows use.
     """
     price = F.col("l_extendedprice")
     rows = table(spark, folder, "lineitem").select(
@@ -31,7 +33,7 @@ def daily_bars(spark: SparkSession, folder: str) -> DataFrame:
         "l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity",
     )
     first = F.struct("l_orderkey", "l_linenumber", "l_extendedprice")
-    return stage(
+    bars = stage(
         rows.groupBy("series_id", "date").agg(
             F.min_by(price, first).alias("open"),
             F.max(price).alias("high"),
@@ -40,6 +42,7 @@ def daily_bars(spark: SparkSession, folder: str) -> DataFrame:
             F.sum("l_quantity").alias("volume"),
         )
     )
+    return stage(index_rows(bars, ["series_id"], ["date"], date_chunk("date")))
 
 
 def daily_covariate(spark: SparkSession, folder: str, name: str = "vix_close") -> DataFrame:
