@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ["risk", "features", "ingest", "regimes", "strategies", "models"]
+AREAS = ["risk", "features", "ingest", "regimes", "strategies", "models", "resample"]
 
 
 def _collect(what: str) -> dict:
