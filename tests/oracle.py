@@ -1,6 +1,8 @@
 """Run catalog queries on Spark and their SQL on DuckDB, and compare the rows.
 
-Command line: ``python tests/oracle.py <sf folder> [name part ...]``.
+Command line: ``python tests/oracle.py <sf folder> [--blocks N] [name part ...]``.
+``--blocks N`` cuts series into blocks of N rows, so that small data crosses
+block borders too.
 """
 
 from __future__ import annotations
@@ -72,6 +74,12 @@ def main() -> None:
     from tidemark.session import local_session
 
     folder, *parts = sys.argv[1:]
+    if "--blocks" in parts:
+        from tidemark.operators import layout
+
+        at = parts.index("--blocks")
+        layout.BLOCK_ROWS = layout.HALO_ROWS = int(parts[at + 1])
+        del parts[at : at + 2]
     spark, con = local_session(), duck(folder)
     sqls = entry.oracle_sql()
     for name, fn in entry.queries().items():

@@ -13,7 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .layout import POS, block_window, BLK
+from . import layout
+from .layout import BLK, POS, block_window
 
 STRETCH = 128  # 0.8 ** -128 is about 2.5e12, still far from losing digits
 _REACH = 39.0  # e**-39 is below 1e-17
@@ -38,8 +39,13 @@ def add_ewm(
 
     The first position is that of the series' first non-null input (0 for
     prices, 1 for returns); rows before it stay NULL. Needs ``_pos``, ``_blk``
-    and, for spans up to 200, a halo of 4096 rows.
+    and a halo as long as the memory of the mean: 3,900 rows for a span of 200,
+    so that what lies before the halo weighs less than 1e-17.
     """
+    slowest = min(alpha for _, alpha, _ in outputs.values())
+    memory = math.ceil(_REACH / -math.log(1.0 - slowest))
+    if memory > layout.HALO_ROWS:
+        raise ValueError(f"the weighted mean remembers {memory} rows, the halo has {layout.HALO_ROWS}")
     part = [*keys, BLK]
     rows = df.withColumn("_st", F.floor(F.col(POS) / STRETCH)).withColumn("_j", F.col(POS) % STRETCH)
     inside = Window.partitionBy(*part, "_st").orderBy(POS).rowsBetween(Window.unboundedPreceding, 0)

@@ -55,13 +55,15 @@ def located(df: DataFrame, keys: list[str], date: str = "date") -> DataFrame:
     return df if POS in df.columns else index_rows(df, keys, [date], date_chunk(date))
 
 
-def cut_blocks(df: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
+def cut_blocks(df: DataFrame, block: int | None = None) -> DataFrame:
     """Rows with ``_blk``; a block kept from an earlier step is used as it is."""
+    block = block or BLOCK_ROWS
     return df if BLK in df.columns else df.withColumn(BLK, F.floor(F.col(POS) / block))
 
 
-def with_halo(df: DataFrame, block: int = BLOCK_ROWS, halo: int = HALO_ROWS) -> DataFrame:
+def with_halo(df: DataFrame, block: int | None = None, halo: int | None = None) -> DataFrame:
     """Add ``_blk`` and ``_own``; the last ``halo`` rows of a block also open the next."""
+    block, halo = block or BLOCK_ROWS, halo or HALO_ROWS
     if halo > block:
         raise ValueError("halo must not exceed the block")
     home = F.floor(F.col(POS) / block)
