@@ -31,8 +31,8 @@ def test_from_csv_to_reports(spark, raw_csv, tmp_path):
     clean = tables.read_parquet_table(spark, cleaned)
     assert clean.count() == 700 and clean.filter("vix_close IS NULL").isEmpty()
     selected = flows.build_features(spark, cleaned, out)
-    names = [f for f in selected if f in ("ret_21d", "vol_close_21d", "hl_range_pct", "rsi_14", "z_score_ret")]
-    assert 5 < len(selected) < 63 and len(names) >= 2
+    names = [f for f in selected if f in ("ret_10d", "vol_ratio_5_21", "z_score_ret", "stoch_d")]
+    assert 5 < len(selected) < 63 and len(names) >= 3
     k = flows.fit_regimes(spark, f"{out}/features.parquet", names, out, ks=[2], **FIT)
     flows.run_backtests(spark, f"{out}/labelled.parquet", names, out, k, n_paths=50, horizons=[5], first=300, step=150,
                         periods=[("spring", "2015-09-01", "2015-12-31")], **FIT)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,12 +20,21 @@ def variances(df: DataFrame, features: list[str], keys: list[str] = []) -> DataF
 def correlations(df: DataFrame, features: list[str], keys: list[str] = []) -> DataFrame:
     """Pearson correlations of complete rows, long form ``(keys, a, b, r)``, a before b.
 
-    Two passes: the means, then centred cross products, so that large levels
-    cost no digits. Each pass is one partial aggregation.
+    Without keys the ML library's matrix job does it, whatever the number of
+    features. Per key it takes two passes, each one partial aggregation: the
+    means, then centred cross products, so that large levels cost no digits.
     """
     rows = df.select(*keys, *features).dropna("any", subset=features)
+    if not keys:
+        vectors = VectorAssembler(inputCols=features, outputCol="_x").transform(rows)
+        matrix = Correlation.corr(vectors, "_x").first()[0].toArray()
+        cells = [
+            (a, b, None if matrix[i, j] != matrix[i, j] else float(matrix[i, j]))
+            for i, a in enumerate(features) for j, b in enumerate(features) if i < j
+        ]
+        return df.sparkSession.createDataFrame(cells, "a string, b string, r double")
     means = rows.groupBy(*keys).agg(*[F.avg(f).alias(f"_m_{f}") for f in features])
-    joined = rows.join(means, keys) if keys else attach(rows, means)
+    joined = rows.join(means, keys)
     d = {f: F.col(f) - F.col(f"_m_{f}") for f in features}
     squares = [F.sum(d[f] * d[f]).alias(f"_s_{f}") for f in features]
     pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1 :]]
