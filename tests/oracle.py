@@ -27,7 +27,7 @@ def duck(folder: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
-def canonical(df: pd.DataFrame) -> list[tuple]:
+def canonical(df: pd.DataFrame, cols: list[str]) -> list[tuple]:
     def cell(v):
         if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
             return "NULL"
@@ -41,32 +41,49 @@ def canonical(df: pd.DataFrame) -> list[tuple]:
             return repr(v + 0.0) if not v.is_integer() else repr(int(v))
         return str(v)
 
-    cols = sorted(df.columns)
     return sorted(tuple(cell(v) for v in row) for row in df[cols].astype(object).itertuples(index=False, name=None))
 
 
-def compare(left: pd.DataFrame, right: pd.DataFrame) -> str:
-    """'' when equal, else a short description of the first difference."""
+def compare(left: pd.DataFrame, right: pd.DataFrame, rel: float | None = None) -> str:
+    """'' when equal, else a short description of the first difference.
+
+    With ``rel`` numbers may differ by that share of their size, or by one unit
+    of their last rounded digit.
+    """
     if sorted(left.columns) != sorted(right.columns):
         return f"columns {sorted(left.columns)} != {sorted(right.columns)}"
     if len(left) != len(right):
         return f"rows {len(left)} != {len(right)}"
-    a, b = canonical(left), canonical(right)
-    bad = [(x, y) for x, y in zip(a, b) if x != y]
+    cols = sorted(left.columns)
+    if rel is not None:  # whole-valued columns first, so that both sides line up
+        cols = sorted(cols, key=lambda c: (pd.api.types.is_float_dtype(left[c]), c))
+    a, b = canonical(left, cols), canonical(right, cols)
+
+    def close(p: str, q: str) -> bool:
+        try:
+            x, y = float(p), float(q)
+        except ValueError:
+            return False
+        return abs(x - y) <= max(rel * max(abs(x), abs(y)), 1.1e-3 if abs(x) > 10 else 1.1e-6)
+
+    bad = [
+        (x, y) for x, y in zip(a, b)
+        if x != y and (rel is None or not all(p == q or close(p, q) for p, q in zip(x, y)))
+    ]
     if not bad:
         return ""
     x, y = bad[0]
-    cells = [(c, p, q) for c, p, q in zip(sorted(left.columns), x, y) if p != q]
+    cells = [(c, p, q) for c, p, q in zip(cols, x, y) if p != q]
     return f"{len(bad)} rows differ, first: {x[:3]} {cells[:6]}"
 
 
-def check(spark, con, folder, name, fn, sql) -> tuple[str, float]:
+def check(spark, con, folder, name, fn, sql, rel=None) -> tuple[str, float]:
     start = time.time()
     left = fn(spark, folder).toPandas()
     took = time.time() - start
     if sql is None:
         return ("" if len(left) else "no rows"), took
-    return compare(left, con.execute(sql).df()), took
+    return compare(left, con.execute(sql).df(), rel), took
 
 
 def main() -> None:

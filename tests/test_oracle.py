@@ -19,7 +19,7 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query(spark, con, name):
-    diff, _ = check(spark, con, FOLDER, name, catalog.queries()[name], SQL[name])
+    diff, _ = check(spark, con, FOLDER, name, catalog.queries()[name], SQL[name], rel=1e-9)
     assert diff == ""
 
 

@@ -13,6 +13,7 @@ from ..sources.tables import daily_bars, daily_covariate
 from .sqlparts import BARS, COVARIATE, LOGS, frame, query, rounded, whole
 
 AS_OF = "2001-06-30"
+PERIOD = ("1996-02-01", "1996-05-31")
 
 
 def raw_text(spark, sf):
@@ -71,7 +72,7 @@ def q_missing_cells(spark, sf):
 
 
 def q_between(spark, sf):
-    return round_doubles(plain(ingest.between_dates(daily_bars(spark, sf), "1996-02-01", "1996-05-31")))
+    return round_doubles(plain(ingest.between_dates(daily_bars(spark, sf, *PERIOD), *PERIOD)))
 
 
 def q_drop_policy(spark, sf):

@@ -402,34 +402,37 @@ def best_seed(params: DataFrame, keys: list[str]) -> DataFrame:
     ).select(*group, "_b.*")
 
 
-def gmm_fit(packed, models, keys, d, max_iter=100, tol=1e-3, size=PACK, lazy_rounds=3, kmeans_iter=6) -> DataFrame:
-    """Diagonal Gaussian mixtures, started from k-means."""
-    start = _restart(kmeans_fit(packed, models, keys, d, kmeans_iter, size=size, lazy_rounds=lazy_rounds))
-    return _fit("gmm", packed, start, keys, d, max_iter, tol, size, lazy_rounds)
+def gmm_fit(packed, models, keys, d, max_iter=100, tol=1e-3, size=PACK, lazy_rounds=3, kmeans_iter=6,
+            start=None) -> DataFrame:
+    """Diagonal Gaussian mixtures, started from k-means (``start``, or fitted here)."""
+    if start is None:
+        start = kmeans_fit(packed, models, keys, d, kmeans_iter, size=size, lazy_rounds=lazy_rounds)
+    return _fit("gmm", packed, _restart(start), keys, d, max_iter, tol, size, lazy_rounds)
 
 
 def hmm_fit(packed, models, keys, d, max_iter=100, tol=1e-3, size=PACK, lazy_rounds=2,
-            gmm_iter=9, kmeans_iter=6) -> DataFrame:
-    """Diagonal Gaussian HMMs by Baum-Welch, started from mixtures.
+            gmm_iter=9, kmeans_iter=6, start=None) -> DataFrame:
+    """Diagonal Gaussian HMMs by Baum-Welch, started from mixtures (``start``, or fitted here).
 
     Start probabilities are uniform, transitions uniform with a bias to stay.
     """
-    gmm = gmm_fit(packed, models, keys, d, gmm_iter, 1e-3, size, 3, kmeans_iter)
+    if start is None:
+        start = gmm_fit(packed, models, keys, d, gmm_iter, 1e-3, size, 3, kmeans_iter)
     k = F.col("k")
     even = F.array_repeat(1.0 / k, k)
     floor = F.transform("vars", lambda v: F.greatest(v, F.lit(MIN_COVAR)))
-    start = _restart(gmm).withColumns({"start": even, "vars": floor})
+    start = _restart(start).withColumns({"start": even, "vars": floor})
     return _fit("hmm", packed, start, keys, d, max_iter, tol, size, lazy_rounds)
 
 
-def msr_fit(packed, models, keys, max_iter=100, tol=1e-3, size=PACK, lazy_rounds=2) -> DataFrame:
+def msr_fit(packed, models, keys, max_iter=100, tol=1e-3, size=PACK, **start) -> DataFrame:
     """Switching mean and variance of one return column: an HMM with one feature.
 
     Returns are scaled to unit variance before packing by the caller
     (``standardize``), so the variance floor does not bind. Several seeds in the
     model table replace search replicates; ``best_seed`` picks one.
     """
-    return hmm_fit(packed, models, keys, 1, max_iter, tol, size, lazy_rounds)
+    return hmm_fit(packed, models, keys, 1, max_iter, tol, size, **start)
 
 
 # --- using the models -------------------------------------------------------

@@ -11,10 +11,15 @@ from pyspark.sql import functions as F
 from ..functions.columns import attach, finite
 
 
+def _long(df: DataFrame, features: list[str], keys: list[str]) -> DataFrame:
+    """(keys, feature, x): one aggregation then serves any number of features."""
+    cells = df.select(*keys, *[F.col(f).cast("double").alias(f) for f in features])
+    return cells.unpivot(keys, features, "feature", "x")
+
+
 def variances(df: DataFrame, features: list[str], keys: list[str] = []) -> DataFrame:
     """Sample variance per feature, long form ``(keys, feature, variance)``."""
-    wide = df.groupBy(*keys).agg(*[F.var_samp(f).alias(f) for f in features])
-    return wide.unpivot(keys, features, "feature", "variance")
+    return _long(df, features, keys).groupBy(*keys, "feature").agg(F.var_samp("x").alias("variance"))
 
 
 def correlations(df: DataFrame, features: list[str], keys: list[str] = []) -> DataFrame:
@@ -100,14 +105,8 @@ def scaler_table(df: DataFrame, features: list[str], keys: list[str] = []) -> Da
 
     Long form ``(keys, feature, mean, scale)``. NULL and infinite cells do not count.
     """
-    clean = df.select(*keys, *[finite(F.col(f).cast("double")).alias(f) for f in features])
-    stats = [
-        F.struct(
-            F.lit(f).alias("feature"), F.avg(f).alias("mean"), F.stddev_pop(f).alias("scale")
-        )
-        for f in features
-    ]
-    rows = clean.groupBy(*keys).agg(F.array(*stats).alias("_s")).select(*keys, F.inline("_s"))
+    cells = _long(df, features, keys).withColumn("x", finite(F.col("x")))
+    rows = cells.groupBy(*keys, "feature").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("scale"))
     return rows.withColumn("scale", F.when(F.col("scale") < 1e-10, 1.0).otherwise(F.col("scale")))
 
 
@@ -117,13 +116,16 @@ def standardize(df: DataFrame, scaler: DataFrame, features: list[str], keys: lis
     The parameters, one array pair per key, are joined on the keys; without keys
     they are a single row.
     """
-    wide = scaler.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("feature") == f, F.col("mean"))).alias(f"_m_{f}") for f in features],
-        *[F.max(F.when(F.col("feature") == f, F.col("scale"))).alias(f"_s_{f}") for f in features],
+    order = F.array_position(F.array(*[F.lit(f) for f in features]), F.col("feature"))
+    wide = scaler.filter(F.col("feature").isin(features)).groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct(order.alias("i"), "mean", "scale"))).alias("_p")
     )
     joined = df.join(wide, keys, "left") if keys else attach(df, wide)
-    scaled = {f: (finite(F.col(f).cast("double")) - F.col(f"_m_{f}")) / F.col(f"_s_{f}") for f in features}
-    return joined.withColumns(scaled).drop(*[f"_{p}_{f}" for f in features for p in "ms"])
+    scaled = {}
+    for i, f in enumerate(features):
+        p = F.col("_p")[i]
+        scaled[f] = (finite(F.col(f).cast("double")) - p["mean"]) / p["scale"]
+    return joined.withColumns(scaled).drop("_p")
 
 
 def principal_components(df: DataFrame, features: list[str], k: int = 2, keep: list[str] = []) -> DataFrame:

@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .layout import BLK, OWN, POS, index_rows, plain, with_halo
-from .layout import block_window
+from ..session import stage
+from .layout import BLK, OWN, POS, block_window, index_rows, with_halo
 
 REQUIRED = ["date", "open", "high", "low", "close", "volume"]
 RANGE_EPS = 1e-5
@@ -21,8 +21,14 @@ def missing_columns(df: DataFrame, covariate: bool = False) -> list[str]:
 
 
 def in_file_order(df: DataFrame, order: str | None = None) -> DataFrame:
-    """Add ``_row``, the order in which the rows arrived."""
-    return df.withColumn("_row", F.col(order) if order else F.monotonically_increasing_id())
+    """Add ``_row``, the order in which the rows arrived.
+
+    Without an order column the file order counts. It is staged, because a plan
+    that reads the rows twice must see the same numbers.
+    """
+    if order:
+        return df.withColumn("_row", F.col(order))
+    return stage(df.withColumn("_row", F.monotonically_increasing_id()))
 
 
 def _numbers(covariate: bool) -> list[str]:

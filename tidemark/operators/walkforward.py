@@ -14,9 +14,11 @@ from ..functions.columns import if_zero
 from ..session import stage
 from . import models as md
 from . import selection
-from .layout import BLK, POS, date_chunk, index_rows
+from .layout import BLK, POS, block_window, date_chunk, drop_halo, index_rows, with_halo
 from .packing import PACK, number_complete_rows, pack
-from .regimes import DEFAULT_LABEL, WARMUP, WARMUP_LABEL, assign_labels
+from .regimes import (
+    DEFAULT_LABEL, WARMUP, WARMUP_LABEL, adjusted_rand, assign_labels, mean_run_length,
+)
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -229,8 +231,6 @@ def _numbered(df: DataFrame, keys: list[str], price: str) -> DataFrame:
     rows = index_rows(df.drop(POS, BLK), keys, ["date"], date_chunk("date"))
     if "ret" in rows.columns:
         return stage(rows)
-    from .layout import block_window, drop_halo, with_halo
-
     w = block_window(keys)
     step = F.col(price) / F.lag(price).over(w) - 1.0
     return stage(drop_halo(with_halo(rows, halo=1).withColumn("ret", if_zero(step))).drop(BLK))
@@ -378,11 +378,11 @@ def model_sweep(
             F.coalesce("silhouette", F.lit(0.0)).alias("silhouette_score"), "avg_duration",
         )
 
-    from .regimes import mean_run_length
-
-    km = md.kmeans_fit(packed, models, keys, d)
-    gm = md.gmm_fit(packed, models, keys, d, **{k: v for k, v in fit.items() if k == "max_iter"})
-    hm = md.hmm_fit(packed, models, keys, d, **fit)
+    # each model starts from the one before, so the cheaper fits run once
+    rounds = {"max_iter": fit["max_iter"]} if "max_iter" in fit else {}
+    km = md.kmeans_fit(packed, models, keys, d, **rounds)
+    gm = md.gmm_fit(packed, models, keys, d, start=km, **rounds)
+    hm = md.hmm_fit(packed, models, keys, d, start=gm, **rounds)
     decoded = stage(md.hmm_decode(packed, hm, keys, d))
     final = hm.drop("log_likelihood").join(md.hmm_score(packed, hm, keys, d), "model_id")
     # positions serve as the order of the decoded rows
@@ -397,7 +397,7 @@ def model_sweep(
     if small:
         scaled = selection.standardize(rows, selection.scaler_table(rows, [ret], keys), [ret], keys)
         single = pack(scaled, keys, [ret], ret)
-        ms = md.msr_fit(single, stage(md.model_table(single, keys, small, seeds)), keys, **{k: v for k, v in fit.items() if k == "max_iter"})
+        ms = md.msr_fit(single, stage(md.model_table(single, keys, small, seeds)), keys, **fit)
         # likelihood of the unscaled returns: the scaling adds n * ln(scale)
         scale = rows.groupBy(*keys).agg(F.stddev_pop(ret).alias("_sd"))
         ms = ms.join(scale, keys).withColumn(
@@ -428,8 +428,6 @@ def seed_sensitivity(
     seeds: list[int] = [100, 2026, 999, 123, 777], **fit,
 ) -> DataFrame:
     """Mean adjusted Rand index of refits with other seeds against the base seed."""
-    from .regimes import adjusted_rand
-
     rows = number_complete_rows(df, keys, features)
     packed = pack(rows, keys, features)
     d = len(features)

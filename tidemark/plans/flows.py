@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import if_zero
 from ..operators import features as ft
 from ..operators import ingest, models, regimes, resample, risk, selection, strategies, validate, walkforward
-from ..operators.layout import POS, plain
+from ..operators.layout import POS, block_window, by_position, drop_halo, plain
 from ..operators.packing import number_complete_rows, pack
 from ..session import stage
 from ..sources.sinks import (
@@ -80,8 +80,6 @@ def build_features(
 
 def _with_returns(df: DataFrame) -> DataFrame:
     """Simple return of the raw close, first row 0."""
-    from ..operators.layout import block_window, by_position, drop_halo
-
     rows, w = by_position(df, KEYS, halo=1), block_window(KEYS)
     step = F.col("raw_close") / F.lag("raw_close").over(w) - 1.0
     return plain(drop_halo(rows.withColumn("ret", if_zero(step))))

@@ -19,15 +19,21 @@ def exact_mean(price) -> object:
     return cents / (F.count(F.lit(1)) * F.lit(100.0))
 
 
-def daily_bars(spark: SparkSession, folder: str) -> DataFrame:
+def daily_bars(spark: SparkSession, folder: str, start: str | None = None, end: str | None = None) -> DataFrame:
     """Daily bars per return flag: one partial aggregation over the line items.
 
     Staged, because every later operator reads the bars in several branches and
     the raw scan must not be repeated. The second, bar-level stage carries the
-    row positions ``_pos`` that all windows use.
+    row positions ``_pos`` that all windows use. ``start`` and ``end``, both
+    included, are compared with the raw timestamp, so the scan can skip row groups.
     """
-    price = F.col("l_extendedprice")
-    rows = table(spark, folder, "lineitem").select(
+    price, shipped = F.col("l_extendedprice"), F.col("l_shipdate")
+    raw = table(spark, folder, "lineitem")
+    if start:
+        raw = raw.filter(shipped >= F.lit(start).cast("timestamp_ntz"))
+    if end:
+        raw = raw.filter(shipped < F.date_add(F.lit(end).cast("date"), 1).cast("timestamp_ntz"))
+    rows = raw.select(
         F.col("l_returnflag").alias("series_id"),
         F.to_date("l_shipdate").alias("date"),
         "l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity",
