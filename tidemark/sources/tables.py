@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.layout import date_chunk, index_rows
@@ -13,10 +13,26 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def exact_mean(price) -> object:
+def whole_cents(price: Column) -> Column:
+    """Cents of a two-decimal price; ``floor`` stays in generated code, ``round`` does not."""
+    return F.floor(price * 100 + 0.5)
+
+
+def exact_mean(price: Column) -> Column:
     """Mean of two-decimal prices through whole cents: the same on every engine."""
-    cents = F.sum(F.round(price * 100).cast("long")).cast("double")
-    return cents / (F.count(F.lit(1)) * F.lit(100.0))
+    return F.sum(whole_cents(price)).cast("double") / (F.count(F.lit(1)) * F.lit(100.0))
+
+
+def arrival_key(order: str, line: str, price: Column) -> Column:
+    """Order number, line and cents as one decimal.
+
+    A struct would order the same way, but a decimal fits a hash aggregate's
+    buffer; with a struct Spark sorts the raw rows instead.
+    """
+    part = lambda c, digits: c.cast(f"decimal({digits},0)")
+    high = part(F.col(order), 19) * F.lit(10**13).cast("decimal(14,0)")
+    middle = part(F.col(line), 2) * F.lit(10**11).cast("decimal(12,0)")
+    return (high + middle + part(whole_cents(price), 11)).cast("decimal(38,0)")
 
 
 def daily_bars(spark: SparkSession, folder: str, start: str | None = None, end: str | None = None) -> DataFrame:
@@ -38,7 +54,7 @@ def daily_bars(spark: SparkSession, folder: str, start: str | None = None, end:
         F.to_date("l_shipdate").alias("date"),
         "l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity",
     )
-    first = F.struct("l_orderkey", "l_linenumber", "l_extendedprice")
+    first = arrival_key("l_orderkey", "l_linenumber", price)
     bars = stage(
         rows.groupBy("series_id", "date").agg(
             F.min_by(price, first).alias("open"),
