@@ -44,7 +44,7 @@ def event_states(spark, sf):
     """
     ids = F.array_position(F.array(*[F.lit(t) for t in EVENT_TYPES]), F.col("event_type")).cast("int") - 1
     ev = table(spark, sf, "events").select("user_id", "ts", "event_id", "event_type", ids.alias("state"))
-    hour = F.floor(F.unix_timestamp(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), "yyyy-MM-dd HH:mm:ss") / 3600)
+    hour = F.unix_date(F.to_date("ts")) * 24 + F.hour("ts")
     return stage(index_rows(ev, ["user_id"], ["ts", "event_id"], hour))
 
 
