@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import decontaminate, exact_dedup, substring_dedup
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op7_substring_dedup": substring_dedup.op7_substring_dedup,
 }
 
 ORACLES = {
     "op1_exact_dedup": exact_dedup.SQL,
+    "op3_decontaminate": decontaminate.SQL,
+    "op7_substring_dedup": substring_dedup.SQL,
 }
