@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, substring_dedup
+from . import decontaminate, exact_dedup, quality, substring_dedup, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op5_quality": quality.op5_quality,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
 }
 
+#: Trained models, files and the iterative search have no SQL; tests hold them against brute force.
 ORACLES = {
     "op1_exact_dedup": exact_dedup.SQL,
     "op3_decontaminate": decontaminate.SQL,
