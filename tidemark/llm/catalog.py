@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, quality, substring_dedup, toxicity
+from . import decontaminate, exact_dedup, quality, substring_dedup, token_files, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_quality": quality.op5_quality,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
+    "op8_token_files": token_files.op8_token_files,
 }
 
 #: Trained models, files and the iterative search have no SQL; tests hold them against brute force.
