@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, quality, substring_dedup, token_files, toxicity
+from . import decontaminate, exact_dedup, near_dedup, quality, substring_dedup, token_files, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op8_token_files": token_files.op8_token_files,
+    "op9_near_dedup": near_dedup.op9_near_dedup,
 }
 
 #: Trained models, files and the iterative search have no SQL; tests hold them against brute force.
@@ -18,4 +19,5 @@ ORACLES = {
     "op1_exact_dedup": exact_dedup.SQL,
     "op3_decontaminate": decontaminate.SQL,
     "op7_substring_dedup": substring_dedup.SQL,
+    "op9_near_dedup": near_dedup.SQL,
 }
