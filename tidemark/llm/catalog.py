@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, near_dedup, quality, substring_dedup, token_files, toxicity
+from . import decontaminate, exact_dedup, near_dedup, quality, sentencepiece_fst, substring_dedup, token_files, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_sentencepiece": sentencepiece_fst.op2_sentencepiece,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op5_quality": quality.op5_quality,
     "op6_toxicity": toxicity.op6_toxicity,
