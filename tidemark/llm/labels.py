@@ -34,7 +34,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_label: i
     y = y.filter(draw < share).dropDuplicates(["_id"])
     span = F.greatest(F.length("text") - chars, F.lit(0)) + 1
     place = (F.pmod(F.xxhash64(F.col("text")), F.lit(1 << 30)) % span + 1).cast("int")
-    rows = docs.select(F.col("doc_id").alias("_id"), "text").filter("text is not null").join(y, "_id")
+    # The drawn ids are as bounded as the sample, so they are sent to the documents, whose texts stay where they are.
+    rows = docs.select(F.col("doc_id").alias("_id"), "text").filter("text is not null").join(F.broadcast(y), "_id")
     rows = rows.select(F.col("_id").alias("doc_id"), "y", F.substring(F.col("text"), place, F.lit(chars)).alias("text"))
     return rows.toPandas().drop_duplicates("doc_id").sort_values("doc_id").reset_index(drop=True)
 
