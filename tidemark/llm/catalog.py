@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, near_dedup, quality, sentencepiece_fst, substring_dedup, token_files, toxicity
+from . import (
+    decontaminate, exact_dedup, language_id, license_scan, near_dedup, quality, sentencepiece_fst, substring_dedup, token_files, toxicity,
+)
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_sentencepiece": sentencepiece_fst.op2_sentencepiece,
     "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op4_language_id": language_id.op4_language_id,
     "op5_quality": quality.op5_quality,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op8_token_files": token_files.op8_token_files,
     "op9_near_dedup": near_dedup.op9_near_dedup,
+    "op10_license_scan": license_scan.op10_license_scan,
 }
 
 #: Trained models, files and the iterative search have no SQL; tests hold them against brute force.
