@@ -19,7 +19,7 @@ QUERIES = {
     "op10_license_scan": license_scan.op10_license_scan,
 }
 
-#: Trained models, files and the iterative search have no SQL; tests hold them against brute force.
+#: Trained models, binary files and the model of pieces have no SQL; tests hold them against brute force.
 ORACLES = {
     "op1_exact_dedup": exact_dedup.SQL,
     "op3_decontaminate": decontaminate.SQL,

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_of, documents, hash_words, mix, small_batches, space_words
+from .common import doc_of, documents, fresh, hash_words, mix, small_batches, space_words
 
 WINDOW = 35
 #: Words of the inner hash that chooses the task of a window.
@@ -253,14 +253,19 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """``docs`` with further columns _n_words, _n_removed, _kept: the words no repeated window covers, joined by one space."""
+    """``docs`` with three more columns, by default _n_words, _n_removed and _kept: the words no
+    repeated window covers, joined by one space."""
     spans = repeated_spans(docs, window, gram).select(
         F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), F.struct("start", "size").alias("_s")
     ).groupBy("_d", "_h").agg(F.collect_set("_s").alias("_spans"))
-    left = docs.withColumn("_hash", F.xxhash64("text"))
-    joined = left.join(spans, (left["_hash"] == spans["_h"]) & left["doc_id"].cast("long").eqNullSafe(spans["_d"]), "left").drop("_d", "_h", "_hash")
-    at, width = docs.columns.index("text"), len(docs.columns)
-    schema = docs.withColumns({"_n_words": F.lit(0).cast("long"), "_n_removed": F.lit(0).cast("long"), "_kept": F.lit("")}).schema
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    at, key = docs.columns.index("text"), names[docs.columns.index("doc_id")]
+    left = docs.toDF(*names)
+    left = left.withColumn("_hash", F.xxhash64(names[at]))
+    joined = left.join(spans, (left["_hash"] == spans["_h"]) & left[key].cast("long").eqNullSafe(spans["_d"]), "left").drop("_d", "_h", "_hash")
+    width = len(names)
+    made = {fresh(docs, "_n_words"): F.lit(0).cast("long"), fresh(docs, "_n_removed"): F.lit(0).cast("long"), fresh(docs, "_kept"): F.lit("")}
+    schema = docs.withColumns(made).schema
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
