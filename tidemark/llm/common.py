@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path, PurePosixPath
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,8 +24,28 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, once per application: a zip in the scratch folder, sent by Spark."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tidemark_shipped", False):
+        return
+    top = Path(__file__).resolve().parents[2]
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        for f in sorted((top / "tidemark").rglob("*.py")):
+            z.write(f, f.relative_to(top))
+    uri = scratch(spark, "code") + ".zip"
+    store, path = fs.FileSystem.from_uri(uri)
+    store.create_dir(str(PurePosixPath(path).parent))
+    with store.open_output_stream(path) as out:
+        out.write(packed.getvalue())
+    sc.addPyFile(uri)
+    sc._tidemark_shipped = True
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches of this session; plans read the setting when they run."""
+    """Bound the Arrow batches of this session; plans read the setting when they run. Workers get this package."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
