@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
@@ -27,34 +27,43 @@ def local_components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return nodes[other], nodes[label[other]]
 
 
-def _least(edges: DataFrame) -> DataFrame:
-    """Smallest neighbour of every first node, or the node itself; written, so that the
-    join with it exchanges both sides and a hub's edges can be split."""
-    return written(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "star-least")
+def apart(key: str) -> Column:
+    """The key of an aggregate, wrapped: a join on it exchanges both sides anew, so that the
+    rows of a hot key on the other side can be split over tasks."""
+    return F.element_at(F.array(key), 1)
+
+
+def _star(edges: DataFrame, bound: DataFrame) -> DataFrame:
+    """``edges`` (a, b) beside the smallest of a's neighbours in ``bound`` and a itself, as m."""
+    least = bound.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).select(apart("a").alias("k"), "m")
+    return edges.join(least, edges["a"] == least["k"]).drop("k")
 
 
 def _distinct(edges: DataFrame) -> DataFrame:
     return written(edges.filter("a <> b").distinct(), "star-edges")
 
 
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether every first node has one edge and is nobody's root."""
+    ends = edges.select(F.col("a").alias("n"), F.lit(1).alias("c"), F.lit(0).alias("r"))
+    ends = ends.unionByName(edges.select(F.col("b").alias("n"), F.lit(0).alias("c"), F.lit(1).alias("r")))
+    return ends.groupBy("n").agg(F.sum("c").alias("c"), F.max("r").alias("r")).filter("c > 1 or (c = 1 and r = 1)").isEmpty()
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b): the smallest node of its component.
 
     Large star: the larger neighbours of a node hang on its smallest neighbour;
     small star: so do the smaller ones and the node itself. Both keep the
-    components; when a round changes nothing all edges point at roots. Rounds
-    grow with the logarithm of the longest path.
+    components; the rounds end when all edges point at roots. Their number
+    grows with the logarithm of the longest path.
     """
-    edges = _distinct(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
-    mark = None
+    edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = both.join(_least(both), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = _distinct(large)
-        small = large.join(_least(large), "a")
-        small = small.select("m", F.explode(F.array("a", "b")).alias("a")).select("a", F.col("m").alias("b"))
+        large = _distinct(_star(both, both).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
+        small = _star(large, large).select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
         edges = _distinct(small)
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if now == mark:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        mark = now
+        if _all_stars(edges):
+            roots = edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)

@@ -35,14 +35,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import doc_of, documents, hash_words, mix, small_batches, space_words, translate, written
-from .components import connected, local_components
+from .components import apart, connected, local_components
 from .substring_dedup import _whole_parts as whole_parts
 from .substring_dedup import rolling
 from .token_files import ragged_take
 
 SIGNATURE, ORDERS, DEPTH, REGION = 128, 32, 8, 64
 #: Classes and shingles of a block of exact work, and hubs common to the blocks of a unit.
-BLOCK_CLASSES, BLOCK_SHINGLES, HUBS = 2000, 2_000_000, 16
+BLOCK_CLASSES, BLOCK_SHINGLES, HUBS = 1000, 2_000_000, 16
 
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 _SEEDS = np.random.default_rng(11).integers(1, 1 << 32, (3, SIGNATURE), dtype=np.uint32) | np.uint32(1)
@@ -271,18 +271,16 @@ def near_groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100,
     hub = F.floor(F.col("draw") / (1 << 20)) % F.greatest(F.floor(F.col("classes") / HUBS), F.lit(1)) == 0
     where = F.when((F.col("blocks") > 1) & hub, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(block))
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.xxhash64("text").alias("text_hash"), F.col("text").alias("text"))
-
-    def with_text(part: DataFrame) -> DataFrame:
-        on = part["rep"].eqNullSafe(texts["rep"]) & (part["text_hash"] == texts["text_hash"])
-        return part.join(texts, on).select(part["digest"], part["rep"], part["unit"], part["where"], texts["text"])
-
     placed = dealt.withColumn("where", where)
-    spread = with_text(placed).select("digest", "rep", "unit", "text", F.explode("where").alias("b"))
+    on = placed["rep"].eqNullSafe(texts["rep"]) & (placed["text_hash"] == texts["text_hash"])
+    # Written once: large units read their members' texts again, and no others.
+    found = written(placed.join(texts, on).select(placed["digest"], placed["rep"], placed["unit"], "where", texts["text"]), "near-texts")
+    spread = found.select("digest", "rep", "unit", "text", F.explode("where").alias("b"))
     links = written(_settle(spread.withColumn("part", F.xxhash64("unit", "b")), words, num, den), "near-exact")
     large = sizes.filter("blocks > 1")
     groups = links.join(large, "unit", "left_anti").select("digest", F.col("rep").alias("component"))
     if not large.isEmpty():
-        groups = groups.unionByName(_large_units(dealt, links, large, with_text, words, num, den, block_classes))
+        groups = groups.unionByName(_large_units(dealt, links, large, found, words, num, den, block_classes))
     named = written(
         classes.select("digest", "rep").join(groups, "digest", "left").select("digest", F.coalesce("component", "rep").alias("component")), "near-groups"
     )
@@ -291,7 +289,7 @@ def near_groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100,
     return out.unionByName(rows.filter("n_shingles = 0").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
-def _large_units(dealt, links, large, with_text, words, num, den, block_classes) -> DataFrame:
+def _large_units(dealt, links, large, texts, words, num, den, block_classes) -> DataFrame:
     """(digest, component) of the classes in units of several blocks."""
     inside = links.join(large, "unit", "left_semi").select(F.col("digest").alias("a"), F.col("head").alias("b"))
     stars = inside.filter("a <> b")
@@ -299,21 +297,22 @@ def _large_units(dealt, links, large, with_text, words, num, den, block_classes)
     grouped = written(
         here.join(connected(stars).withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest")), "near-grouped"
     )
-    by_root = written(grouped.groupBy("unit", "root").agg(F.count(F.lit(1)).alias("n")), "near-roots")
+    by_root = grouped.groupBy("unit", "root").agg(F.count(F.lit(1)).alias("n"))
     main = by_root.groupBy("unit").agg(F.max_by("root", "n").alias("main"), (F.sum("n") - F.max("n")).alias("others"))
     main = written(main.filter("others > 0").withColumn("tiles", F.ceil(F.col("others") / block_classes).cast("long")), "near-main")
     rest = grouped.join(main, "unit")
     outside = F.col("root") != F.col("main")
-    own = rest.select("digest", "rep", "text_hash", "unit", F.transform(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), lambda t: F.struct((F.col("draw") % F.col("blocks")).alias("b"), t.alias("t"))).alias("where"))
+    own = rest.select("digest", "rep", "unit", F.transform(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), lambda t: F.struct((F.col("draw") % F.col("blocks")).alias("b"), t.alias("t"))).alias("where"))
     tile = F.floor(F.col("draw") / (1 << 20)) % F.col("tiles")
-    away = rest.filter(outside).select("digest", "rep", "text_hash", "unit", F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda b: F.struct(b.alias("b"), tile.cast("long").alias("t"))).alias("where"))
-    spread = with_text(own.unionByName(away)).select("digest", "rep", "unit", "text", F.explode("where").alias("w"))
+    away = rest.filter(outside).select("digest", "rep", "unit", F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda b: F.struct(b.alias("b"), tile.cast("long").alias("t"))).alias("where"))
+    texts = texts.join(large.select("unit"), "unit", "left_semi").select("digest", "text")
+    spread = own.unionByName(away).join(texts, "digest").select("digest", "rep", "unit", "text", F.explode("where").alias("w"))
     more = written(_settle(spread.withColumn("part", F.xxhash64("unit", "w.b", "w.t")), words, num, den), "near-tiles")
     stars = stars.unionByName(more.select(F.col("digest").alias("a"), F.col("head").alias("b")).filter("a <> b"))
     final = here.select("digest", "rep").join(connected(stars).withColumnRenamed("node", "digest"), "digest", "left")
     final = written(final.withColumn("root", F.coalesce("root", "digest")), "near-final")
-    least = written(final.groupBy("root").agg(F.min("rep").alias("component")), "near-least")
-    return final.join(least, "root").select("digest", "component")
+    least = final.groupBy("root").agg(F.min("rep").alias("component")).select(apart("root").alias("r"), "component")
+    return final.join(least, final["root"] == least["r"]).select("digest", "component")
 
 
 def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
