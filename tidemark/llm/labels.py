@@ -41,8 +41,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_label: i
 
 
 def learnt_share(labels: DataFrame, label: str) -> float | None:
-    """Share of label 1 among all labelled rows outside the held-out fold."""
-    return labels.filter(~held_out(F.col("doc_id"))).agg(F.avg(F.col(label).cast("double")).alias("p")).first()["p"]
+    """Share of label 1 among all rows labelled 0 or 1 outside the held-out fold."""
+    rows = labels.filter(~held_out(F.col("doc_id"))).filter(F.col(label).cast("int").isin(0, 1))
+    return rows.agg(F.avg(F.col(label).cast("double")).alias("p")).first()["p"]
 
 
 def add_column(docs: DataFrame, name: str, kind: T.DataType, model, of: Callable, text: str = "text") -> tuple[DataFrame, str]:

@@ -51,7 +51,7 @@ from .common import documents, scratch, small_batches, space_words, written
 END_ID = 2
 SEGMENT_IDS = 32 << 20
 #: Distinct pieces a Python worker keeps encoded; the cache starts anew when it is full.
-CACHE_PIECES = 1_200_000
+CACHE_PIECES = 700_000
 MAGIC = b"TOKSEG01"
 SAMPLE = 64
 MANIFEST = "segment string, part int, number int, n_docs long, n_ids long"
