@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import doc_of, documents, fresh, small_batches, space_words, translate
+from .common import doc_of, documents, freeing, fresh, small_batches, space_words, translate
 
 WINDOW = 10
 #: Words of the items in one automaton; bounds what is collected and broadcast at once.
@@ -205,7 +205,7 @@ def _through(docs: DataFrame, automaton, at: int, schema: T.StructType, more: bo
             made = [pa.array(n, pa.int64()), pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([*columns[: width - 3], *made], names=[f.name for f in schema.fields])
 
-    return docs.mapInArrow(scan, schema)
+    return docs.mapInArrow(freeing(scan), schema)
 
 
 def remove_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, held_out
+from .common import freeing, fresh, held_out
 
 
 def labels_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,4 +56,4 @@ def add_column(docs: DataFrame, name: str, kind: T.DataType, model, of: Callable
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, of(sent.value, batch.column(at).cast(pa.string()))], names=[f.name for f in schema.fields])
 
-    return docs.mapInArrow(scan, schema), name
+    return docs.mapInArrow(freeing(scan), schema), name

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_of, documents, hash_words, mix, small_batches, space_words, translate, written
+from .common import doc_of, documents, freeing, hash_words, mix, small_batches, space_words, translate, written
 from .components import apart, connected, local_components
 from .substring_dedup import _whole_parts as whole_parts
 from .substring_dedup import rolling
@@ -110,7 +110,7 @@ def sketch(docs: DataFrame, words: int) -> DataFrame:
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, digest binary, signature binary")
+    return rows.mapInArrow(freeing(run), "doc_id long, text_hash long, n_shingles long, digest binary, signature binary")
 
 
 def depths(threshold: float) -> tuple[int, int]:
@@ -163,7 +163,7 @@ def candidate_links(classes: DataFrame, threshold: float) -> DataFrame:
 
     rows = classes.select(F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long").alias("node"), "signature")
     sorted_rows = rows.mapInArrow(orders, "key binary, node long").repartitionByRange("key", "node").sortWithinPartitions("key", "node")
-    found = written(sorted_rows.mapInArrow(neighbours, "a long, b long, key binary"), "near-links")
+    found = written(sorted_rows.mapInArrow(freeing(neighbours), "a long, b long, key binary"), "near-links")
     # First and last row of each range partition, two per task: neighbours across the cuts.
     cuts = found.filter("key is not null").select("key", F.col("a").alias("node")).orderBy("key", "node").toArrow()
     links = found.filter("key is null").select("a", "b")
@@ -245,7 +245,7 @@ def _exact(words: int, num: int, den: int):
 def _settle(rows: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """Exact links of rows (part, digest, rep, text, unit), part by part."""
     dealt = rows.select("part", "digest", "rep", "text", "unit").repartition("part").sortWithinPartitions("part")
-    return dealt.mapInArrow(_exact(words, num, den), "digest binary, head binary, rep long, unit long")
+    return dealt.mapInArrow(freeing(_exact(words, num, den)), "digest binary, head binary, rep long, unit long")
 
 
 def near_groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, block_classes: int = BLOCK_CLASSES) -> DataFrame:

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, fresh, small_batches
+from .common import documents, freeing, fresh, small_batches
 from .token_files import ragged_take
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -261,7 +261,7 @@ class SentencePiece:
             [bytes([int(p[3:5], 16)]) if k == BYTE else surface.get(k, p.replace(MARK, " ").encode()) for p, k in zip(self.model.pieces, self.model.kinds)],
             pa.binary(),
         )
-        self._forget()
+        self.forget()
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of one text: normalise, compose, shortest path."""
@@ -270,7 +270,8 @@ class SentencePiece:
     def decode(self, ids: list[int]) -> str:
         return self.decode_batch(np.array(ids, np.int64), np.array([0, len(ids)]))[0]
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
+        """Empty the cache of chunks; a task does so at its end."""
         self.known: dict[str, int] = {}
         self.values, self.ends, self.used = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), 0
 
@@ -303,7 +304,7 @@ class SentencePiece:
         lists = pc.split_pattern(plain, " ")
         words = lists.flatten().dictionary_encode()
         if len(self.known) + len(words.dictionary) > CACHE_CHUNKS:
-            self._forget()
+            self.forget()
         at = self._numbers([MARK + w for w in words.dictionary.to_pylist()])
         ids, offsets = ragged_take(self.values, self.ends, at[np.asarray(words.indices).astype(np.int64)] if len(words) else at)
         ends = np.asarray(lists.offsets).astype(np.int64)
@@ -354,8 +355,9 @@ def encode_column(docs: DataFrame, model: str = MODEL, text: str = "text") -> tu
             back = pa.array(coder.decode_batch(found, offsets), pa.string())
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(found, pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists, back], names=[f.name for f in schema.fields])
+        coder.forget()
 
-    return docs.mapInArrow(run, schema), ids, decoded
+    return docs.mapInArrow(freeing(run), schema), ids, decoded
 
 
 def id_digests(docs: DataFrame, model: str = MODEL) -> DataFrame:
@@ -372,8 +374,9 @@ def id_digests(docs: DataFrame, model: str = MODEL) -> DataFrame:
             crc = [zlib.crc32(raw[a:b].tobytes()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
             back = pa.array(coder.decode_batch(found, offsets), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(crc, pa.int64()), texts, back], names=kind.names)
+        coder.forget()
 
-    found = docs.select("doc_id", "text").mapInArrow(run, kind)
+    found = docs.select("doc_id", "text").mapInArrow(freeing(run), kind)
     same = F.coalesce(F.col("text"), F.lit("")) == F.col("decoded")
     return found.select("doc_id", "n_tokens", "ids_crc32", F.sha2("decoded", 256).alias("decoded_sha256"), same.alias("round_trip"))
 
