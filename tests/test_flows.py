@@ -33,8 +33,8 @@ def test_from_csv_to_reports(spark, raw_csv, tmp_path):
     selected = flows.build_features(spark, cleaned, out)
     names = [f for f in selected if f in ("ret_10d", "vol_ratio_5_21", "z_score_ret", "stoch_d")]
     assert 5 < len(selected) < 63 and len(names) >= 3
-    k = flows.fit_regimes(spark, f"{out}/features.parquet", names, out, ks=[2], **FIT)
-    flows.run_backtests(spark, f"{out}/labelled.parquet", names, out, k, n_paths=50, horizons=[5], first=300, step=150,
+    flows.fit_regimes(spark, f"{out}/features.parquet", names, out, ks=[2], **FIT)
+    flows.run_backtests(spark, f"{out}/labelled.parquet", names, out, n_paths=50, horizons=[5], first=300, step=150,
                         periods=[("spring", "2015-09-01", "2015-12-31")], **FIT)
     flows.validate_out_of_sample(
         spark, f"{out}/features_raw.parquet", names, out,
@@ -43,7 +43,7 @@ def test_from_csv_to_reports(spark, raw_csv, tmp_path):
     for name in ("validation_report.json", "dataset_metadata.json", "feature_metadata.json", "model_comparison.csv",
                  "regime_summary.csv", "transition_matrix.csv", "selected_model_report.json", "risk_report.csv", "regime_risk.csv",
                  "backtest_summary.csv", "monthly_heatmap.csv", "rebalance_log.csv", "stress_report.csv",
-                 "monte_carlo_summary.csv", "oos_degradation_report.csv", "walk_forward_summary.csv"):
+                 "bootstrap_summary.csv", "oos_degradation_report.csv", "walk_forward_summary.csv"):
         assert tables.read_report(spark, f"{out}/missing_{name}", f"{out}/{name}").count() > 0, name
     for name in ("equity_curves.parquet", "rolling_metrics.parquet", "labelled.parquet", "walk_forward_curves.parquet"):
         assert tables.read_parquet_table(spark, f"{out}/{name}").count() > 0, name

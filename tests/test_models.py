@@ -159,7 +159,9 @@ def test_silhouettes(data):
 
     d2 = ((x[:, None] - x[None]) ** 2).sum(2)
     assert md.silhouette_squared(one, KEYS, "truth", FEATS).first()["silhouette"] == pytest.approx(brute(d2))
-    assert md.silhouette_sampled(one, "truth", FEATS, "_pos") == pytest.approx(brute(np.sqrt(d2)))
+    arrays = one.select("series_id", "truth", F.array(*FEATS).alias("x"))
+    assert md.silhouette_squared(arrays, KEYS, "truth", "x").first()["silhouette"] == pytest.approx(brute(d2))
+    assert md.silhouette_squared(arrays, [], "truth", "x").first()["silhouette"] == pytest.approx(brute(d2))
 
 
 def test_tables_and_storage(data, hmm, tmp_path, spark):

@@ -54,17 +54,6 @@ def test_path_statistics(spark):
     assert r["best_5pct_return"] == pytest.approx(np.percentile(np.arange(-0.5, 0.45, 0.1), 95))
 
 
-def test_state_walk_follows_the_matrix(spark, pools):
-    m = spark.createDataFrame([("a", 0, 0, 0.0), ("a", 0, 1, 1.0), ("a", 1, 0, 1.0), ("a", 1, 1, 0.0)], "series_id string, from_state int, to_state int, p double")
-    start = spark.createDataFrame([("a", 0)], "series_id string, start_state int")
-    heads = rs.cumulative_rows(m, KEYS).join(start, KEYS).withColumn("horizon", F.lit(6))
-    walk = rs.state_walks(heads, KEYS, 3).orderBy("path", "step").toPandas()
-    assert walk.groupby("path").state.apply(list).tolist() == [[1, 0, 1, 0, 1, 0]] * 3
-    # a state without rows of its own draws from all rows
-    lonely = pools.filter("pool <> 1")
-    assert rs.markov_paths(lonely, m, start, KEYS, 5, [4]).count() == 25
-
-
 def test_stressed_matrix(spark):
     m = spark.createDataFrame([("a", 0, 0, 0.9), ("a", 0, 1, 0.1), ("a", 1, 0, 0.1), ("a", 1, 1, 0.9)], "series_id string, from_state int, to_state int, p double")
     pool = spark.createDataFrame([("a", -1, 0, 0.0), ("a", 0, 0, 0.01), ("a", 1, 0, -0.01)], "series_id string, pool int, idx long, r double")
@@ -85,11 +74,3 @@ def test_student_fit_of_few_rows(spark):
     few = spark.createDataFrame(pd.DataFrame({"series_id": "a", "pool": -1, "idx": [0, 1, 2], "r": [0.01, 0.02, 0.03]}))
     r = rs.student_t_fit(few, KEYS).first()
     assert (r["nu"], r["loc"]) == (3.0, pytest.approx(0.02)) and r["scale"] == pytest.approx(np.std([0.01, 0.02, 0.03]) + 1e-5)
-
-
-def test_student_draws(pools):
-    fits = rs.student_t_fit(pools, KEYS)
-    p = rs.bootstrap_paths(pools, KEYS, 2000, [1], fits=fits).filter("step = 1").toPandas().value - 1
-    f = fits.filter("pool = -1").first()
-    assert np.median(p) == pytest.approx(f["loc"], abs=0.001)
-    assert np.percentile(np.abs(p - f["loc"]), 50) / f["scale"] == pytest.approx(0.74, abs=0.06)

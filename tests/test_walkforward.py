@@ -79,9 +79,20 @@ def test_future_does_not_reach_the_past(spark):
     assert a.regime_label[:420].tolist() == b.regime_label[:420].tolist()
 
 
-def test_too_short(spark):
-    with pytest.raises(ValueError):
-        wf.walk_forward_oos(frame(spark, raw(200)), FEATS, 3, KEYS, years=1)
+def test_a_short_series_keeps_its_warm_up_label(spark):
+    both = pd.concat([raw(300), raw(200).assign(series_id="b")])
+    out, folds = wf.walk_forward_oos(frame(spark, both), FEATS, 3, KEYS, years=1, months=2, **FIT)
+    pdf = out.toPandas()
+    assert (pdf[pdf.series_id == "b"].regime_label == "Warmup / Undefined").all() and (pdf.series_id == "b").sum() == 200
+    assert (pdf[pdf.series_id == "a"].regime_state >= 0).sum() == 48
+    assert {(r["series_id"], r["test_hi"] - r["test_lo"]) for r in folds.collect()} == {("a", 42), ("a", 6), ("b", 0)}
+
+
+def test_overlapping_splits_keep_all_their_rows(spark):
+    splits = {"train": ("2015-01-01", "2016-02-15"), "val": ("2016-01-01", "2016-03-31")}
+    rows, _ = wf.oos_partitions(frame(spark, raw()), FEATS, splits, 3, KEYS, **FIT)
+    counts = {r["split"]: r["count"] for r in rows.groupBy("split").count().collect()}
+    assert counts == {"train": 411, "val": 91} and rows.filter("regime_state < 0").count() <= 10
 
 
 def test_partitions(spark):

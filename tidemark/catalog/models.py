@@ -19,6 +19,8 @@ from .sqlparts import query
 from .strategies import SPLITS
 
 KEYS = ["series_id"]
+#: Rounds of the registered fits: a round is a job, and these queries are timed. The functions default to 100.
+FEW = {"max_iter": 4, "gmm_iter": 9, "kmeans_iter": 9}
 FEATS = ["ret_log", "vol_close_21d", "ret_21d", "hl_range_pct"]
 
 
@@ -43,24 +45,24 @@ def _fit(kind, ks=(3,), seeds=(42,), **options):
 
 
 def q_kmeans(spark, sf):
-    rows, packed, params = _fit("kmeans", seeds=(42, 7, 11), max_iter=9)(spark, sf)
+    rows, packed, params = _fit("kmeans", seeds=(42, 7, 11), max_iter=20)(spark, sf)
     best = md.best_seed(params, KEYS)
     out = md.kmeans_assign(packed, best, KEYS, len(FEATS)).join(best.select("model_id", *KEYS), "model_id")
     return out.groupBy(*KEYS, "state").agg(F.count(F.lit(1)).alias("n"), F.avg(F.array_max("proba")).alias("mean_share"))
 
 
 def q_gmm(spark, sf):
-    _, packed, params = _fit("gmm", max_iter=9)(spark, sf)
+    _, packed, params = _fit("gmm", max_iter=20, kmeans_iter=9)(spark, sf)
     return md.information_criteria(params, "gmm", len(FEATS)).drop("means", "vars", "start", "trans", "shift", "inv")
 
 
 def q_hmm(spark, sf):
-    _, packed, params = _fit("hmm", max_iter=6)(spark, sf)
+    _, packed, params = _fit("hmm", **FEW)(spark, sf)
     return md.emission_table(params, KEYS, FEATS)
 
 
 def q_hmm_states(spark, sf):
-    rows, packed, params = _fit("hmm", max_iter=4)(spark, sf)
+    rows, packed, params = _fit("hmm", **FEW)(spark, sf)
     states = md.hmm_decode(packed, params, KEYS, len(FEATS)).join(params.select("model_id", *KEYS), "model_id")
     placed = rows.withColumnRenamed(POS, "pos").join(states, [*KEYS, "pos"])
     placed = placed.select(*KEYS, "date", "ret", F.col("state").alias("regime_state"))
@@ -68,7 +70,7 @@ def q_hmm_states(spark, sf):
 
 
 def q_posterior(spark, sf):
-    _, packed, params = _fit("hmm", max_iter=4)(spark, sf)
+    _, packed, params = _fit("hmm", **FEW)(spark, sf)
     post = md.hmm_posterior(packed, params, KEYS, len(FEATS))
     total = F.aggregate("proba", F.lit(0.0), lambda a, x: a + x)
     return post.groupBy("model_id").agg(
@@ -77,25 +79,25 @@ def q_posterior(spark, sf):
 
 
 def q_sweep(spark, sf):
-    return wf.model_sweep(scaled_features(spark, sf), FEATS, KEYS, ks=[2, 3], max_iter=4)
+    return wf.model_sweep(scaled_features(spark, sf), FEATS, KEYS, **FEW)
 
 
 def q_best(spark, sf):
-    return wf.best_model(wf.model_sweep(scaled_features(spark, sf), FEATS, KEYS, ks=[2, 3], max_iter=2), KEYS)
+    return wf.best_model(wf.model_sweep(scaled_features(spark, sf), FEATS, KEYS, **FEW), KEYS)
 
 
 def q_seeds(spark, sf):
-    return wf.seed_sensitivity(scaled_features(spark, sf), FEATS, 3, KEYS, max_iter=3)
+    return wf.seed_sensitivity(scaled_features(spark, sf), FEATS, 3, KEYS, **FEW)
 
 
 def q_stability(spark, sf):
-    states, _ = wf.train_test_stability(scaled_features(spark, sf), FEATS, 3, KEYS, max_iter=4)
+    states, _ = wf.train_test_stability(scaled_features(spark, sf), FEATS, 3, KEYS, **FEW)
     return states
 
 
 def q_walk(spark, sf):
     df = scaled_features(spark, sf)
-    out = wf.walk_forward_regimes(df, FEATS, 3, KEYS, first=1260, step=252, max_iter=3)
+    out = wf.walk_forward_regimes(df, FEATS, 3, KEYS, first=1260, step=63, **FEW)
     rets = strategies.strategy_returns(stage(out), KEYS, "raw_close")
     return strategies.backtest_summary(rets, KEYS)
 
@@ -108,48 +110,40 @@ def _raw_features(spark, sf):
 
 
 def q_walk_oos(spark, sf):
-    out, _ = wf.walk_forward_oos(_raw_features(spark, sf), OOS_FEATS, 3, KEYS, years=4, months=12, max_iter=3)
+    out, _ = wf.walk_forward_oos(_raw_features(spark, sf), OOS_FEATS, 3, KEYS, years=4, months=6, **FEW)
     return strategies.backtest_summary(strategies.strategy_returns(stage(out), KEYS, "raw_close"), KEYS)
 
 
 def q_folds(spark, sf):
-    out, folds = wf.walk_forward_oos(_raw_features(spark, sf), OOS_FEATS, 3, KEYS, years=4, months=12, max_iter=1)
+    _, _, folds = wf.oos_folds(_raw_features(spark, sf), OOS_FEATS, KEYS, years=4, months=6)
     return folds.select(*KEYS, "fold", "train_hi", "test_lo", "test_hi", "lo", F.concat_ws(",", "selected").alias("selected"))
 
 
 def q_partitions(spark, sf):
-    out, _ = wf.oos_partitions(_raw_features(spark, sf), OOS_FEATS, SPLITS, 3, KEYS, max_iter=3)
+    out, _ = wf.oos_partitions(_raw_features(spark, sf), OOS_FEATS, SPLITS, 3, KEYS, **FEW)
     keys = [*KEYS, "split"]
     return strategies.backtest_summary(strategies.strategy_returns(stage(out), keys, "raw_close"), keys)
 
 
-def embeddings(spark, sf, d=8):
-    """Vectors with their first ``d`` coordinates as features; whole table."""
+def embeddings(spark, sf):
+    """Vectors, all coordinates as one array; whole table."""
     e = table(spark, sf, "embeddings")
-    return e.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(d)])
-
-
-E_FEATS = [f"e{i}" for i in range(8)]
+    return e.select("vec_id", "label", F.transform("embedding", lambda v: v.cast("double")).alias("x"))
 
 
 def q_embedding_kmeans(spark, sf):
     """One model over one large table: the ML library's k-means, compared with the labels."""
-    df = embeddings(spark, sf).withColumn("features", array_to_vector(F.array(*E_FEATS)))
-    fits = [KMeans(k=4, seed=s, maxIter=20).fit(df) for s in (42, 7)]
+    df = embeddings(spark, sf).withColumn("features", array_to_vector("x"))
+    fits = [KMeans(k=4, seed=s, maxIter=100).fit(df) for s in (42, 7)]
     best = min(fits, key=lambda m: m.summary.trainingCost)
     out = stage(best.transform(df).withColumnRenamed("prediction", "state").drop("features"))
     ari = rg.adjusted_rand(out, [], "state", "label")
-    sil = md.silhouette_squared(out, [], "state", E_FEATS)
+    sil = md.silhouette_squared(out, [], "state", "x")
     return ari.join(F.broadcast(sil), F.lit(True))
 
 
 def q_silhouette(spark, sf):
-    return round_doubles(md.silhouette_squared(stage(embeddings(spark, sf)), [], "label", E_FEATS))
-
-
-def q_silhouette_exact(spark, sf):
-    value = md.silhouette_sampled(stage(embeddings(spark, sf)), "label", E_FEATS, "vec_id")
-    return spark.createDataFrame([(round(value, 6),)], "silhouette double")
+    return round_doubles(md.silhouette_squared(embeddings(spark, sf), [], "label", "x"))
 
 
 QUERIES = {
@@ -168,10 +162,9 @@ QUERIES = {
     "oos_partition_backtests": q_partitions,
     "embedding_clusters": q_embedding_kmeans,
     "silhouette_squared": q_silhouette,
-    "silhouette_euclidean": q_silhouette_exact,
 }
 
-_vec = "v AS (SELECT vec_id, label, embedding[1:8]::DOUBLE[] AS x FROM embeddings)"
+_vec = "v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings)"
 ORACLES = {
     "silhouette_squared": query(
         _vec,
@@ -181,12 +174,4 @@ ORACLES = {
         "s AS (SELECT vec_id, max(md) FILTER (label = other) AS a, min(md) FILTER (label <> other) AS b FROM m GROUP BY 1)",
         "SELECT round(avg((b - a) / greatest(a, b)), 6) + 0.0 AS silhouette FROM s",
     ),
-    "silhouette_euclidean": query(
-        _vec,
-        "p AS (SELECT a.vec_id, a.label, b.label AS other, a.vec_id = b.vec_id AS self, "
-        "sqrt(list_sum(list_transform(list_zip(a.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS d FROM v a, v b)",
-        "m AS (SELECT vec_id, label, other, avg(d) FILTER (NOT self) AS md FROM p GROUP BY 1, 2, 3)",
-        "s AS (SELECT vec_id, max(md) FILTER (label = other) AS a, min(md) FILTER (label <> other) AS b FROM m GROUP BY 1)",
-        "SELECT round(avg((b - a) / greatest(a, b)), 6) + 0.0 AS silhouette FROM s",
-    ),
 }

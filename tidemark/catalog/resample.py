@@ -12,8 +12,8 @@ from .regimes import STATES, labelled, matrix_sql
 from .sqlparts import BARS, LOGS, query, rounded
 
 KEYS = ["series_id"]
-PATHS, DAYS = 400, 21
-HORIZONS = [21, 63]
+PATHS, DAYS = 5000, 21
+HORIZONS = [21, 63, 126, 252]
 
 
 def pools(spark, sf):
@@ -24,14 +24,6 @@ def _boot(spark, sf, **options):
     return rs.bootstrap_paths(pools(spark, sf), KEYS, PATHS, options.pop("horizons", [DAYS]), **options)
 
 
-def _markov(spark, sf, horizons=None, **options):
-    df = labelled(spark, sf)
-    m = stage(rg.transition_matrix(df, KEYS, 3))
-    now = rg.current_state(df, KEYS, ["regime_state"]).select(*KEYS, F.col("regime_state").alias("start_state"))
-    p = rs.return_pools(df, KEYS, "ret", "regime_state")
-    return rs.markov_paths(p, m, now, KEYS, PATHS, horizons or [DAYS], **options)
-
-
 def q_boot(spark, sf):
     return round_doubles(_boot(spark, sf))
 
@@ -44,14 +36,6 @@ def q_boot_covid(spark, sf):
     return round_doubles(_boot(spark, sf, scenario="covid", multiplier=1.2))
 
 
-def q_markov(spark, sf):
-    return round_doubles(_markov(spark, sf))
-
-
-def q_markov_stressed(spark, sf):
-    return round_doubles(_markov(spark, sf, scenario="inflation_risk_off"))
-
-
 def q_stressed_matrix(spark, sf):
     df = labelled(spark, sf)
     p = rs.return_pools(df, KEYS, "ret", "regime_state")
@@ -77,24 +61,15 @@ def q_student(spark, sf):
     return rs.student_t_fit(pools(spark, sf), KEYS)
 
 
-def q_student_paths(spark, sf):
-    p = pools(spark, sf)
-    fits = stage(rs.student_t_fit(p, KEYS))
-    return rs.path_stats(stage(rs.bootstrap_paths(p, KEYS, PATHS, [DAYS], fits=fits)), KEYS)
-
-
 QUERIES = {
     "bootstrap_paths": q_boot,
     "bootstrap_paths_one_state": q_boot_state,
     "bootstrap_paths_covid": q_boot_covid,
-    "markov_paths": q_markov,
-    "markov_paths_risk_off": q_markov_stressed,
     "stressed_transitions": q_stressed_matrix,
     "path_stats_by_horizon": q_horizons,
     "path_fan": q_fan,
     "terminal_histogram": q_histogram,
     "student_t_fits": q_student,
-    "student_t_path_stats": q_student_paths,
 }
 
 
@@ -128,24 +103,6 @@ _ENDS = """tp AS (SELECT *, max(value) OVER (PARTITION BY series_id, horizon, pa
 en AS (SELECT series_id, horizon, path, arg_max(value, step) - 1.0 AS r, min((value - top) / (top + 1e-15)) AS dd FROM tp GROUP BY 1, 2, 3)"""
 
 
-def _walk(matrix: str, change: str = "r") -> list[str]:
-    return [
-        f"cm AS (SELECT series_id, from_state, to_state, sum(p / tot) OVER (PARTITION BY series_id, from_state ORDER BY to_state) AS c "
-        f"FROM (SELECT *, sum(p) OVER (PARTITION BY series_id, from_state) AS tot FROM {matrix}))",
-        "cr AS (SELECT series_id, list(r ORDER BY from_state) AS cum FROM (SELECT series_id, from_state, list(c ORDER BY to_state) AS r FROM cm GROUP BY 1, 2) GROUP BY 1)",
-        "cur AS (SELECT series_id, arg_max(regime_state, date) AS s0 FROM lab GROUP BY 1)",
-        f"""us AS (SELECT series_id, cum, s0, path, list_transform(range(1, {DAYS + 1}), lambda t: {_u("'42'", "'state'", "series_id", "'21'", "path", "t")}) AS u
-          FROM cr JOIN cur USING (series_id), range({PATHS}) p(path))""",
-        f"""wk AS (SELECT series_id, path, step, CAST(list_reduce(list_prepend(CAST(s0 AS DOUBLE), u[1:step]),
-          lambda s, x: CAST(least(len(list_filter(cum[CAST(s AS INTEGER) + 1], lambda c: c < x)), 2) AS DOUBLE)) AS INTEGER) AS state
-          FROM us, range(1, {DAYS + 1}) q(step))""",
-        f"""ix AS (SELECT wk.*, CAST(floor({_u("'42'", "'draw'", "wk.series_id", "'21'", "path", "step")} * n) AS BIGINT) AS idx
-          FROM wk JOIN pn ON pn.series_id = wk.series_id AND pn.pool = wk.state)""",
-        f"dr0 AS (SELECT ix.series_id, {DAYS} AS horizon, path, step, state, r FROM ix JOIN pl ON pl.series_id = ix.series_id AND pl.pool = ix.state AND pl.idx = ix.idx)",
-        f"dr AS (SELECT series_id, horizon, path, step, greatest({change}, -0.999) AS r FROM dr0 JOIN (SELECT series_id, state, avg(r) AS m FROM dr0 GROUP BY 1, 2) USING (series_id, state))",
-    ]
-
-
 def _stressed(pool_return: str) -> str:
     return f"""mn AS (SELECT series_id, pool, avg({pool_return}) AS m FROM pl GROUP BY 1, 2),
 bc AS (SELECT tm.*, coalesce(a.m, b.m) < 0 AS bear FROM tm LEFT JOIN mn a ON a.series_id = tm.series_id AND a.pool = tm.to_state
@@ -160,8 +117,6 @@ ORACLES = {
     "bootstrap_paths": query(*_BASE, *_draws(-1, [DAYS]), _PATHS, _OUT),
     "bootstrap_paths_one_state": query(*_BASE, *_draws(2, [DAYS]), _PATHS, _OUT),
     "bootstrap_paths_covid": query(*_BASE, *_draws(-1, [DAYS], "(r - m) * (2.5::DOUBLE * 1.2::DOUBLE) + m"), _PATHS, _OUT),
-    "markov_paths": query(*_BASE, _TM, *_walk("tm"), _PATHS, _OUT),
-    "markov_paths_risk_off": query(*_BASE, _TM, _stressed("r"), *_walk("sm", "(r - m) * 2.0::DOUBLE + m - 0.0010::DOUBLE"), _PATHS, _OUT),
     "stressed_transitions": query(*_BASE, _TM, _stressed("CASE WHEN pool = 0 THEN r - 1.0 ELSE r END"),
                                   "SELECT series_id, from_state, to_state, round(p, 6) + 0.0 AS p FROM sm"),
     "path_stats_by_horizon": query(

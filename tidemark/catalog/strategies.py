@@ -68,9 +68,9 @@ def q_log(spark, sf):
 
 
 def q_log_hybrid(spark, sf):
-    """The rebalance viewer: one strategy, five newest rows per report."""
+    """The rebalance viewer: one strategy, the five newest rows of each series' report."""
     log = sg.for_strategy(sg.rebalance_log(net_returns(spark, sf)), "hybrid")
-    return round_doubles(log.orderBy(F.col("Date").desc(), "series_id").limit(5))
+    return round_doubles(sg.newest_rows(log, 5))
 
 
 def q_stress(spark, sf):
@@ -197,7 +197,7 @@ ORACLES = {
           round(prev_weight, 6) + 0.0 AS "Old_Weight", round(weight, 6) + 0.0 AS "New_Weight",
           round(abs(weight - prev_weight), 6) + 0.0 AS "Rebalance_Size",
           round(abs(weight - prev_weight) * 0.0015::DOUBLE, 6) + 0.0 AS "Transaction_Cost"
-          FROM net WHERE weight <> prev_weight AND strategy = 'hybrid' ORDER BY date DESC, series_id LIMIT 5"""),
+          FROM net WHERE weight <> prev_weight AND strategy = 'hybrid' QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY date DESC) <= 5"""),
     "stress_report": query(
         *_NET, f"per AS ({_periods})",
         """sr AS (SELECT n.series_id, n.strategy, n.date, p.*, n.pd IS NULL OR n.pd < p.start_date AS opening, weight, prev_weight, aret

@@ -27,10 +27,15 @@ def parse_number(name: str) -> Column:
     return finite(bare.try_cast("double"))
 
 
-def parse_date(name: str) -> Column:
-    """ISO dates and timestamps, day-first dates with slashes or dashes, else NULL."""
+def parse_date(name: str, day_first: bool = False) -> Column:
+    """ISO dates and timestamps, then dates with slashes or dashes, else NULL.
+
+    ``03/04/2020`` is 4 March, or 3 April if ``day_first``; what only the other
+    reading allows, as ``25/12/2020``, takes that one.
+    """
     c = F.trim(F.col(name).cast("string"))
-    patterns = ("dd-MM-yyyy", "dd/MM/yyyy", "dd-MMM-yyyy")
+    patterns = ["MM-dd-yyyy", "MM/dd/yyyy", "dd-MM-yyyy", "dd/MM/yyyy"]
+    patterns = [*(patterns[2:] + patterns[:2] if day_first else patterns), "dd-MMM-yyyy"]
     tries = [c.try_cast("timestamp")]
     tries += [F.try_to_timestamp(c, F.lit(p)) for p in patterns]
     return F.coalesce(*tries).cast("date")
@@ -108,3 +113,14 @@ def round_doubles(df: DataFrame, digits: int = 6, **special: int) -> DataFrame:
 def attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Put the columns of a global aggregate, always exactly one row, beside every row."""
     return df.join(F.broadcast(one_row), F.lit(True))
+
+
+SALT, SALTS = "_salt", 32
+
+
+def salted(rows: DataFrame, small: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join with a salt column to join on as well: rows by the hash of their
+    cells, the small side once per salt. An aggregate by (key, salt) after the join needs no
+    exchange, and one by key sums at most ``SALTS`` rows, so a hot key is never one task."""
+    by = F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")
+    return rows.withColumn(SALT, by), small.withColumn(SALT, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import finite_columns, parse_date, parse_number
+from ..functions.columns import finite, finite_columns, parse_date, parse_number
 from .layout import POS, cut_blocks, located, running
 
 # fixed values: header names accepted for each column
@@ -57,7 +57,7 @@ def rename_bars(df: DataFrame, aliases: dict[str, list[str]] = ALIASES) -> DataF
     return df.toDF(*[found.get(c, c.strip()) for c in df.columns])
 
 
-def normalize_bars(df: DataFrame, aliases: dict[str, list[str]] = ALIASES) -> DataFrame:
+def normalize_bars(df: DataFrame, aliases: dict[str, list[str]] = ALIASES, day_first: bool = False) -> DataFrame:
     """Canonical names, dates and doubles; rows without a date or a price are dropped.
 
     One projection and one filter. Text numbers lose commas, currency signs and
@@ -65,7 +65,7 @@ def normalize_bars(df: DataFrame, aliases: dict[str, list[str]] = ALIASES) -> Da
     """
     df = rename_bars(df, aliases)
     numbers = [c for c in NUMBERS if c in df.columns]
-    typed = df.withColumns({"date": parse_date("date"), **{c: parse_number(c) for c in numbers}})
+    typed = df.withColumns({"date": parse_date("date", day_first), **{c: parse_number(c) for c in numbers}})
     return typed.dropna(subset=["date", *[c for c in PRICES if c in numbers]])
 
 
@@ -126,6 +126,7 @@ def apply_missing_policy(df: DataFrame, features: list[str], policy: str = "keep
 
 
 def count_missing(df: DataFrame) -> DataFrame:
-    """Missing cells per column, long form ``(column_name, missing)``."""
-    counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns])
+    """Missing cells per column, long form ``(column_name, missing)``; NaN and infinities count."""
+    cell = {c: finite(F.col(c)) if kind in ("double", "float") else F.col(c) for c, kind in df.dtypes}
+    counts = df.agg(*[F.count_if(x.isNull()).alias(c) for c, x in cell.items()])
     return counts.unpivot([], df.columns, "column_name", "missing")

@@ -19,9 +19,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import SALT, salted
 from ..session import stage
 from . import kernels as kn
 from .packing import PACK
@@ -30,14 +31,21 @@ from .packing import PACK
 cloudpickle.register_pickle_by_value(kn)
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+DRAW_BUCKETS = 1024  # of a model's candidate starting rows
 MIN_COVAR = 1e-3  # HMM variance floor
 REG_COVAR = 1e-6  # mixture variance offset
-CHAIN = 512  # blocks per link when a series has more blocks than that
+CHAIN = 512  # blocks per link of the chain of block products
 
-def model_table(packed: DataFrame, keys: list[str], ks: list[int], seeds: list[int] = [42]) -> DataFrame:
-    """One model per series, state count and seed, over all rows of the series."""
-    combos = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(s).cast("long").alias("seed")) for k in ks for s in seeds])
+def model_table(packed: DataFrame, keys: list[str], ks: list[int] | DataFrame, seeds: list[int] = [42]) -> DataFrame:
+    """One model per series, state count and seed, over all rows of the series.
+
+    ``ks``: state counts of every series, or a table (keys, k) with its own ones.
+    """
+    own = isinstance(ks, DataFrame)
+    counts = [F.col("k")] if own else [F.lit(k) for k in ks]
+    combos = F.array(*[F.struct(k.alias("k"), F.lit(s).cast("long").alias("seed")) for k in counts for s in seeds])
     rows = packed.groupBy(*keys).agg(F.sum("n").cast("long").alias("hi"))
+    rows = rows.join(ks.select(*keys, "k"), keys) if own else rows
     rows = rows.select(*keys, F.lit(0).cast("long").alias("lo"), "hi", F.inline(combos))
     return unscaled(rows.withColumn("model_id", F.concat_ws("|", *keys, "k", "seed", "hi")), packed)
 
@@ -78,13 +86,16 @@ def initial_centers(packed: DataFrame, models: DataFrame, keys: list[str], d: in
                 flat, rows = key[at].ravel(), x[at].reshape(-1, d)
                 best = np.argsort(flat, kind="stable")[:k]
                 best = best[np.isfinite(flat[best])]
-                yield pd.DataFrame({"model_id": mid, "u": flat[best], "x": list(rows[best])})
+                yield pd.DataFrame({"model_id": mid, "k": k, "u": flat[best], "x": list(rows[best])})
 
     found = _blocks(packed, models, keys, size).select(
         "model_id", "k", "seed", "lo", "hi", "shift", "inv", "blk", "n", "xs"
     )
-    found = found.mapInPandas(draw, "model_id string, u double, x array<double>")
-    # every task sends at most k rows per model
+    found = found.mapInPandas(draw, "model_id string, k int, u double, x array<double>")
+    # every batch sends at most k rows per model; buckets of a model keep k each before the model keeps k
+    for group in (["model_id", F.pmod(F.hash("u"), F.lit(DRAW_BUCKETS))], ["model_id"]):
+        rank = F.row_number().over(Window.partitionBy(*group).orderBy("u"))
+        found = found.withColumn("_i", rank).filter("_i <= k").drop("_i")
     sample = found.groupBy("model_id").agg(F.array_sort(F.collect_list(F.struct("u", "x"))).alias("_r"))
     joined = models.join(sample, "model_id")
     # a model with fewer rows than states repeats its rows
@@ -238,12 +249,12 @@ def _link(pdf: pd.DataFrame, best: bool) -> pd.DataFrame:
     return head[["model_id", "k", "blk", "start", "m", "scale"]]
 
 
-def _borders(mats: DataFrame, best: bool, long_series: bool) -> DataFrame:
+def _borders(mats: DataFrame, best: bool, levels: int) -> DataFrame:
     """Entry and exit vectors of every block.
 
-    A series with more than ``CHAIN`` blocks is walked in two levels: links of
-    CHAIN blocks first, then inside each link, so that no task holds the whole
-    chain.
+    ``CHAIN`` blocks make a link, CHAIN links the next one, until a series is
+    one walk of at most CHAIN steps; then every link is walked inside. No task
+    holds more than one link, however long a series is.
     """
     opening = F.transform("start", lambda p: F.log(p + kn.EPS) if best else p + kn.EPS)
     closing = F.transform("start", lambda p: F.lit(1.0))
@@ -252,23 +263,22 @@ def _borders(mats: DataFrame, best: bool, long_series: bool) -> DataFrame:
     def ends(df):
         return df.withColumns({"entry": opening, "exit": closing, "last": F.lit(-1)})
 
-    if not long_series:
+    if not levels:
         return ends(mats).groupBy("model_id").applyInPandas(walk, _BORDER)
     mats = mats.withColumn("sup", F.floor(F.col("blk") / CHAIN))
     links = mats.groupBy("model_id", "sup").applyInPandas(
         lambda pdf: _link(pdf, best),
         "model_id string, k int, blk long, start array<double>, m array<double>, scale double",
     )
-    outer = ends(links).groupBy("model_id").applyInPandas(walk, _BORDER)
-    outer = outer.withColumnRenamed("blk", "sup").withColumnRenamed("log_likelihood", "_ll")
+    outer = _borders(links, best, levels - 1).withColumnRenamed("blk", "sup").withColumnRenamed("log_likelihood", "_ll")
     total = outer.groupBy("model_id").agg(F.max("_ll").alias("_ll"))
     inner = mats.join(outer.drop("_ll"), ["model_id", "sup"]).groupBy("model_id", "sup").applyInPandas(walk, _BORDER)
     return inner.drop("log_likelihood").join(total, "model_id").withColumnRenamed("_ll", "log_likelihood")
 
 
-def _hmm_pass(blocks: DataFrame, d: int, size: int, long_series: bool, rows_out: bool) -> DataFrame:
+def _hmm_pass(blocks: DataFrame, d: int, size: int, levels: int, rows_out: bool) -> DataFrame:
     """Forward-backward over all blocks: summed statistics, or row probabilities."""
-    borders = _borders(_chains(blocks, d, size, best=False), False, long_series)
+    borders = _borders(_chains(blocks, d, size, best=False), False, levels)
     joined = blocks.select(*_INPUT).join(borders.drop("last"), ["model_id", "blk"])
 
     def run(batches):
@@ -321,7 +331,8 @@ def _update(kind: str, d: int, tol: float):
                 cuts = np.cumsum([k, k * d, k * d, k * k, k])
                 w, sx, sxx, moves, opening, ll = np.split(s, cuts)
                 ll = float(ll[0])
-                close = abs(ll - row["log_likelihood"]) < tol
+                rows = max(1, int(row["hi"]) - int(row["lo"])) if kind == "gmm" else 1
+                close = abs(ll - row["log_likelihood"]) < tol * rows
                 out.at[i, "log_likelihood"], out.at[i, "active"] = ll, not close
                 out.at[i, "rounds"] = int(row["rounds"]) + 1
                 if kind == "hmm" and close:
@@ -347,10 +358,10 @@ def _update(kind: str, d: int, tol: float):
     return run
 
 
-def _round(kind: str, packed, params, keys, d, size, long_series, tol) -> DataFrame:
+def _round(kind: str, packed, params, keys, d, size, levels, tol) -> DataFrame:
     blocks = _blocks(packed, params, keys, size).filter("active")
     if kind == "hmm":
-        stats = _hmm_pass(blocks, d, size, long_series, rows_out=False)
+        stats = _hmm_pass(blocks, d, size, levels, rows_out=False)
     else:
         step = _kmeans_step if kind == "kmeans" else _mixture_step
         stats = blocks.select(*_INPUT).mapInPandas(step(d, size), "model_id string, s array<double>")
@@ -358,8 +369,12 @@ def _round(kind: str, packed, params, keys, d, size, long_series, tol) -> DataFr
     return merged.mapInPandas(_update(kind, d, tol), params.schema)
 
 
-def _is_long(packed: DataFrame) -> bool:
-    return (packed.agg(F.max("blk")).first()[0] or 0) >= CHAIN
+def _levels(packed: DataFrame) -> int:
+    """How often blocks must be linked until the longest series is one walk."""
+    last, levels = packed.agg(F.max("blk")).first()[0] or 0, 0
+    while last >= CHAIN:
+        last, levels = last // CHAIN, levels + 1
+    return levels
 
 
 def _fit(kind, packed, params, keys, d, max_iter, tol, size, lazy_rounds) -> DataFrame:
@@ -368,16 +383,29 @@ def _fit(kind, packed, params, keys, d, max_iter, tol, size, lazy_rounds) -> Dat
     A few rounds make one job; then the parameters are checkpointed and the
     number of moving models, one number, decides whether to go on.
     """
-    long_series = kind == "hmm" and _is_long(packed)
+    levels = _levels(packed) if kind == "hmm" else 0
     done = 0
     while done < max_iter:
         for _ in range(min(lazy_rounds, max_iter - done)):
-            params = _round(kind, packed, params, keys, d, size, long_series, tol)
+            params = _round(kind, packed, params, keys, d, size, levels, tol)
             done += 1
         params = stage(params)
         if params.filter("active").isEmpty():
             break
-    return params
+    return _rescored(kind, packed, params, keys, d, size)
+
+
+def _rescored(kind, packed, params, keys, d, size) -> DataFrame:
+    """The likelihood of the parameters as they are now; a round knows that of the ones before it."""
+    if kind == "hmm":
+        score = hmm_score(packed, params, keys, d, size)
+    else:
+        step = _kmeans_step if kind == "kmeans" else _mixture_step
+        stats = _blocks(packed, params, keys, size).select(*_INPUT).mapInPandas(step(d, size), "model_id string, s array<double>")
+        score = stats.groupBy("model_id").agg(F.sum(F.element_at("s", -1)).alias("log_likelihood"))
+    score = score.withColumnRenamed("log_likelihood", "_ll")
+    scored = params.join(score, "model_id", "left").withColumn("log_likelihood", F.coalesce("_ll", "log_likelihood"))
+    return stage(scored.select(*params.columns))
 
 
 def _restart(params: DataFrame) -> DataFrame:
@@ -386,7 +414,7 @@ def _restart(params: DataFrame) -> DataFrame:
     )
 
 
-def kmeans_fit(packed, models, keys, d, max_iter=20, tol=1e-4, size=PACK, lazy_rounds=3) -> DataFrame:
+def kmeans_fit(packed, models, keys, d, max_iter=100, tol=1e-4, size=PACK, lazy_rounds=3) -> DataFrame:
     """k-means for every model; ``log_likelihood`` is minus the inertia."""
     start = stage(initial_centers(packed, models, keys, d, size))
     return _fit("kmeans", packed, start, keys, d, max_iter, tol, size, lazy_rounds)
@@ -402,16 +430,19 @@ def best_seed(params: DataFrame, keys: list[str]) -> DataFrame:
     ).select(*group, "_b.*")
 
 
-def gmm_fit(packed, models, keys, d, max_iter=100, tol=1e-3, size=PACK, lazy_rounds=3, kmeans_iter=6,
+def gmm_fit(packed, models, keys, d, max_iter=100, tol=1e-3, size=PACK, lazy_rounds=3, kmeans_iter=100,
             start=None) -> DataFrame:
-    """Diagonal Gaussian mixtures, started from k-means (``start``, or fitted here)."""
+    """Diagonal Gaussian mixtures, started from k-means (``start``, or fitted here).
+
+    ``tol`` bounds the change of the mean log likelihood of a row.
+    """
     if start is None:
         start = kmeans_fit(packed, models, keys, d, kmeans_iter, size=size, lazy_rounds=lazy_rounds)
     return _fit("gmm", packed, _restart(start), keys, d, max_iter, tol, size, lazy_rounds)
 
 
 def hmm_fit(packed, models, keys, d, max_iter=100, tol=1e-3, size=PACK, lazy_rounds=2,
-            gmm_iter=9, kmeans_iter=6, start=None) -> DataFrame:
+            gmm_iter=100, kmeans_iter=100, start=None) -> DataFrame:
     """Diagonal Gaussian HMMs by Baum-Welch, started from mixtures (``start``, or fitted here).
 
     Start probabilities are uniform, transitions uniform with a bias to stay.
@@ -509,7 +540,7 @@ def hmm_state_returns(packed, params, keys, d, size=PACK) -> DataFrame:
 
 def _decode(packed, params, keys, d, size, sums: bool) -> DataFrame:
     blocks = _blocks(packed, params, keys, size)
-    borders = _borders(_chains(blocks, d, size, best=True), True, _is_long(packed))
+    borders = _borders(_chains(blocks, d, size, best=True), True, _levels(packed))
     joined = blocks.select(*_INPUT, "rs").join(borders.drop("exit", "log_likelihood"), ["model_id", "blk"])
 
     def run(batches):
@@ -539,13 +570,13 @@ def _decode(packed, params, keys, d, size, sums: bool) -> DataFrame:
 
 def hmm_posterior(packed, params, keys, d, size=PACK) -> DataFrame:
     """Smoothed state probabilities of every row: (model_id, pos, proba)."""
-    return _hmm_pass(_blocks(packed, params, keys, size), d, size, _is_long(packed), rows_out=True)
+    return _hmm_pass(_blocks(packed, params, keys, size), d, size, _levels(packed), rows_out=True)
 
 
 def hmm_score(packed, params, keys, d, size=PACK) -> DataFrame:
     """Log likelihood of every model's row range: (model_id, log_likelihood)."""
     blocks = _blocks(packed, params, keys, size)
-    borders = _borders(_chains(blocks, d, size, best=False), False, _is_long(packed))
+    borders = _borders(_chains(blocks, d, size, best=False), False, _levels(packed))
     return borders.groupBy("model_id").agg(F.max("log_likelihood").alias("log_likelihood"))
 
 
@@ -619,22 +650,32 @@ def load_params(spark, path: str) -> DataFrame:
 
 # --- silhouette -------------------------------------------------------------
 
-def silhouette_squared(df: DataFrame, keys: list[str], state: str, features: list[str]) -> DataFrame:
+def silhouette_squared(df: DataFrame, keys: list[str], state: str, features: list[str] | str) -> DataFrame:
     """Mean silhouette with squared Euclidean distances, exact on all rows.
 
-    The mean squared distance to a cluster follows from its count, sum and
-    square sum, so no pair of rows is formed. The cluster table has as many
-    rows as there are (key, state) pairs and is joined per key as one array.
+    ``features`` are columns, or the name of one array column. The mean squared
+    distance to a cluster follows from its count, sum and square sum, so no pair
+    of rows is formed. The cluster table has as many rows as there are
+    (key, state) pairs and meets the rows on (key, salt), so that a hot key is
+    many tasks and is summed twice.
     """
-    x = F.array(*[F.col(f).cast("double") for f in features])
-    clusters = df.groupBy(*keys, state).agg(
+    if isinstance(features, str):
+        width = df.agg(F.max(F.size(features)).alias("w")).first()["w"] or 0
+        x = F.transform(features, lambda v: v.cast("double"))
+    else:
+        width, x = len(features), F.array(*[F.col(f).cast("double") for f in features])
+    rows = df.select(*keys, state, x.alias("_x"))
+    clusters = rows.groupBy(*keys, state).agg(
         F.count(F.lit(1)).alias("n"),
-        F.array(*[F.avg(F.col(f).cast("double")) for f in features]).alias("mu"),
-        F.avg(_square_sum(x)).alias("sq"),
+        F.array(*[F.avg(F.get("_x", F.lit(i))) for i in range(width)]).alias("mu"),
+        F.avg(_square_sum(F.col("_x"))).alias("sq"),
     )
     per_key = clusters.groupBy(*keys).agg(F.collect_list(F.struct(F.col(state).alias("c"), "n", "mu", "sq")).alias("_cl"))
-    rows = df.select(*keys, state, x.alias("_x"))
-    rows = rows.join(per_key, keys) if keys else rows.join(F.broadcast(per_key), F.lit(True))
+    if keys:
+        rows, per_key = salted(rows, per_key)
+        rows = rows.join(per_key, [*keys, SALT])
+    else:
+        rows = rows.withColumn(SALT, F.lit(0)).join(F.broadcast(per_key), F.lit(True))
     rows = rows.withColumn("_xx", _square_sum(F.col("_x")))
     dist = F.transform(
         "_cl",
@@ -651,7 +692,8 @@ def silhouette_squared(df: DataFrame, keys: list[str], state: str, features: lis
     s = F.when(F.col("_a").isNull() | F.col("_b").isNull(), 0.0).otherwise(
         F.coalesce(F.try_divide(F.col("_b") - F.col("_a"), F.greatest("_a", "_b")), F.lit(0.0))
     )
-    return rows.groupBy(*keys).agg(F.avg(s).alias("silhouette"))
+    parts = rows.groupBy(*keys, SALT).agg(F.sum(s).alias("_s"), F.count(F.lit(1)).alias("_n"))
+    return parts.groupBy(*keys).agg((F.sum("_s") / F.sum("_n")).alias("silhouette"))
 
 
 def _square_sum(x):
@@ -660,36 +702,3 @@ def _square_sum(x):
 
 def _dot(x, y):
     return F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
-
-
-def silhouette_sampled(df: DataFrame, state: str, features: list[str], order: str, cap: int = 5000) -> float:
-    """Mean Euclidean silhouette: exact up to ``cap`` rows, of a sample beyond.
-
-    The sample takes the rows with the smallest hash of ``order``; it is bounded
-    by ``cap`` and sent to all tasks, which compare their sample rows with it.
-    """
-    x = F.array(*[F.col(f).cast("double") for f in features]).alias("x")
-    sample = stage(df.select(F.col(state).alias("c"), x, F.xxhash64(order).alias("_h")).orderBy("_h").limit(cap).drop("_h"))
-    pdf = sample.toPandas()  # at most ``cap`` rows
-    labels, points = pdf["c"].to_numpy(), np.stack(pdf["x"].to_numpy())
-    names, code = np.unique(labels, return_inverse=True)
-    if len(names) < 2:
-        return 0.0
-    shared = df.sparkSession.sparkContext.broadcast((points, code, np.bincount(code), list(names)))
-
-    def run(batches):
-        pts, codes, sizes, order_ = shared.value
-        for part in batches:
-            xs, mine = np.stack(part["x"].to_numpy()), np.array([order_.index(c) for c in part["c"]])
-            sums = np.zeros((len(xs), len(sizes)))
-            for i, p in enumerate(xs):
-                sums[i] = np.bincount(codes, np.sqrt(((pts - p) ** 2).sum(1)), len(sizes))
-            rows = np.arange(len(xs))
-            own = sums[rows, mine] / np.maximum(sizes[mine] - 1, 1)
-            means = sums / sizes
-            means[rows, mine] = np.inf
-            near = means.min(1)
-            s = np.where(sizes[mine] > 1, (near - own) / np.maximum(near, own), 0.0)
-            yield pd.DataFrame({"s": s})
-
-    return float(sample.mapInPandas(run, "s double").agg(F.avg("s")).first()[0])

@@ -74,20 +74,22 @@ def transition_counts(df: DataFrame, keys: list[str], state: str = "regime_state
 
 
 def transition_matrix(
-    df: DataFrame, keys: list[str], k: int, state: str = "regime_state",
+    df: DataFrame, keys: list[str], k: int | str, state: str = "regime_state",
     absorbing: bool = True, date: str = "date",
 ) -> DataFrame:
     """Row-normalised transitions on the full k by k grid, long form.
 
+    ``k`` is the number of states, or a column with that of each series.
     A state that is never left keeps probability 1 to itself; with
     ``absorbing=False`` its row stays 0.
     """
     counts = transition_counts(df, keys, state, date)
-    ids = F.sequence(F.lit(0), F.lit(k - 1))
+    last = (F.max(k) if isinstance(k, str) else F.lit(k)) - 1
+    ids = F.sequence(F.lit(0), "_last")
     grid = (
-        df.select(*keys).distinct()
-        .select(*keys, F.explode(ids).alias("from_state"))
-        .select("*", F.explode(ids).alias("to_state"))
+        df.groupBy(*keys).agg(last.cast("int").alias("_last"))
+        .select(*keys, "_last", F.explode(ids).alias("from_state"))
+        .select(*keys, "from_state", F.explode(ids).alias("to_state"))
     )
     total = F.sum("n").over(Window.partitionBy(*keys, "from_state"))
     own = (F.col("from_state") == F.col("to_state")).cast("double") if absorbing else F.lit(0.0)

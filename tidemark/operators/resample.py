@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import uniform
+from ..functions.columns import SALT, salted, uniform
 from ..session import stage
 from .layout import POS, date_chunk, index_rows
 from .orderstats import linear, pick_ranks, share_rank
@@ -65,23 +65,6 @@ def _lookup(steps: DataFrame, pools: DataFrame, keys: list[str], seed: int, tag:
     return drawn.join(pools, [*keys, "pool", "idx"]).drop("idx")
 
 
-def _student(steps: DataFrame, fits: DataFrame, keys: list[str], seed: int, tag: list[str]) -> DataFrame:
-    """Student-t draws: a normal over the root of a mean of ``nu`` squared normals."""
-    parts = [F.col(c) for c in (*keys, *tag, "path", "step")]
-
-    def normal(i) -> Column:
-        u1 = 1.0 - uniform(F.lit(seed), F.lit("a"), *parts, i)
-        u2 = uniform(F.lit(seed), F.lit("b"), *parts, i)
-        return F.sqrt(-2.0 * F.log(u1)) * F.cos(u2 * (2.0 * math.pi))
-
-    joined = steps.join(fits.select(*keys, "pool", "nu", "loc", "scale"), [*keys, "pool"])
-    squares = F.aggregate(
-        F.sequence(F.lit(1), F.col("nu").cast("int")), F.lit(0.0), lambda acc, i: acc + normal(i) * normal(i)
-    )
-    t = normal(F.lit(0)) / F.sqrt(squares / F.col("nu"))
-    return joined.withColumn("r", F.col("loc") + F.col("scale") * t).drop("nu", "loc", "scale")
-
-
 def stress(draws: DataFrame, group: list[str], scenario: str = "none", multiplier: float = 1.0) -> DataFrame:
     """Spread the drawn returns around their mean, shift them, keep them above -99.9 %.
 
@@ -96,7 +79,8 @@ def stress(draws: DataFrame, group: list[str], scenario: str = "none", multiplie
     draws = stage(draws)
     means = draws.groupBy(*group).agg(F.avg("r").alias("_mean"))
     moved = (F.col("r") - F.col("_mean")) * (factor * multiplier) + F.col("_mean") + drift * multiplier
-    return draws.join(means, group).withColumn("r", F.greatest(moved, F.lit(-0.999))).drop("_mean")
+    rows, means = salted(draws, means)
+    return rows.join(means, [*group, SALT]).withColumn("r", F.greatest(moved, F.lit(-0.999))).drop("_mean", SALT)
 
 
 def _compound(draws: DataFrame, keys: list[str], tag: list[str]) -> DataFrame:
@@ -114,34 +98,21 @@ def _steps(paths: DataFrame) -> DataFrame:
 
 def bootstrap_paths(
     pools: DataFrame, keys: list[str], n_paths: int, horizons: list[int], pool: int = ALL_ROWS, seed: int = 42,
-    scenario: str = "none", multiplier: float = 1.0, fits: DataFrame | None = None,
+    scenario: str = "none", multiplier: float = 1.0,
 ) -> DataFrame:
     """Independent draws from one pool: (keys, horizon, path, step, value).
 
-    ``pool`` is ALL_ROWS or one state. Several horizons run in one job. With
-    ``fits`` the draws come from fitted Student-t distributions instead.
+    ``pool`` is ALL_ROWS or one state. Several horizons run in one job.
     """
     heads = pool_sizes(pools, keys).filter(F.col("pool") == pool).select(
         *keys, "pool", F.explode(F.array(*[F.lit(h) for h in horizons])).alias("horizon")
     )
     steps = _steps(path_ids(heads, n_paths))
     tag = ["horizon"]
-    draws = _student(steps, fits, keys, seed, tag) if fits is not None else _lookup(steps, pools, keys, seed, tag)
+    draws = _lookup(steps, pools, keys, seed, tag)
     return _compound(stress(draws, [*keys, "horizon"], scenario, multiplier), keys, tag)
 
 
-def cumulative_rows(matrix: DataFrame, keys: list[str]) -> DataFrame:
-    """Per key the cumulative transition rows as one array of arrays."""
-    total = F.sum("p").over(Window.partitionBy(*keys, "from_state"))
-    upto = Window.partitionBy(*keys, "from_state").orderBy("to_state")
-    cum = matrix.withColumn("_c", F.sum(F.col("p") / total).over(upto))
-    rows = cum.groupBy(*keys, "from_state").agg(F.array_sort(F.collect_list(F.struct("to_state", "_c"))).alias("_r"))
-    rows = rows.withColumn("_r", F.transform("_r", lambda x: x["_c"]))
-    return rows.groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("from_state", "_r"))), lambda x: x["_r"]).alias("cum")
-    )
-
-
 def stressed_matrix(matrix: DataFrame, pools: DataFrame, keys: list[str]) -> DataFrame:
     """Move transition mass to bearish states, those with a negative mean return.
 
@@ -170,98 +141,72 @@ def stressed_matrix(matrix: DataFrame, pools: DataFrame, keys: list[str]) -> Dat
     return cells.select(*keys, "from_state", "to_state", p.alias("p"))
 
 
-def state_walks(heads: DataFrame, keys: list[str], n_paths: int, seed: int = 42) -> DataFrame:
-    """State of every step: next state is the first whose cumulative share reaches u.
-
-    ``heads`` has the keys, ``horizon``, ``start_state`` and ``cum``. A path is
-    one row until its states are known; no row depends on another row.
-    """
-    paths = path_ids(heads.drop("cum", "start_state"), n_paths)
-    paths = paths.join(heads.select(*keys, "horizon", "cum", "start_state"), [*keys, "horizon"])
-    parts = [F.col(c) for c in (*keys, "horizon", "path")]
-    us = F.transform(F.sequence(F.lit(1), F.col("horizon")), lambda t: uniform(F.lit(seed), F.lit("state"), *parts, t))
-
-    def following(state, u):
-        row = F.element_at(F.col("cum"), state + 1)
-        return F.least(F.size(F.filter(row, lambda c: c < u)), F.size(row) - 1)
-
-    walk = F.aggregate(
-        us,
-        F.array(F.col("start_state").cast("int")),
-        lambda acc, u: F.concat(acc, F.array(following(F.element_at(acc, -1), u))),
-    )
-    steps = paths.select(*keys, "horizon", "path", F.posexplode(walk).alias("step", "state"))
-    return steps.filter(F.col("step") > 0)
-
-
-def markov_paths(
-    pools: DataFrame, matrix: DataFrame, starts: DataFrame, keys: list[str], n_paths: int, horizons: list[int],
-    seed: int = 42, scenario: str = "none", multiplier: float = 1.0, fits: DataFrame | None = None,
-) -> DataFrame:
-    """Paths through states by transition rows, with draws from each state's own pool.
-
-    ``starts`` has the keys and ``start_state``. A state without history draws
-    from all rows.
-    """
-    if scenario == "inflation_risk_off":
-        matrix = stressed_matrix(matrix, pools, keys)
-    heads = cumulative_rows(matrix, keys).join(starts, keys).withColumn(
-        "horizon", F.explode(F.array(*[F.lit(h) for h in horizons]))
-    )
-    steps = state_walks(stage(heads), keys, n_paths, seed)
-    known = pool_sizes(pools, keys).select(*keys, F.col("pool").alias("state"), F.lit(True).alias("_known"))
-    steps = steps.join(known, [*keys, "state"], "left").withColumn(
-        "pool", F.when(F.col("_known"), F.col("state")).otherwise(F.lit(ALL_ROWS))
-    ).drop("_known")
-    tag = ["horizon"]
-    draws = _student(steps, fits, keys, seed, tag) if fits is not None else _lookup(steps, pools, keys, seed, tag)
-    return _compound(stress(draws, [*keys, "horizon", "state"], scenario, multiplier), keys, tag)
-
-
 # --- Student-t fits ---------------------------------------------------------
 
 NU_GRID = (2, 3, 4, 5, 6, 8, 10, 15, 20, 30)
 
 
-def student_t_fit(pools: DataFrame, keys: list[str], grid=NU_GRID, rounds: int = 12) -> DataFrame:
-    """Degrees of freedom, location and scale per (keys, pool).
+def student_t_fit(
+    pools: DataFrame, keys: list[str], grid=NU_GRID, max_iter: int = 200, tol: float = 1e-7, lazy_rounds: int = 6
+) -> DataFrame:
+    """Degrees of freedom, location and scale per (keys, pool), with the rounds taken.
 
     Location and scale follow by reweighting, (nu + 1) / (nu + z^2), for all
-    candidate degrees of freedom at once: a round is one aggregation. The
+    candidate degrees of freedom at once: a round is one aggregation. Rounds end
+    when no location or scale moves by more than ``tol`` scales. The
     candidate with the highest likelihood is kept. Pools of up to 4 rows get 3
     degrees of freedom, their mean and their population deviation plus 1e-5.
     """
     group = [*keys, "pool"]
+    state = [*group, "n", "_m", "_s", "loc", "scale", "rounds", "moved"]
     start = pools.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.avg("r").alias("_m"), F.stddev_pop("r").alias("_s"))
     fit = start.select(
         *group, "n", "_m", "_s",
         F.array_repeat(F.col("_m"), len(grid)).alias("loc"),
         F.array_repeat(F.greatest("_s", F.lit(1e-12)), len(grid)).alias("scale"),
+        F.lit(0).alias("rounds"), F.lit(True).alias("moved"),
     )
-    for i in range(rounds):
-        rows = pools.join(fit, group)
-        sums = []
-        for j, nu in enumerate(grid):
-            z = (F.col("r") - F.col("loc")[j]) / F.col("scale")[j]
-            weight = (nu + 1.0) / (nu + z * z)
-            gap = F.col("r") - F.col("loc")[j]
-            sums += [F.sum(weight).alias(f"_w{j}"), F.sum(weight * gap).alias(f"_x{j}"), F.sum(weight * gap * gap).alias(f"_q{j}")]
-        new = rows.groupBy(*group, "n", "_m", "_s", "loc", "scale").agg(*sums)
-        move = [F.col(f"_x{j}") / F.col(f"_w{j}") for j in range(len(grid))]
-        loc = F.array(*[F.col("loc")[j] + move[j] for j in range(len(grid))])
-        # weighted squares about the new location
-        var = [(F.col(f"_q{j}") - F.col(f"_x{j}") * move[j]) / F.col("n") for j in range(len(grid))]
-        scale = F.array(*[F.greatest(F.sqrt(F.greatest(v, F.lit(0.0))), F.lit(1e-12)) for v in var])
-        fit = new.select(*group, "n", "_m", "_s", loc.alias("loc"), scale.alias("scale"))
-        if i % 4 == 3:
-            fit = stage(fit)
-    rows = pools.join(fit, group)
-    logs = []
+
+    def summed(fit: DataFrame, sums: dict) -> DataFrame:
+        """Sums over the pool's rows: per (pool, salt) first, so that a hot pool is many tasks."""
+        rows, small = salted(pools.select(*group, "r"), fit)
+        parts = rows.join(small, [*group, SALT]).groupBy(*group, SALT).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+        return parts.groupBy(*group).agg(*[F.sum(n).alias(n) for n in sums]).join(fit, group)
+
+    done = 0
+    while done < max_iter:
+        for _ in range(lazy_rounds):
+            sums = {}
+            for j, nu in enumerate(grid):
+                gap = F.col("r") - F.col("loc")[j]
+                z = gap / F.col("scale")[j]
+                weight = (nu + 1.0) / (nu + z * z)
+                sums |= {f"_w{j}": weight, f"_x{j}": weight * gap, f"_q{j}": weight * gap * gap}
+            new = summed(fit, sums)
+            move = [F.col(f"_x{j}") / F.col(f"_w{j}") for j in range(len(grid))]
+            loc = [F.col("loc")[j] + move[j] for j in range(len(grid))]
+            # weighted squares about the new location
+            var = [(F.col(f"_q{j}") - F.col(f"_x{j}") * move[j]) / F.col("n") for j in range(len(grid))]
+            scale = [F.greatest(F.sqrt(F.greatest(v, F.lit(0.0))), F.lit(1e-12)) for v in var]
+            far = [
+                F.greatest(F.abs(loc[j] - F.col("loc")[j]), F.abs(scale[j] - F.col("scale")[j])) > tol * F.col("scale")[j]
+                for j in range(len(grid))
+            ]
+            still = F.col("moved") & F.exists(F.array(*far), lambda x: x)
+            fit = new.select(
+                *group, "n", "_m", "_s", F.array(*loc).alias("loc"), F.array(*scale).alias("scale"),
+                (F.col("rounds") + F.col("moved").cast("int")).alias("rounds"), still.alias("moved"),
+            )
+            done += 1
+        fit = stage(fit)
+        if fit.filter("moved").isEmpty():
+            break
+    logs = {}
     for j, nu in enumerate(grid):
         z = (F.col("r") - F.col("loc")[j]) / F.col("scale")[j]
         const = math.lgamma((nu + 1) / 2) - math.lgamma(nu / 2) - 0.5 * math.log(nu * math.pi)
-        logs.append(F.sum(const - F.log(F.col("scale")[j]) - (nu + 1) / 2 * F.log1p(z * z / nu)).alias(f"_l{j}"))
-    scored = rows.groupBy(*group, "n", "_m", "_s", "loc", "scale").agg(*logs)
+        logs[f"_l{j}"] = const - F.log(F.col("scale")[j]) - (nu + 1) / 2 * F.log1p(z * z / nu)
+    scored = summed(fit, logs).select(*state, *logs)
     options = F.array(
         *[
             F.struct(F.col(f"_l{j}").alias("ll"), F.lit(float(nu)).alias("nu"), F.col("loc")[j].alias("loc"), F.col("scale")[j].alias("scale"))
@@ -275,7 +220,7 @@ def student_t_fit(pools: DataFrame, keys: list[str], grid=NU_GRID, rounds: int =
         F.when(few, 3.0).otherwise(F.col("_b.nu")).alias("nu"),
         F.when(few, F.col("_m")).otherwise(F.col("_b.loc")).alias("loc"),
         F.when(few, F.col("_s") + 1e-5).otherwise(F.col("_b.scale")).alias("scale"),
-        F.col("_b.ll").alias("log_likelihood"),
+        F.col("_b.ll").alias("log_likelihood"), "rounds", (~F.col("moved")).alias("converged"),
     )
 
 
@@ -330,9 +275,10 @@ def terminal_histogram(ends: DataFrame, keys: list[str], bins: int = 50) -> Data
     r = F.col("terminal_return")
     edges = ends.groupBy(*group).agg(F.min(r).alias("lo"), F.max(r).alias("hi"))
     at = F.least(F.floor((r - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * bins), F.lit(bins - 1))
+    rows, edges = salted(ends, edges)
+    counts = rows.join(edges, [*group, SALT]).groupBy(*group, SALT, F.coalesce(at, F.lit(0)).alias("bin"), "lo", "hi").count()
     return (
-        ends.join(edges, group).groupBy(*group, F.coalesce(at, F.lit(0)).alias("bin"), "lo", "hi")
-        .agg(F.count(F.lit(1)).alias("paths"))
+        counts.groupBy(*group, "bin", "lo", "hi").agg(F.sum("count").alias("paths"))
         .withColumn("bin_start", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("bin") / bins)
         .drop("lo", "hi")
     )

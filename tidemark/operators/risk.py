@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import TINY, TRADING_DAYS, full
+from ..functions.columns import SALT, TINY, TRADING_DAYS, full, salted
 from ..session import stage
 from .layout import BLK, POS, block_window, by_position, cut_blocks, drop_halo, located, plain
 from .orderstats import linear, lower_rank, pick_ranks
@@ -182,11 +182,11 @@ def return_quartiles(df: DataFrame, keys: list[str], ret: str = "ret") -> DataFr
     q = q.select(*keys, "q1", "median", "q3")
     reach = (F.col("q3") - F.col("q1")) * 1.5
     outside = (F.col(ret) < F.col("q1") - reach) | (F.col(ret) > F.col("q3") + reach)
-    return (
-        df.join(q, keys)
-        .groupBy(*keys, "q1", "median", "q3")
-        .agg(F.count_if(outside).alias("outliers"), F.count(F.lit(1)).alias("n"))
+    rows, q = salted(df.select(*keys, ret), q)
+    parts = rows.join(q, [*keys, SALT]).groupBy(*keys, SALT, "q1", "median", "q3").agg(
+        F.count_if(outside).alias("outliers"), F.count(F.lit(1)).alias("n")
     )
+    return parts.groupBy(*keys, "q1", "median", "q3").agg(F.sum("outliers").alias("outliers"), F.sum("n").alias("n"))
 
 
 def risk_report(

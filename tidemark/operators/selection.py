@@ -8,7 +8,7 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import attach, finite
+from ..functions.columns import SALT, attach, finite, salted
 
 
 def _long(df: DataFrame, features: list[str], keys: list[str]) -> DataFrame:
@@ -39,13 +39,16 @@ def correlations(df: DataFrame, features: list[str], keys: list[str] = []) -> Da
         ]
         return df.sparkSession.createDataFrame(cells, "a string, b string, r double")
     means = rows.groupBy(*keys).agg(*[F.avg(f).alias(f"_m_{f}") for f in features])
-    joined = rows.join(means, keys)
+    rows, means = salted(rows, means)
+    joined = rows.join(means, [*keys, SALT])
     d = {f: F.col(f) - F.col(f"_m_{f}") for f in features}
     squares = [F.sum(d[f] * d[f]).alias(f"_s_{f}") for f in features]
     pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1 :]]
-    sums = joined.groupBy(*keys).agg(
+    parts = joined.groupBy(*keys, SALT).agg(
         *squares, *[F.sum(d[a] * d[b]).alias(f"_p_{i}") for i, (a, b) in enumerate(pairs)]
     )
+    names = [f"_s_{f}" for f in features] + [f"_p_{i}" for i in range(len(pairs))]
+    sums = parts.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in names])
     cells = F.array(
         *[
             F.struct(

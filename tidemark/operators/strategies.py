@@ -141,6 +141,12 @@ def rebalance_log(returns: DataFrame, keys: list[str] = ["series_id"], fee_bps:
     )
 
 
+def newest_rows(log: DataFrame, k: int, keys: list[str] = ["series_id"]) -> DataFrame:
+    """The ``k`` newest rows of every report; the rank limit prunes rows before the exchange."""
+    newest = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("Date").desc()))
+    return log.withColumn("_k", newest).filter(F.col("_k") <= k).drop("_k")
+
+
 def for_strategy(df: DataFrame, name: str) -> DataFrame:
     """Rows of one strategy, whatever the case of its name."""
     return df.filter(F.lower("Strategy") == name.lower())

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stage
+from ..functions.columns import finite
 from .layout import BLK, OWN, POS, block_window, index_rows, with_halo
 
 REQUIRED = ["date", "open", "high", "low", "close", "volume"]
@@ -23,12 +23,12 @@ def missing_columns(df: DataFrame, covariate: bool = False) -> list[str]:
 def in_file_order(df: DataFrame, order: str | None = None) -> DataFrame:
     """Add ``_row``, the order in which the rows arrived.
 
-    Without an order column the file order counts. It is staged, because a plan
-    that reads the rows twice must see the same numbers.
+    A table of many files has no order of its own, so without an order column
+    the dates are the order, as after sorting; rows without a date come first.
     """
     if order:
         return df.withColumn("_row", F.col(order))
-    return stage(df.withColumn("_row", F.monotonically_increasing_id()))
+    return df.withColumn("_row", F.coalesce(F.unix_date(F.to_date("date")), F.lit(-(1 << 30))))
 
 
 def _numbers(covariate: bool) -> list[str]:
@@ -38,9 +38,9 @@ def _numbers(covariate: bool) -> list[str]:
 def _with_checks(df: DataFrame, keys: list[str], order: str | None, as_of: Column, covariate: bool) -> DataFrame:
     """Typed rows with the previous date and close in arrival order and one flag per check."""
     numbers = _numbers(covariate)
-    typed = {f"_n_{c}": F.col(c).try_cast("double") for c in numbers}
+    typed = {f"_n_{c}": finite(F.col(c).try_cast("double")) for c in numbers}
     rows = in_file_order(df, order).withColumns(typed).withColumn("date", F.to_date("date"))
-    rows = index_rows(rows.drop(POS, BLK), keys, ["_row"], F.floor(F.col("_row") / 16384))
+    rows = index_rows(rows.drop(POS, BLK), keys, ["_row"], F.floor(F.col("_row") / (16384 if order else 1024)))
     rows = with_halo(rows, halo=1)
     w = block_window(keys)
     rows = rows.withColumns({"_prev_date": F.lag("date").over(w), "_prev_close": F.lag("_n_close").over(w)})
@@ -78,7 +78,7 @@ def validate_bars(
 ) -> DataFrame:
     """One row of counts per series, with ``is_valid`` and the missing columns.
 
-    ``order`` names the column with the arrival order (default: file order);
+    ``order`` names the column with the arrival order (default: by date);
     ``as_of`` replaces the current time for the future-date check. Missing
     business days are information only.
     """

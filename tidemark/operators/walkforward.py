@@ -41,13 +41,14 @@ def expanding_folds(counts: DataFrame, keys: list[str], first: int, step: int) -
     )
 
 
-def fold_models(folds: DataFrame, keys: list[str], k: int, seed: int = 42) -> DataFrame:
-    """One model per fold, fitted on [lo, train_hi)."""
+def fold_models(folds: DataFrame, keys: list[str], k: int | DataFrame, seed: int = 42) -> DataFrame:
+    """One model per fold, fitted on [lo, train_hi); ``k`` for all series, or a table (keys, k)."""
     lo = F.col("lo") if "lo" in folds.columns else F.lit(0)
+    folds = folds.join(k, keys) if isinstance(k, DataFrame) else folds.withColumn("k", F.lit(k))
     return folds.withColumns(
         {
-            "k": F.lit(k), "seed": F.lit(seed).cast("long"), "lo": lo.cast("long"), "hi": F.col("train_hi"),
-            "model_id": F.concat_ws("|", *keys, F.lit(k), F.lit(seed), F.concat(F.lit("fold"), F.col("fold"))),
+            "seed": F.lit(seed).cast("long"), "lo": lo.cast("long"), "hi": F.col("train_hi"),
+            "model_id": F.concat_ws("|", *keys, "k", F.lit(seed), F.concat(F.lit("fold"), F.col("fold"))),
         }
     ).drop("train_hi", "test_lo", "test_hi", "fold")
 
@@ -180,7 +181,7 @@ def _labels(packed, params, keys, d) -> DataFrame:
 
 
 def walk_forward_regimes(
-    df: DataFrame, features: list[str], k: int, keys: list[str] = ["series_id"], ret: str = "ret",
+    df: DataFrame, features: list[str], k: int | DataFrame, keys: list[str] = ["series_id"], ret: str = "ret",
     first: int = 1260, step: int = 63, **fit,
 ) -> DataFrame:
     """Rows with ``regime_label`` decoded without looking ahead.
@@ -220,8 +221,11 @@ def _project(rows, packed, params, labels, ranges, keys, d) -> DataFrame:
     states = md.hmm_decode(packed, shift_range(params, ranges, keys), keys, d)
     named = states.join(labels, ["model_id", "state"]).join(params.select("model_id", *keys), "model_id")
     named = named.select(*keys, F.col("pos").alias(POS), F.col("state").alias("_s"), F.col("regime_label").alias("_l"))
-    out = rows.join(named, [*keys, POS], "left")
-    return out.withColumns(
+    return _placed(rows, named, [*keys, POS])
+
+
+def _placed(rows: DataFrame, named: DataFrame, on: list[str]) -> DataFrame:
+    return rows.join(named, on, "left").withColumns(
         {"regime_state": F.coalesce("_s", F.lit(WARMUP)), "regime_label": F.coalesce("_l", F.lit(WARMUP_LABEL))}
     ).drop("_s", "_l")
 
@@ -236,6 +240,24 @@ def _numbered(df: DataFrame, keys: list[str], price: str) -> DataFrame:
     return stage(drop_halo(with_halo(rows, halo=1).withColumn("ret", if_zero(step))).drop(BLK))
 
 
+def oos_folds(
+    df: DataFrame, features: list[str], keys: list[str] = ["series_id"], start: str | None = None,
+    years: int = 4, months: int = 6, price: str = "raw_close",
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Numbered rows, packed blocks and the fold table with selection and scaling of every fold; no model.
+
+    A series that is not longer than the training window has one fold with an
+    empty test range.
+    """
+    if start:
+        df = df.filter(F.col("date") >= F.lit(start).cast("date"))
+    rows = _numbered(df, keys, price)
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
+    first, step = years * 252, months * 21
+    packed = pack(rows, keys, features, "ret")
+    return rows, packed, stage(fold_scaling(packed, rows, expanding_folds(counts, keys, first, step), keys, features))
+
+
 def walk_forward_oos(
     df: DataFrame, features: list[str], k: int = 3, keys: list[str] = ["series_id"], start: str | None = None,
     years: int = 4, months: int = 6, price: str = "raw_close", **fit,
@@ -244,20 +266,11 @@ def walk_forward_oos(
 
     Selection, scaling, model and labels of a fold come from its training rows
     alone; the next ``months`` are decoded as their own sequence. The first
-    ``years`` stay "Warmup / Undefined".
+    ``years`` stay "Warmup / Undefined", and so does a series without more rows.
     """
-    if start:
-        df = df.filter(F.col("date") >= F.lit(start).cast("date"))
-    rows = _numbered(df, keys, price)
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
-    first, step = years * 252, months * 21
-    short = counts.filter(F.col("n_rows") <= first).limit(5).collect()
-    if short:
-        raise ValueError(f"series not longer than the training window of {first} rows: {short}")
-    packed = pack(rows, keys, features, "ret")
-    folds = stage(fold_scaling(packed, rows, expanding_folds(counts, keys, first, step), keys, features))
+    rows, packed, folds = oos_folds(df, features, keys, start, years, months, price)
     d = len(features)
-    models = fold_models(folds, keys, k).drop("selected")
+    models = fold_models(folds.filter("test_lo < test_hi"), keys, k).drop("selected")
     params = md.hmm_fit(packed, models, keys, d, **fit)
     labels = stage(_labels(packed, params, keys, d))
     return _project(rows, packed, params, labels, folds, keys, d), folds
@@ -270,43 +283,43 @@ def oos_partitions(
     """Everything fitted on the first split, all splits decoded: rows and fold table.
 
     ``splits`` maps a name to its first and last date; the first entry is the
-    training split. Rows outside the splits are dropped.
+    training split. A row is in every split that holds its date; rows outside
+    the splits are dropped.
     """
     names = list(splits)
     inside = lambda s: F.col("date").between(*[F.lit(v).cast("date") for v in splits[s]])
-    split = F.lit(None).cast("string")
-    for s in names:
-        split = F.when(inside(s), s).otherwise(split)
-    rows = _numbered(df, keys, price).withColumn("split", split)
+    numbered = _numbered(df, keys, price)
+    held = F.filter(F.array(*[F.when(inside(s), F.lit(s)) for s in names]), lambda s: s.isNotNull())
+    rows = numbered.withColumn("split", F.explode(held))
     ranges = stage(
-        rows.filter(F.col("split").isNotNull()).groupBy(*keys, "split")
+        rows.groupBy(*keys, "split")
         .agg(F.min(POS).alias("test_lo"), (F.max(POS) + 1).alias("test_hi"))
     )
     train = ranges.filter(F.col("split") == names[0]).select(
         *keys, F.lit(0).alias("fold"), F.col("test_lo").alias("train_lo"), F.col("test_hi").alias("train_hi"),
         "test_lo", "test_hi",
     )
-    packed = pack(rows, keys, features, "ret")
-    folds = stage(fold_scaling(packed, rows, train, keys, features))
+    packed = pack(numbered, keys, features, "ret")
+    folds = stage(fold_scaling(packed, numbered, train, keys, features))
     d = len(features)
     models = fold_models(folds.drop("train_lo"), keys, k).drop("selected")
     params = md.hmm_fit(packed, models, keys, d, **fit)
     labels = stage(_labels(packed, params, keys, d))
-    pieces = [
-        _project(
-            rows.filter(F.col("split") == s), packed, params, labels,
-            ranges.filter(F.col("split") == s).withColumn("fold", F.lit(0)), keys, d,
-        )
-        for s in names
-    ]
-    out = pieces[0]
-    for piece in pieces[1:]:
-        out = out.unionByName(piece)
+    # one decode: every split is a range of its own of the same parameters
+    moved = params.join(ranges, keys).withColumns(
+        {
+            "_base": F.col("model_id"), "model_id": F.concat_ws("|", "model_id", "split"),
+            "lo": F.greatest("lo", "test_lo"), "hi": F.col("test_hi"),
+        }
+    ).filter("lo < hi")
+    states = md.hmm_decode(packed, moved, keys, d).join(moved.select("model_id", "_base", "split", *keys), "model_id")
+    named = states.join(labels.withColumnRenamed("model_id", "_base"), ["_base", "state"])
+    out = _placed(rows, named.select(*keys, "split", F.col("pos").alias(POS), F.col("state").alias("_s"), F.col("regime_label").alias("_l")), [*keys, "split", POS])
     return out, folds
 
 
 def train_test_stability(
-    df: DataFrame, features: list[str], k: int, keys: list[str] = ["series_id"], ret: str = "ret",
+    df: DataFrame, features: list[str], k: int | DataFrame, keys: list[str] = ["series_id"], ret: str = "ret",
     share: float = 0.70, **fit,
 ) -> tuple[DataFrame, DataFrame]:
     """Fit on the first ``share`` of the complete rows, compare state returns with the rest."""
@@ -378,20 +391,20 @@ def model_sweep(
             F.coalesce("silhouette", F.lit(0.0)).alias("silhouette_score"), "avg_duration",
         )
 
-    # each model starts from the one before, so the cheaper fits run once
-    rounds = {"max_iter": fit["max_iter"]} if "max_iter" in fit else {}
-    km = md.kmeans_fit(packed, models, keys, d, **rounds)
-    gm = md.gmm_fit(packed, models, keys, d, start=km, **rounds)
-    hm = md.hmm_fit(packed, models, keys, d, start=gm, **rounds)
+    # each model starts from the one before, as ``hmm_fit`` alone would fit them
+    steps = {"kmeans": fit.get("kmeans_iter", 100), "gmm": fit.get("gmm_iter", 100)}
+    last = {n: fit[n] for n in ("max_iter", "tol") if n in fit}
+    km = md.kmeans_fit(packed, models, keys, d, steps["kmeans"])
+    gm = md.gmm_fit(packed, models, keys, d, steps["gmm"], start=km)
+    hm = md.hmm_fit(packed, models, keys, d, start=gm, **last)
     decoded = stage(md.hmm_decode(packed, hm, keys, d))
-    final = hm.drop("log_likelihood").join(md.hmm_score(packed, hm, keys, d), "model_id")
     # positions serve as the order of the decoded rows
     runs = decoded.withColumnRenamed("pos", POS).withColumn("date", F.lit(None).cast("date"))
     runs = mean_run_length(runs, ["model_id"], "state")
     tables = [
         shaped(quality(gm, md.gmm_assign(packed, gm, keys, d), "gmm", d), "GMM"),
         shaped(quality(km, md.kmeans_assign(packed, km, keys, d), "kmeans", d), "KMeans"),
-        shaped(quality(final, decoded, "hmm", d).join(runs, "model_id", "left"), "HMM", "avg_duration"),
+        shaped(quality(hm, decoded, "hmm", d).join(runs, "model_id", "left"), "HMM", "avg_duration"),
     ]
     small = [k for k in ks if k <= 3]
     if small:

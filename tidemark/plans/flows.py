@@ -88,42 +88,42 @@ def _with_returns(df: DataFrame) -> DataFrame:
 def fit_regimes(
     spark: SparkSession, features: str, names: list[str], out: str, ks: list[int] = [2, 3, 4, 5, 6],
     override: tuple[str, int] | None = None, **fit,
-) -> int:
-    """Compare models, fit the chosen HMM on all rows and write labelled data.
+) -> None:
+    """Compare models, fit each series' chosen HMM on all its rows and write labelled data.
 
-    The state count of the first series in order is used for all series, so
-    that one labelled table results; pass ``override`` to set it.
+    Every series has the state count that is best for it (``override`` sets one
+    for all); the labelled table carries it as ``n_states``.
     """
     df = stage(_with_returns(read_parquet_table(spark, features)))
     comparison = stage(walkforward.model_sweep(df, names, KEYS, ks=ks, **fit))
     write_report_csv(comparison, f"{out}/model_comparison.csv")
     best = walkforward.best_model(comparison, KEYS, override)
-    k = override[1] if override else best.orderBy(*KEYS).first()["n_components"]
+    counts = stage(best.select(*KEYS, F.col("n_components").alias("k")))
     rows = stage(number_complete_rows(df, KEYS, names))
     packed = pack(rows, KEYS, names, "ret")
-    params = models.hmm_fit(packed, stage(models.model_table(packed, KEYS, [k])), KEYS, len(names), **fit)
+    params = models.hmm_fit(packed, stage(models.model_table(packed, KEYS, counts)), KEYS, len(names), **fit)
     models.save_params(params, f"{out}/hmm_parameters.parquet")
     states = models.hmm_decode(packed, params, KEYS, len(names)).join(params.select("model_id", *KEYS), "model_id")
     placed = rows.select(*KEYS, "date", F.col(POS).alias("pos")).join(states, [*KEYS, "pos"])
     placed = placed.select(*KEYS, "date", F.col("state").alias("regime_state"))
     labelled = stage(
         df.join(placed, [*KEYS, "date"], "left").fillna(regimes.WARMUP, subset=["regime_state"])
+        .join(counts.withColumnRenamed("k", "n_states"), KEYS, "left")
     )
-    summary = stage(regimes.regime_summary(labelled, KEYS, k))
+    summary = stage(regimes.regime_summary(labelled, KEYS, "n_states"))
     labelled = regimes.apply_labels(labelled, summary, KEYS)
     write_table(labelled, f"{out}/labelled.parquet")
     write_report_csv(summary, f"{out}/regime_summary.csv")
-    matrix = regimes.transition_matrix(labelled, KEYS, k)
+    matrix = regimes.transition_matrix(labelled, KEYS, "n_states")
     write_report_csv(matrix, f"{out}/transition_matrix.csv")
-    states_report, verdict = walkforward.train_test_stability(df, names, k, KEYS, **fit)
-    report = extend_report(best.agg(F.count(F.lit(1)).alias("series")), "walk_forward_stability", verdict)
+    states_report, verdict = walkforward.train_test_stability(df, names, counts, KEYS, **fit)
+    report = extend_report(best, "walk_forward_stability", verdict, KEYS)
     write_report_json(report, f"{out}/selected_model_report.json")
     write_report_csv(states_report, f"{out}/state_stability.csv")
-    return k
 
 
 def run_backtests(
-    spark: SparkSession, labelled: str, names: list[str], out: str, k: int, n_paths: int = 5000,
+    spark: SparkSession, labelled: str, names: list[str], out: str, n_paths: int = 5000,
     horizons: list[int] = [21, 63, 126, 252], periods=strategies.STRESS_PERIODS,
     walk_forward: bool = True, first: int = 1260, step: int = 63, costs: dict | None = None, **fit,
 ) -> None:
@@ -131,10 +131,11 @@ def run_backtests(
     costs = costs or {}
     df = stage(read_parquet_table(spark, labelled))
     write_report_csv(risk.risk_report(df, KEYS), f"{out}/risk_report.csv")
-    write_report_csv(regimes.regime_risk(df, KEYS, k), f"{out}/regime_risk.csv")
+    write_report_csv(regimes.regime_risk(df, KEYS, "n_states"), f"{out}/regime_risk.csv")
     signals = df
     if walk_forward:
-        signals = stage(walkforward.walk_forward_regimes(df, names, k, KEYS, first=first, step=step, **fit))
+        counts = df.groupBy(*KEYS).agg(F.max("n_states").alias("k"))
+        signals = stage(walkforward.walk_forward_regimes(df, names, counts, KEYS, first=first, step=step, **fit))
     returns = stage(strategies.strategy_returns(signals, KEYS, "raw_close", **costs))
     curves = strategies.equity_curves(returns, KEYS)
     write_table(strategies.wide_curves(curves, KEYS), f"{out}/equity_curves.parquet")
@@ -144,12 +145,9 @@ def run_backtests(
     write_table(strategies.rolling_metrics(returns, KEYS), f"{out}/rolling_metrics.parquet")
     stress = {c: v for c, v in costs.items() if c in ("fee_bps", "slip_bps", "cash_yield")}
     write_report_csv(strategies.stress_report(returns, spark, periods, KEYS, **stress), f"{out}/stress_report.csv")
-    matrix = stage(regimes.transition_matrix(df, KEYS, k))
-    seen = df.filter(F.col("regime_state") >= 0)
-    now = regimes.current_state(seen, KEYS, ["regime_state"]).select(*KEYS, F.col("regime_state").alias("start_state"))
     pools = resample.return_pools(df, KEYS, "ret", "regime_state")
-    paths = resample.markov_paths(pools, matrix, now, KEYS, n_paths, horizons)
-    write_report_csv(resample.path_stats(stage(paths), KEYS), f"{out}/monte_carlo_summary.csv")
+    paths = resample.bootstrap_paths(pools, KEYS, n_paths, horizons)
+    write_report_csv(resample.path_stats(stage(paths), KEYS), f"{out}/bootstrap_summary.csv")
 
 
 def validate_out_of_sample(

@@ -11,14 +11,11 @@ from ..operators.layout import plain
 
 
 def write_table(df: DataFrame, path: str, by: list[str] = ["series_id"]) -> None:
-    """Parquet, one folder per series, rows of a file in date order.
-
-    Rows are not gathered per series first: a hot series is written by as many
-    tasks as hold rows of it.
-    """
+    """Parquet, clustered by series and date: as many files as there are tasks, whatever the
+    number of series, and a reader of one series skips the others by their statistics."""
     df = plain(df)
     order = [*by, "date"] if "date" in df.columns else by
-    df.sortWithinPartitions(*order).write.mode("overwrite").partitionBy(*by).parquet(path)
+    df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
 
 
 def write_report_csv(df: DataFrame, path: str) -> None:
@@ -29,10 +26,10 @@ def write_report_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def extend_report(report: DataFrame, section: str, part: DataFrame) -> DataFrame:
-    """One-row report with one more section, the rows of ``part`` as an array."""
-    rows = part.agg(F.collect_list(F.struct(*part.columns)).alias(section))
-    return attach(report.drop(section), rows)
+def extend_report(report: DataFrame, section: str, part: DataFrame, keys: list[str] = ["series_id"]) -> DataFrame:
+    """Report rows with one more section: the row of ``part`` with the same keys, as a struct."""
+    rest = [c for c in part.columns if c not in keys]
+    return report.drop(section).join(part.select(*keys, F.struct(*rest).alias(section)), keys, "left")
 
 
 def dataset_metadata(df: DataFrame, source: str, keys: list[str] = ["series_id"]) -> DataFrame:

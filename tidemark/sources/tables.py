@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import finite_columns
 from ..operators.layout import date_chunk, index_rows
 from ..session import stage
 
@@ -77,8 +78,9 @@ def daily_covariate(spark: SparkSession, folder: str, name: str = "vix_close") -
 
 
 def read_parquet_table(spark: SparkSession, path: str, date: str | None = "date") -> DataFrame:
-    """Cleaned, feature or labelled table; the date column comes back as a date."""
+    """Cleaned, feature or labelled table; the date column comes back as a date, NaN and infinities as NULL."""
     df = spark.read.parquet(path)
+    df = finite_columns(df, [c for c, kind in df.dtypes if kind in ("double", "float")])
     return df.withColumn(date, F.to_date(date)) if date and date in df.columns else df
 
 
@@ -95,13 +97,16 @@ def first_existing(spark: SparkSession, *paths: str) -> str:
     raise FileNotFoundError(f"none of these paths exists: {list(paths)}")
 
 
-def read_report(spark: SparkSession, *paths: str) -> DataFrame:
-    """Report from the first existing path, by its ending: parquet, csv or json."""
+def read_report(spark: SparkSession, *paths: str, multi_line: bool = False) -> DataFrame:
+    """Report from the first existing path, by its ending: parquet, csv or json.
+
+    ``multi_line``: JSON that spans lines, one document per file.
+    """
     path = first_existing(spark, *paths)
     if path.rstrip("/").endswith(".csv"):
         return spark.read.option("header", True).option("inferSchema", True).csv(path)
     if path.rstrip("/").endswith(".json"):
-        return spark.read.json(path)
+        return spark.read.option("multiLine", multi_line).json(path)
     return spark.read.parquet(path)
 
 
