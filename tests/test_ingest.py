@@ -116,3 +116,46 @@ def test_prune_walks_pairs_in_order():
 
 def test_layout_columns_can_be_dropped(spark):
     assert plain(bars(spark, GOOD)).columns == bars(spark, GOOD).columns
+
+
+def clean_bars(n=80):
+    import numpy as np
+    import pandas as pd
+
+    days = pd.bdate_range("2020-01-01", periods=n).date
+    close = 100 + np.sin(np.arange(n))
+    return pd.DataFrame({"series_id": "a", "date": days, "open": close, "high": close + 1, "low": close - 1, "close": close, "volume": 10.0})
+
+
+def test_nan_is_a_missing_cell(spark, tmp_path):
+    from tidemark.operators import ingest, validate
+    from tidemark.sources.tables import read_parquet_table
+
+    pdf = clean_bars()
+    pdf.loc[40, "close"] = float("nan")
+    pdf.to_parquet(tmp_path / "bars.parquet")
+    raw = spark.read.parquet(str(tmp_path / "bars.parquet"))
+    for df in (raw, read_parquet_table(spark, str(tmp_path / "bars.parquet"))):
+        r = validate.validate_bars(df).first()
+        assert (r["non_numeric_count"], r["missing_values_count"], r["is_valid"]) == (1, 1, False)
+        assert {x["column_name"]: x["missing"] for x in ingest.count_missing(df).collect()}["close"] == 1
+    assert read_parquet_table(spark, str(tmp_path / "bars.parquet")).filter("close is null").count() == 1
+
+
+def test_files_of_unequal_size_have_no_order_of_their_own(spark, tmp_path):
+    from tidemark.operators import validate
+
+    df, path = clean_bars(), str(tmp_path / "parts")
+    for part in (df[:10], df[10:]):
+        spark.createDataFrame(part).coalesce(1).write.mode("append").parquet(path)
+    r = validate.validate_bars(spark.read.parquet(path)).first()
+    assert (r["unsorted_dates_count"], r["impossible_returns_count"], r["is_valid"]) == (0, 0, True)
+
+
+def test_slash_dates_are_month_first_unless_told(spark):
+    from tidemark.functions.columns import parse_date
+
+    df = spark.createDataFrame([("03/04/2020",), ("25/12/2020",), ("2020-02-01",), ("x",)], "d string")
+    got = lambda first: [str(r[0]) for r in df.select(parse_date("d", first)).collect()]
+    assert got(False) == ["2020-03-04", "2020-12-25", "2020-02-01", "None"]
+    assert got(True) == ["2020-04-03", "2020-12-25", "2020-02-01", "None"]
