@@ -147,7 +147,7 @@ NU_GRID = (2, 3, 4, 5, 6, 8, 10, 15, 20, 30)
 
 
 def student_t_fit(
-    pools: DataFrame, keys: list[str], grid=NU_GRID, max_iter: int = 200, tol: float = 1e-7, lazy_rounds: int = 6
+    pools: DataFrame, keys: list[str], grid=NU_GRID, max_iter: int = 200, tol: float = 1e-7, lazy_rounds: int = 1
 ) -> DataFrame:
     """Degrees of freedom, location and scale per (keys, pool), with the rounds taken.
 
