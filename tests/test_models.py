@@ -172,3 +172,34 @@ def test_tables_and_storage(data, hmm, tmp_path, spark):
     assert np.allclose(t.s, 1) and len(t) == 6
     e = md.emission_table(back, KEYS, FEATS)
     assert e.count() == 12 and set(md.summarize(back, KEYS).columns) >= {"log_likelihood", "converged"}
+
+
+def test_registered_fits_run_to_the_tolerance(monkeypatch):
+    """No registered query cuts the rounds of a fit below the default."""
+    from tidemark.catalog import models as cm
+    from tidemark.operators import walkforward as wf
+
+    class Seen(Exception):
+        pass
+
+    given = {}
+
+    def fit(*args, **options):
+        given[name] = options
+        raise Seen
+
+    for stub in ("scaled_features", "_raw_features"):
+        monkeypatch.setattr(cm, stub, lambda *a: None)
+    monkeypatch.setattr(cm, "prepared", lambda *a: (None, None))
+    monkeypatch.setattr(cm, "stage", lambda df: df)
+    monkeypatch.setattr(md, "model_table", lambda *a: None)
+    for kind in ("kmeans_fit", "gmm_fit", "hmm_fit"):
+        monkeypatch.setattr(md, kind, fit)
+    for kind in ("model_sweep", "seed_sensitivity", "train_test_stability", "walk_forward_regimes", "walk_forward_oos", "oos_partitions"):
+        monkeypatch.setattr(wf, kind, fit)
+    names = [n for n in cm.QUERIES if n not in ("walk_forward_folds", "embedding_clusters", "silhouette_squared")]
+    for name in names:
+        with pytest.raises(Seen):
+            cm.QUERIES[name](None, "")
+    assert not [(n, o) for n, o in given.items() if o.keys() & {"max_iter", "gmm_iter", "kmeans_iter", "tol"}]
+    assert set(given) == set(names)

@@ -19,8 +19,6 @@ from .sqlparts import query
 from .strategies import SPLITS
 
 KEYS = ["series_id"]
-#: Rounds of the registered fits: a round is a job, and these queries are timed. The functions default to 100.
-FEW = {"max_iter": 4, "gmm_iter": 9, "kmeans_iter": 9}
 FEATS = ["ret_log", "vol_close_21d", "ret_21d", "hl_range_pct"]
 
 
@@ -44,25 +42,31 @@ def _fit(kind, ks=(3,), seeds=(42,), **options):
     return run
 
 
+def _rest(params):
+    """Rounds of every model, and whether it came to rest."""
+    return md.summarize(params, KEYS).select("model_id", "rounds", "converged")
+
+
 def q_kmeans(spark, sf):
-    rows, packed, params = _fit("kmeans", seeds=(42, 7, 11), max_iter=20)(spark, sf)
+    rows, packed, params = _fit("kmeans", seeds=(42, 7, 11))(spark, sf)
     best = md.best_seed(params, KEYS)
     out = md.kmeans_assign(packed, best, KEYS, len(FEATS)).join(best.select("model_id", *KEYS), "model_id")
     return out.groupBy(*KEYS, "state").agg(F.count(F.lit(1)).alias("n"), F.avg(F.array_max("proba")).alias("mean_share"))
 
 
 def q_gmm(spark, sf):
-    _, packed, params = _fit("gmm", max_iter=20, kmeans_iter=9)(spark, sf)
-    return md.information_criteria(params, "gmm", len(FEATS)).drop("means", "vars", "start", "trans", "shift", "inv")
+    _, packed, params = _fit("gmm")(spark, sf)
+    out = md.information_criteria(params, "gmm", len(FEATS)).withColumn("converged", ~F.col("active"))
+    return out.drop("means", "vars", "start", "trans", "shift", "inv", "active")
 
 
 def q_hmm(spark, sf):
-    _, packed, params = _fit("hmm", **FEW)(spark, sf)
-    return md.emission_table(params, KEYS, FEATS)
+    _, packed, params = _fit("hmm")(spark, sf)
+    return md.emission_table(params, KEYS, FEATS).join(_rest(params), "model_id")
 
 
 def q_hmm_states(spark, sf):
-    rows, packed, params = _fit("hmm", **FEW)(spark, sf)
+    rows, packed, params = _fit("hmm")(spark, sf)
     states = md.hmm_decode(packed, params, KEYS, len(FEATS)).join(params.select("model_id", *KEYS), "model_id")
     placed = rows.withColumnRenamed(POS, "pos").join(states, [*KEYS, "pos"])
     placed = placed.select(*KEYS, "date", "ret", F.col("state").alias("regime_state"))
@@ -70,34 +74,34 @@ def q_hmm_states(spark, sf):
 
 
 def q_posterior(spark, sf):
-    _, packed, params = _fit("hmm", **FEW)(spark, sf)
+    _, packed, params = _fit("hmm")(spark, sf)
     post = md.hmm_posterior(packed, params, KEYS, len(FEATS))
     total = F.aggregate("proba", F.lit(0.0), lambda a, x: a + x)
     return post.groupBy("model_id").agg(
         F.count(F.lit(1)).alias("n"), F.min(total).alias("least_total"), F.max(total).alias("most_total")
-    ).join(md.hmm_score(packed, params, KEYS, len(FEATS)), "model_id")
+    ).join(md.hmm_score(packed, params, KEYS, len(FEATS)), "model_id").join(_rest(params), "model_id")
 
 
 def q_sweep(spark, sf):
-    return wf.model_sweep(scaled_features(spark, sf), FEATS, KEYS, **FEW)
+    return wf.model_sweep(scaled_features(spark, sf), FEATS, KEYS)
 
 
 def q_best(spark, sf):
-    return wf.best_model(wf.model_sweep(scaled_features(spark, sf), FEATS, KEYS, **FEW), KEYS)
+    return wf.best_model(wf.model_sweep(scaled_features(spark, sf), FEATS, KEYS), KEYS)
 
 
 def q_seeds(spark, sf):
-    return wf.seed_sensitivity(scaled_features(spark, sf), FEATS, 3, KEYS, **FEW)
+    return wf.seed_sensitivity(scaled_features(spark, sf), FEATS, 3, KEYS)
 
 
 def q_stability(spark, sf):
-    states, _ = wf.train_test_stability(scaled_features(spark, sf), FEATS, 3, KEYS, **FEW)
+    states, _ = wf.train_test_stability(scaled_features(spark, sf), FEATS, 3, KEYS)
     return states
 
 
 def q_walk(spark, sf):
     df = scaled_features(spark, sf)
-    out = wf.walk_forward_regimes(df, FEATS, 3, KEYS, first=1260, step=63, **FEW)
+    out = wf.walk_forward_regimes(df, FEATS, 3, KEYS, first=1260, step=63)
     rets = strategies.strategy_returns(stage(out), KEYS, "raw_close")
     return strategies.backtest_summary(rets, KEYS)
 
@@ -110,7 +114,7 @@ def _raw_features(spark, sf):
 
 
 def q_walk_oos(spark, sf):
-    out, _ = wf.walk_forward_oos(_raw_features(spark, sf), OOS_FEATS, 3, KEYS, years=4, months=6, **FEW)
+    out, _ = wf.walk_forward_oos(_raw_features(spark, sf), OOS_FEATS, 3, KEYS, years=4, months=6)
     return strategies.backtest_summary(strategies.strategy_returns(stage(out), KEYS, "raw_close"), KEYS)
 
 
@@ -120,7 +124,7 @@ def q_folds(spark, sf):
 
 
 def q_partitions(spark, sf):
-    out, _ = wf.oos_partitions(_raw_features(spark, sf), OOS_FEATS, SPLITS, 3, KEYS, **FEW)
+    out, _ = wf.oos_partitions(_raw_features(spark, sf), OOS_FEATS, SPLITS, 3, KEYS)
     keys = [*KEYS, "split"]
     return strategies.backtest_summary(strategies.strategy_returns(stage(out), keys, "raw_close"), keys)
 

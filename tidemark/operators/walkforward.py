@@ -388,7 +388,8 @@ def model_sweep(
             table = table.withColumn("silhouette", F.lit(0.0))
         return table.select(
             *keys, "model_type", F.col("k").alias("n_components"), "seed", "log_likelihood", "aic", "bic",
-            F.coalesce("silhouette", F.lit(0.0)).alias("silhouette_score"), "avg_duration",
+            F.coalesce("silhouette", F.lit(0.0)).alias("silhouette_score"), "avg_duration", "rounds",
+            (~F.col("active")).alias("converged"),
         )
 
     # each model starts from the one before, as ``hmm_fit`` alone would fit them
