@@ -99,3 +99,21 @@ def test_components_of_paths_and_stars(spark):
     assert all(out[i] == 0 for i in range(61)) and all(out[i] == 1000 for i in range(1000, 1100)) and out[2001] == 2000
     a, b = local_components(np.array([5, 3, 9]), np.array([3, 1, 9]))
     assert dict(zip(a.tolist(), b.tolist())) == {3: 1, 5: 1}
+
+
+@pytest.mark.parametrize("threshold", [0.85, 0.80])
+def test_recall_at_the_threshold_of_both_depths(threshold):
+    """Pairs whose signatures agree as often as pairs at the threshold share a prefix in some order, in sparse and in dense regions."""
+    rng, pairs = np.random.default_rng(5), 20_000
+    agree = rng.random((pairs, near_dedup.SIGNATURE)) < threshold
+    least, most = near_dedup.depths(threshold)
+    for depth, orders in ((least, near_dedup._POSITIONS[: near_dedup.ORDERS]), (most, near_dedup._POSITIONS)):
+        met = np.zeros(pairs, bool)
+        for positions in orders:
+            met |= agree[:, positions[:depth]].all(1)
+        assert (~met).sum() <= 3, depth
+
+
+def test_further_orders_are_cut_deep():
+    keys = np.array([[near_dedup.ORDERS, 1, 1, 1, 1], [near_dedup.ORDERS, 1, 1, 1, 2], [near_dedup.ORDERS, 1, 1, 1, 2]])
+    assert prefix_links(keys, 2, 4).tolist() == [False, True]

@@ -5,7 +5,8 @@
 2. Forest: ``ORDERS`` orders, each over ``DEPTH`` positions of the signature, are
    range-partitioned and sorted together. Neighbours whose longest common prefix
    is deep enough are candidates. The depth adapts: a region that holds more than
-   ``REGION`` classes is cut one or two positions deeper. Chains of neighbours
+   ``REGION`` classes is cut one or two positions deeper; ``DENSE_ORDERS`` further
+   orders, always at the deepest cut, keep the recall there. Chains of neighbours
    need one edge per class and order, however large a region is.
 3. The candidates' connected parts are the units of exact work. A unit is split
    into blocks of bounded size. Inside a block a search from class to class
@@ -41,12 +42,14 @@ from .substring_dedup import rolling
 from .token_files import ragged_take
 
 SIGNATURE, ORDERS, DEPTH, REGION = 128, 32, 8, 64
+#: Further orders at the depth of dense regions, where a prefix is shared less often.
+DENSE_ORDERS = 40
 #: Classes and shingles of a block of exact work, and hubs common to the blocks of a unit.
 BLOCK_CLASSES, BLOCK_SHINGLES, HUBS = 1000, 2_000_000, 16
 
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 _SEEDS = np.random.default_rng(11).integers(1, 1 << 32, (3, SIGNATURE), dtype=np.uint32) | np.uint32(1)
-_POSITIONS = np.stack([np.random.default_rng(100 + o).permutation(SIGNATURE)[:DEPTH] for o in range(ORDERS)])
+_POSITIONS = np.stack([np.random.default_rng(100 + o).permutation(SIGNATURE)[:DEPTH] for o in range(ORDERS + DENSE_ORDERS)])
 
 
 def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,6 +130,7 @@ def prefix_links(keys: np.ndarray, least: int, most: int) -> np.ndarray:
     for d in range(most - 1, least - 1, -1):
         run = np.concatenate([[0], np.cumsum(shared < d)])
         depth[(np.bincount(run)[run] <= REGION)[1:]] = d
+    depth[keys[1:, 0] >= ORDERS] = most
     return shared >= depth
 
 
@@ -138,7 +142,7 @@ def candidate_links(classes: DataFrame, threshold: float) -> DataFrame:
         for batch in batches:
             n = batch.num_rows
             marks = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(n, SIGNATURE)
-            for o in range(ORDERS):
+            for o in range(ORDERS + DENSE_ORDERS):
                 key = np.empty((n, 1 + 2 * DEPTH), np.uint8)
                 key[:, 0] = o
                 key[:, 1:] = np.ascontiguousarray(marks[:, _POSITIONS[o]].astype(">u2")).view(np.uint8)
