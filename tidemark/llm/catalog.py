@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import (
-    decontaminate, exact_dedup, language_id, license_scan, near_dedup, quality, sentencepiece_fst, substring_dedup, token_files, toxicity,
+    decontaminate, exact_dedup, filter_audit, language_id, license_scan, near_dedup, quality, sentencepiece_fst, substring_dedup, token_files, toxicity,
 )
 
 QUERIES = {
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_token_files": token_files.op8_token_files,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_license_scan": license_scan.op10_license_scan,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
 }
 
 #: Trained models, binary files and the model of pieces have no SQL; tests hold them against brute force.
@@ -25,4 +26,5 @@ ORACLES = {
     "op3_decontaminate": decontaminate.SQL,
     "op7_substring_dedup": substring_dedup.SQL,
     "op9_near_dedup": near_dedup.SQL,
+    "op11_filter_audit": filter_audit.SQL,
 }
