@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import (
-    decontaminate, exact_dedup, filter_audit, language_id, license_scan, merkle, near_dedup, quality, sentencepiece_fst, substring_dedup, token_files, toxicity,
+    decontaminate, exact_dedup, filter_audit, language_id, license_scan, merkle, near_dedup, packing, quality, sentencepiece_fst, substring_dedup, token_files, toxicity,
 )
 
 QUERIES = {
@@ -18,6 +18,7 @@ QUERIES = {
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_license_scan": license_scan.op10_license_scan,
     "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_packing": packing.op12_packing,
     "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 
