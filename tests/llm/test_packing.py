@@ -35,17 +35,9 @@ def test_ids_are_those_of_the_library(library, encoder):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet=" \n\t'sa1, é!x", max_size=14))
-def test_any_white_space(text):
-    lib = Tokenizer.from_file(pk.TOKENIZER) if not hasattr(test_any_white_space, "lib") else test_any_white_space.lib
-    test_any_white_space.lib = lib
-    assert encoder()(pa.array([text]))[0].tolist() == lib.encode(text, add_special_tokens=False).ids
-
-
-def encoder(kept=[]):
-    if not kept:
-        kept.append(pk.ByteEncoder(pk.TOKENIZER))
-    return kept[0]
+@given(text=st.text(alphabet=" \n\t\r\x0b\x1c\x85\u3000\u2003\u200b'sa1, é!x\u0301Ⅷ日", max_size=14))
+def test_any_white_space(library, encoder, text):
+    assert encoder(text).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
 def spread(sizes, window, m):
