@@ -4,6 +4,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import em
 from tidemark.operators import kernels as kn
 from tidemark.operators import models as md
 from tidemark.operators.packing import number_complete_rows, pack
@@ -92,29 +93,124 @@ def test_planted_states_are_found(data, hmm):
         assert np.allclose(t.sum(1), 1) and np.diag(t).min() > 0.9 and sum(r["start"]) == pytest.approx(1)
 
 
+def whole_rows(rows, series):
+    x = rows.filter(f"series_id = '{series}'").orderBy("_pos").select(*FEATS).toPandas().to_numpy()
+    return x, kn.rows_of(x.ravel(), len(x), 0, 16384, 2, 0, len(x), np.zeros(2), np.ones(2))
+
+
+def machine(rows, phases, starts=1, limit=100, tol=1e-3, theta=None, k=3, **more):
+    """Passes of one fit until it rests: (state, the likelihoods that each pass saw)."""
+    state, seen = em.begin(k, rows.x.shape[2], 42, phases, starts, dict.fromkeys(("kmeans", "gmm", "hmm"), (limit, tol)), theta, **more), []
+    while state["phase"] != "done":
+        sums = em.gather(state, rows)
+        seen.append((state["phase"], sums["ll"].copy() if "ll" in sums else None))
+        em.absorb(state, sums)
+    return state, seen
+
+
 def test_one_round_equals_plain_baum_welch(data):
-    rows, packed = data
-    models = md.model_table(packed, KEYS, [3])
-    start = md.gmm_fit(packed, models, KEYS, 2, max_iter=2, kmeans_iter=2, size=64)
-    one = md._round("hmm", packed, md._restart(start), KEYS, 2, 64, False, 1e-9).filter("series_id = 'a'").first()
-    x = rows.filter("series_id = 'a'").orderBy("_pos").select(*FEATS).toPandas().to_numpy()
-    ll, gamma, _ = brute_force(start.filter("series_id = 'a'").first(), x)
-    assert one["log_likelihood"] == pytest.approx(ll)
+    x, rows = whole_rows(data[0], "a")
+    theta = machine(rows, ["seed", "kmeans", "gmm"], limit=2)[0]["theta"]
+    state = em.begin(3, 2, 42, ["hmm"], 1, {"hmm": (9, 1e-9)}, theta)
+    p = dict(zip(("means", "vars", "start", "trans"), (a[0] for a in em.parameters(state, state["v"]))))
+    ll, gamma, _ = brute_force(p, x)
+    sums = em.gather(state, rows)
+    assert sums["ll"][0] == pytest.approx(ll)
+    em.absorb(state, sums)
+    means, vars_, start, trans = (a[0] for a in em.parameters(state, state["v"]))
     w = gamma.sum(0)[:, None]
     mu = gamma.T @ x / w
-    assert np.allclose(np.reshape(one["means"], (3, 2)), mu)
-    assert np.allclose(np.reshape(one["vars"], (3, 2)), np.maximum(gamma.T @ x**2 / w - mu**2, md.MIN_COVAR))
+    assert np.allclose(means, mu) and np.allclose(start, gamma[0]) and np.allclose(trans.sum(1), 1)
+    assert np.allclose(vars_, np.maximum(gamma.T @ x**2 / w - mu**2, em.MIN_COVAR))
+
+
+@pytest.mark.parametrize("phases", [["seed", "kmeans"], ["seed", "kmeans", "gmm"], ["seed", "kmeans", "gmm", "hmm"]])
+def test_likelihood_does_not_fall(data, phases, monkeypatch):
+    """Without extrapolation at every pass, with it over the accepted points."""
+    _, rows = whole_rows(data[0], "b")
+    state, _ = machine(rows, phases, tol=1e-9)
+    monkeypatch.setattr(em, "FARTHEST", 1.0)
+    plain, seen = machine(rows, phases, tol=1e-9)
+    for phase in phases[1:]:
+        assert (np.diff([ll[0] for p, ll in seen if p == phase]) > -1e-7).all()
+    assert state["ll"] >= plain["ll"] - 1e-6 * abs(plain["ll"])
+
+
+def slow_rows(n=3000):
+    """Two components that overlap: plain EM needs many rounds."""
+    rng = np.random.default_rng(2)
+    x = np.where(rng.random((n, 1)) < 0.4, rng.normal(-0.8, 1, (n, 1)), rng.normal(0.8, 1.1, (n, 1)))
+    return kn.rows_of(x.ravel(), n, 0, 16384, 1, 0, n, np.zeros(1), np.ones(1))
+
+
+def test_extrapolation_saves_passes_to_the_same_point(monkeypatch):
+    rows = slow_rows()
+    limits = {"limit": 20_000, "tol": 1e-11, "k": 2}
+    fast, seen = machine(rows, ["seed", "kmeans", "gmm"], **limits)
+    monkeypatch.setattr(em, "FARTHEST", 1.0)
+    slow, all_seen = machine(rows, ["seed", "kmeans", "gmm"], **limits)
+    count = lambda s: sum(p == "gmm" for p, _ in s)
+    assert count(seen) < count(all_seen) / 3
+    assert fast["rest"] and slow["rest"] and fast["ll"] >= slow["ll"] - 1e-3
+    assert np.allclose(fast["theta"]["means"], slow["theta"]["means"], atol=0.05)
 
 
 @pytest.mark.parametrize("kind", ["kmeans", "gmm", "hmm"])
-def test_likelihood_does_not_fall(data, kind):
-    _, packed = data
-    params = md.initial_centers(packed, md.model_table(packed, KEYS, [3]), KEYS, 2, 64)
-    seen = []
-    for _ in range(4):
-        params = md.stage(md._round(kind, packed, params, KEYS, 2, 64, False, 0.0))
-        seen.append([r["log_likelihood"] for r in params.orderBy("series_id").collect()])
-    assert (np.diff(np.array(seen), axis=0) > -1e-6).all()
+def test_links_of_any_length_give_the_same_fit(data, kind):
+    """Ten links per model and one job per pass, or one link and one job."""
+    rows, many = data
+    one = pack(rows, KEYS, FEATS)
+    fit = getattr(md, f"{kind}_fit")
+    fits = [fit(p, md.model_table(p, KEYS, [2, 3]), KEYS, 2, size=s, starts=2, **({"max_iter": 6})) for p, s in ((many, 64), (one, 16384))]
+    a, b = (f.orderBy("model_id").toPandas() for f in fits)
+    assert a.model_id.tolist() == b.model_id.tolist() and len(a) == 4 and (a["rounds"] == b["rounds"]).all()
+    assert np.allclose(a.log_likelihood, b.log_likelihood)
+    for c in ("means", "vars", "start", "trans", "scores"):
+        assert all(np.allclose(x, y, atol=1e-7) for x, y in zip(a[c], b[c])), c
+
+
+def test_seeding_finds_what_random_rows_miss(data):
+    """Every start of the oversampled seeding reaches the inertia of the true centres."""
+    rows, packed = data
+    km = md.kmeans_fit(packed, md.model_table(packed, KEYS, [3]), KEYS, 2, size=64).collect()
+    for r in km:
+        x, _ = whole_rows(rows, r["series_id"])
+        cost = ((x[:, None] - np.reshape(r["means"], (3, 2))) ** 2).sum(2).min(1).sum()
+        assert r["log_likelihood"] == pytest.approx(-cost) and len(r["scores"]) == 10
+        assert max(r["scores"]) == pytest.approx(r["log_likelihood"]) and min(r["scores"]) > 1.05 * max(r["scores"])
+
+
+def switching(rows, packed, size):
+    models = md.model_table(packed, KEYS, [2])
+    fit = md.msr_fit(packed, models, KEYS, size=size, starts=5)
+    return fit, md.msr_probabilities(packed, fit, KEYS, size)
+
+
+def test_switching_regression_equals_plain_filter(spark):
+    rng = np.random.default_rng(5)
+    state = np.repeat(np.arange(12) % 2, 50)
+    pdf = pd.DataFrame({"series_id": "s", "date": pd.date_range("2015-01-01", periods=600).date, "r": rng.normal(np.array([0.4, -0.6])[state], np.array([0.5, 1.6])[state])})
+    rows = number_complete_rows(spark.createDataFrame(pdf), KEYS, ["r"]).cache()
+    x = rows.orderBy("_pos").toPandas().r.to_numpy()
+    for size in (64, 16384):
+        fit, found = switching(rows, pack(rows, KEYS, ["r"], size=size), size)
+        p = fit.first()
+        mu, va, tr = np.array(p["means"]), np.array(p["vars"]), np.reshape(p["trans"], (2, 2))
+        assert np.allclose(np.array(p["start"]) @ tr, p["start"], atol=1e-6) and p["log_likelihood"] >= max(p["scores"]) - 1e-2 and len(p["scores"]) == 5
+        dens = np.exp(-0.5 * (x[:, None] - mu) ** 2 / va) / np.sqrt(2 * np.pi * va)
+        ahead, filtered, predicted = np.array(p["start"]), [], []
+        for row in dens:
+            predicted.append(ahead)
+            now = ahead * row
+            filtered.append(now / now.sum())
+            ahead = filtered[-1] @ tr
+        smooth = [filtered[-1]]
+        for t in range(len(x) - 2, -1, -1):
+            smooth.insert(0, filtered[t] * (tr @ (smooth[0] / predicted[t + 1])))
+        got = found.orderBy("pos").toPandas()
+        assert np.allclose(np.stack(got.filtered), filtered, atol=1e-7) and np.allclose(np.stack(got.smoothed), smooth, atol=1e-7)
+        low = int(mu.argmin())
+        assert ((np.stack(got.smoothed)[:, low] > 0.5) == (state == 1)).mean() > 0.9
 
 
 def test_soft_shares_sum_to_one(data):

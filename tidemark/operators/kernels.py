@@ -1,7 +1,8 @@
 """Small array helpers used inside tasks. Each works on a stack of blocks.
 
 Shapes: B blocks, L rows per block, D features, K states. Rows outside a
-block's valid range are skipped by the mask ``ok``.
+block's valid range are skipped by the mask ``ok``. A link is a run of blocks
+that one task holds.
 """
 
 from __future__ import annotations
@@ -9,27 +10,35 @@ from __future__ import annotations
 import numpy as np
 
 EPS = 1e-15  # keeps the logarithm of a zero probability finite
+WIDTH = 256  # rows of a block
 
 
-def unpack(pdf, d: int, size: int):
-    """Features, row mask, positions and first-row mask of the batch's blocks.
+class Rows:
+    """Rows of one link as B blocks of at most ``WIDTH`` rows: x (B, L, D) scaled, ok, pos and first (B, L)."""
+
+    def __init__(self, x, ok, pos, first):
+        self.x, self.ok, self.pos, self.first = x, ok, pos, first
+
+
+def rows_of(flat, n: int, link: int, size: int, d: int, lo: int, hi: int, shift, inv) -> Rows:
+    """The rows of a packed link that a model uses.
 
     The mask keeps the rows whose position lies in the model's range [lo, hi)
     and that have every feature the model uses. Features are scaled with the
     model's ``shift`` and ``inv``; a feature with inv 0 is switched off.
     """
-    n = pdf["n"].to_numpy()
-    width = int(n.max())
-    x = np.zeros((len(pdf), width, d))
-    for i, flat in enumerate(pdf["xs"].to_numpy()):
-        x[i, : n[i]] = np.asarray(flat).reshape(-1, d)
-    pos = pdf["blk"].to_numpy()[:, None] * size + np.arange(width)[None, :]
-    lo, hi = pdf["lo"].to_numpy()[:, None], pdf["hi"].to_numpy()[:, None]
-    ok = (np.arange(width)[None, :] < n[:, None]) & (pos >= lo) & (pos < hi)
-    inv = stack(pdf["inv"], d)[:, None, :]
-    x = np.where(inv == 0, 0.0, (x - stack(pdf["shift"], d)[:, None, :]) * inv)
-    ok &= ~np.isnan(x).any(2)
-    return np.where(ok[..., None], x, 0.0), ok, pos, pos == lo
+    a, b = max(0, lo - link * size), min(n, hi - link * size)
+    count = max(0, b - a)
+    width = max(1, min(WIDTH, count))
+    blocks = max(1, -(-count // width))
+    x = np.zeros((blocks * width, d))
+    x[:count] = np.asarray(flat, dtype=float).reshape(-1, d)[a:b] if count else 0.0
+    inv = np.asarray(inv, dtype=float)
+    x = np.where(inv == 0, 0.0, (x - np.asarray(shift, dtype=float)) * inv)
+    ok = (np.arange(len(x)) < count) & ~np.isnan(x).any(1)
+    pos = link * size + a + np.arange(len(x))
+    shape = (blocks, width)
+    return Rows(np.where(ok[:, None], x, 0.0).reshape(*shape, d), ok.reshape(shape), pos.reshape(shape), (pos == lo).reshape(shape))
 
 
 def stack(column, *shape):
@@ -92,17 +101,24 @@ def best_chain(dens, log_trans, ok, first):
     return w
 
 
-def forward_backward(dens, trans, ok, first, entry, exit_):
-    """State probabilities of every row, and the expected transitions per block."""
+def forward(dens, trans, ok, first, entry):
+    """State probabilities of every row given the rows up to it."""
     b, width, k = dens.shape
     e = np.exp(dens - dens.max(2, keepdims=True))
-    alpha = np.zeros((b, width, k))
-    a = entry
+    alpha, a = np.zeros((b, width, k)), entry
     for t in range(width):
         step = np.where(first[:, t, None], a, (a[:, None, :] @ trans)[:, 0]) * e[:, t]
         step /= step.sum(1, keepdims=True)
         a = np.where(ok[:, t, None], step, a)
         alpha[:, t] = a
+    return alpha
+
+
+def forward_backward(dens, trans, ok, first, entry, exit_):
+    """State probabilities of every row, and the expected transitions per block."""
+    b, width, k = dens.shape
+    e = np.exp(dens - dens.max(2, keepdims=True))
+    alpha = forward(dens, trans, ok, first, entry)
     gamma = np.zeros((b, width, k))
     moves = np.zeros((b, k, k))
     back = exit_
@@ -139,6 +155,20 @@ def best_path(dens, log_trans, ok, first, entry, last):
     return states
 
 
+def best_states(rows: Rows, dens, log_trans, entry, last: int):
+    """Most likely states (B, L) of a link, from the scores before it and its last state (-1: the best one)."""
+    b, k = len(rows.x), dens.shape[2]
+    tiled = np.tile(log_trans, (b, 1, 1))
+    w = best_chain(dens, tiled, rows.ok, rows.first)
+    into, v = np.zeros((b, k)), entry
+    for i in range(b):
+        into[i], v = v, (v[:, None] + w[i]).max(0)
+    lasts, now = np.zeros(b, dtype=np.int64), int(v.argmax()) if last < 0 else last
+    for i in range(b - 1, -1, -1):
+        lasts[i], now = now, int((into[i] + w[i][:, now]).argmax())
+    return best_path(dens, tiled, rows.ok, rows.first, into, lasts)
+
+
 def draw_keys(pos, seed):
     """Pseudo-random key per (seed, row), the same wherever the row is processed."""
     z = pos.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (

@@ -1,40 +1,49 @@
-"""Regime models of many series at once: k-means, Gaussian mixture, Gaussian HMM.
+"""Regime models of many series at once: k-means, Gaussian mixture, Gaussian HMM, switching regression.
 
 One model is one row of a model table (series, number of states, seed, row
-range). All models of a table advance together: a round is a Spark job whose
-tasks turn packed blocks into sufficient statistics, followed by a sum per model
-and a parameter update. Parameters live in a table that is checkpointed once
-per round.
-
-The HMM recursions run along a series, yet no task walks a whole series. Every
-block gives the product of its step matrices; the short chain of products yields
-the state vectors at the block borders; then all blocks are independent.
+range). Its rows come in links of at most ``PACK`` rows (``packing.py``).
+
+A fit alternates passes over the rows with small updates (``em.py``). A model
+whose range is one link needs no exchange between its passes: its task goes on
+until the fit rests, and all such models of a table are one job. A model over
+several links advances by one job per pass: tasks sum up their links, sums meet
+per model, the new state is written. Models that have come to rest leave the
+job with their links. Both ways call the same functions on the same sums.
+
+The HMM recursions run along a series, yet no task walks a long series. Every
+link gives the product of its step matrices; the short chain of products yields
+the state vectors at the link borders; then all links are independent. Inside a
+link its blocks do the same, all blocks of a link at once.
 """
 
 from __future__ import annotations
 
+import pickle
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import SALT, salted
-from ..session import stage
+from ..session import stage, unstage
+from . import em
 from . import kernels as kn
+from .em import MIN_COVAR, REG_COVAR  # noqa: F401
 from .packing import PACK
 
 # task functions travel by value: executors need no copy of this package
 cloudpickle.register_pickle_by_value(kn)
+cloudpickle.register_pickle_by_value(em)
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-DRAW_BUCKETS = 1024  # of a model's candidate starting rows
-MIN_COVAR = 1e-3  # HMM variance floor
-REG_COVAR = 1e-6  # mixture variance offset
-CHAIN = 512  # blocks per link of the chain of block products
+CHAIN = 512  # links per walk along the chain of link products
+KMEANS_STARTS = 10
+SWITCHING_STARTS = 20
+
 
 def model_table(packed: DataFrame, keys: list[str], ks: list[int] | DataFrame, seeds: list[int] = [42]) -> DataFrame:
     """One model per series, state count and seed, over all rows of the series.
@@ -64,360 +73,295 @@ def _blocks(packed: DataFrame, models: DataFrame, keys: list[str], size: int) ->
     return packed.join(models, keys).filter(overlap)
 
 
-def _by_k(batches: Iterator[pd.DataFrame], chunk: int = 512) -> Iterator[pd.DataFrame]:
-    """Split a batch so that every part has one state count and a limited size."""
-    for pdf in batches:
-        for _, part in pdf.groupby("k", sort=False):
-            for i in range(0, len(part), chunk):
-                yield part.iloc[i : i + chunk]
-
-
-# --- starting points --------------------------------------------------------
-
-def initial_centers(packed: DataFrame, models: DataFrame, keys: list[str], d: int, size: int = PACK) -> DataFrame:
-    """Parameters that start at k rows drawn by a hash of (seed, position)."""
-
-    def draw(batches):
-        for pdf in _by_k(batches):
-            x, ok, pos, _ = kn.unpack(pdf, d, size)
-            key = np.where(ok, kn.draw_keys(pos, pdf["seed"].to_numpy()), np.inf)
-            k = int(pdf["k"].iloc[0])
-            for mid, at in pdf.reset_index(drop=True).groupby("model_id").groups.items():
-                flat, rows = key[at].ravel(), x[at].reshape(-1, d)
-                best = np.argsort(flat, kind="stable")[:k]
-                best = best[np.isfinite(flat[best])]
-                yield pd.DataFrame({"model_id": mid, "k": k, "u": flat[best], "x": list(rows[best])})
-
-    found = _blocks(packed, models, keys, size).select(
-        "model_id", "k", "seed", "lo", "hi", "shift", "inv", "blk", "n", "xs"
-    )
-    found = found.mapInPandas(draw, "model_id string, k int, u double, x array<double>")
-    # every batch sends at most k rows per model; buckets of a model keep k each before the model keeps k
-    for group in (["model_id", F.pmod(F.hash("u"), F.lit(DRAW_BUCKETS))], ["model_id"]):
-        rank = F.row_number().over(Window.partitionBy(*group).orderBy("u"))
-        found = found.withColumn("_i", rank).filter("_i <= k").drop("_i")
-    sample = found.groupBy("model_id").agg(F.array_sort(F.collect_list(F.struct("u", "x"))).alias("_r"))
-    joined = models.join(sample, "model_id")
-    # a model with fewer rows than states repeats its rows
-    ids = F.sequence(F.lit(0), F.col("k") - 1)
-    pick = lambda i: F.element_at("_r", (F.pmod(i, F.size("_r")) + 1).cast("int"))["x"]
-    means = F.flatten(F.transform(ids, pick))
-    k = F.col("k")
-    even = F.array_repeat(1.0 / k, k)
-    cell = lambda i: (F.when(F.floor(i / k) == i % k, 0.5).otherwise(0.0) + 1.0 / k) / 1.5
-    return joined.select(
-        *keys, "model_id", "k", "seed", "lo", "hi", "shift", "inv", means.alias("means"),
-        F.array_repeat(F.lit(1.0), k * d).alias("vars"), even.alias("start"),
-        F.transform(F.sequence(F.lit(0), k * k - 1), cell).alias("trans"),
-        F.lit(float("-inf")).alias("log_likelihood"), F.lit(True).alias("active"), F.lit(0).alias("rounds"),
-    )
-
+def _rows_of(row, d: int, size: int) -> kn.Rows:
+    return kn.rows_of(row["xs"], int(row["n"]), int(row["blk"]), size, d, int(row["lo"]), int(row["hi"]), row["shift"], row["inv"])
 
-# --- one round of each kind -------------------------------------------------
 
-_INPUT = ["model_id", "k", "lo", "hi", "shift", "inv", "blk", "n", "xs", "means", "vars", "start", "trans"]
-
-
-def _statistics(x, resp, k, d, moves=None, opening=None, ll=None):
-    """Flat row per block: weights, sums, square sums, transitions, opening, likelihood."""
-    b = len(x)
-    return np.concatenate(
-        [
-            resp.sum(1),
-            np.einsum("blk,bld->bkd", resp, x).reshape(b, -1),
-            np.einsum("blk,bld->bkd", resp, x * x).reshape(b, -1),
-            np.zeros((b, k * k)) if moves is None else moves.reshape(b, -1),
-            np.zeros((b, k)) if opening is None else opening,
-            (np.zeros(b) if ll is None else ll)[:, None],
-        ],
-        axis=1,
-    )
+def _each(pdf: pd.DataFrame) -> Iterator[dict]:
+    """Rows of a batch as dictionaries."""
+    names = list(pdf.columns)
+    for values in zip(*(pdf[c].to_numpy() for c in names)):
+        yield dict(zip(names, values))
 
 
-def _emit(pdf, stats):
-    """One summed row per model of the batch part."""
-    for mid, at in pdf.reset_index(drop=True).groupby("model_id").groups.items():
-        yield pd.DataFrame({"model_id": [mid], "s": [stats[at].sum(0)]})
+def _n_links(size: int):
+    return F.floor((F.col("hi") - 1) / size) - F.floor(F.col("lo") / size) + 1
 
 
-def _kmeans_step(d, size):
-    def run(batches):
-        for pdf in _by_k(batches):
-            k = int(pdf["k"].iloc[0])
-            x, ok, _, _ = kn.unpack(pdf, d, size)
-            dist = kn.squared_distance(x, kn.stack(pdf["means"], k, d))
-            near = dist.argmin(2)
-            resp = (near[..., None] == np.arange(k)) * ok[..., None]
-            cost = -(dist.min(2) * ok).sum(1)
-            yield from _emit(pdf, _statistics(x, resp.astype(float), k, d, ll=cost))
-
-    return run
+def _levels(params: DataFrame, size: int) -> int:
+    """How often link products must be joined until the longest range is one walk; 0: every range is one link."""
+    most, levels = params.agg(F.max(_n_links(size))).first()[0] or 0, 0
+    while most > 1:
+        most, levels = -(-most // CHAIN), levels + 1
+    return levels
 
 
-def _mixture_step(d, size):
-    def run(batches):
-        for pdf in _by_k(batches):
-            k = int(pdf["k"].iloc[0])
-            x, ok, _, _ = kn.unpack(pdf, d, size)
-            dens = kn.log_density(x, kn.stack(pdf["means"], k, d), kn.stack(pdf["vars"], k, d))
-            resp, ll = kn.softmax(dens + np.log(kn.stack(pdf["start"], k) + 1e-300)[:, None, :])
-            yield from _emit(pdf, _statistics(x, resp * ok[..., None], k, d, ll=(ll * ok).sum(1)))
+# --- chains of links --------------------------------------------------------
 
-    return run
+_MATS = "model_id string, blk long, start array<double>, m array<double>, scale array<double>"
+_BORDER = "model_id string, blk long, entry array<double>, exit array<double>, last int, log_likelihood array<double>"
 
 
-def _chains(blocks: DataFrame, d: int, size: int, best: bool) -> DataFrame:
-    """Matrix and log scale of every block of every model."""
+def _square(cells: list, s: int, k: int) -> np.ndarray:
+    return np.stack([np.asarray(c, dtype=float) for c in cells]).reshape(len(cells), s, k, k)
 
-    def run(batches):
-        for pdf in _by_k(batches):
-            k = int(pdf["k"].iloc[0])
-            x, ok, _, first = kn.unpack(pdf, d, size)
-            dens = kn.log_density(x, kn.stack(pdf["means"], k, d), kn.stack(pdf["vars"], k, d))
-            trans = kn.stack(pdf["trans"], k, k) + kn.EPS
-            if best:
-                m, scale = kn.best_chain(dens, np.log(trans), ok, first), np.zeros(len(pdf))
-            else:
-                m, scale = kn.chain_product(dens, trans, ok, first)
-            out = pdf[["model_id", "k", "blk", "start"]].copy()
-            out["m"], out["scale"] = list(m.reshape(len(m), -1)), scale
-            yield out
-
-    return blocks.select(*_INPUT).mapInPandas(
-        run, "model_id string, k int, blk long, start array<double>, m array<double>, scale double"
-    )
 
-
-_BORDER = "model_id string, blk long, entry array<double>, exit array<double>, last int, log_likelihood double"
+def _sizes(row) -> tuple[int, int]:
+    """Starts and states from the lengths of a row's scales and openings."""
+    s = len(row["scale"])
+    return s, len(row["start"]) // s
 
 
 def _walk(pdf: pd.DataFrame, best: bool) -> pd.DataFrame:
-    """Border vectors along one chain of block matrices.
+    """Border vectors along one chain of link matrices, for all starts of a model.
 
     The chain starts at ``entry`` and ends at ``exit`` (probabilities) or at the
     state ``last`` (best path; -1 picks the best one).
     """
     pdf = pdf.sort_values("blk")
-    k = int(pdf["k"].iloc[0])
-    ms = kn.stack(pdf["m"], k, k)
-    v, log = np.asarray(pdf["entry"].iloc[0], dtype=float), 0.0
-    entries = []
-    for m, s in zip(ms, pdf["scale"].to_numpy()):
-        entries.append(v)
-        if best:
-            v = (v[:, None] + m).max(0)
-        else:
-            v = v @ m
-            log += s + np.log(v.sum())
-            v = v / v.sum()
-    exits, lasts = [None] * len(ms), [0] * len(ms)
+    s, k = _sizes(pdf.iloc[0])
+    ms = _square(list(pdf["m"]), s, k)
+    entry = np.asarray(pdf["entry"].iloc[0], dtype=float).reshape(s, k)
     if best:
-        now = int(pdf["last"].iloc[0])
+        entries, v = [], entry[0]
+        for m in ms[:, 0]:
+            entries.append(v)
+            v = (v[:, None] + m).max(0)
+        lasts, now = [0] * len(ms), int(pdf["last"].iloc[0])
         now = int(v.argmax()) if now < 0 else now
         for i in range(len(ms) - 1, -1, -1):
-            lasts[i], exits[i] = now, entries[i]
-            now = int((entries[i] + ms[i][:, now]).argmax())
+            lasts[i] = now
+            now = int((entries[i] + ms[i, 0][:, now]).argmax())
+        exits, ll = entries, np.zeros(1)
     else:
-        back = np.asarray(pdf["exit"].iloc[0], dtype=float)
-        for i in range(len(ms) - 1, -1, -1):
-            exits[i] = back
-            back = ms[i] @ back
-            back = back / back.sum()
+        scale = np.stack([np.asarray(c, dtype=float) for c in pdf["scale"]], 1)
+        into, out, ll = em.borders(ms.swapaxes(0, 1), scale, entry, np.asarray(pdf["exit"].iloc[0], dtype=float).reshape(s, k))
+        entries, exits, lasts = list(into.swapaxes(0, 1)), list(out.swapaxes(0, 1)), [0] * len(ms)
     return pd.DataFrame(
         {
-            "model_id": pdf["model_id"].to_numpy(), "blk": pdf["blk"].to_numpy(), "entry": entries,
-            "exit": exits, "last": lasts, "log_likelihood": log,
+            "model_id": pdf["model_id"].to_numpy(), "blk": pdf["blk"].to_numpy(), "entry": [np.ravel(e) for e in entries],
+            "exit": [np.ravel(e) for e in exits], "last": lasts, "log_likelihood": [ll] * len(ms),
         }
     )
 
 
 def _link(pdf: pd.DataFrame, best: bool) -> pd.DataFrame:
-    """One matrix for a run of block matrices."""
+    """One matrix for a run of link matrices."""
     pdf = pdf.sort_values("blk")
-    k = int(pdf["k"].iloc[0])
-    out, log = None, 0.0
-    for m, s in zip(kn.stack(pdf["m"], k, k), pdf["scale"].to_numpy()):
-        if out is None:
-            out = m
+    s, k = _sizes(pdf.iloc[0])
+    ms = _square(list(pdf["m"]), s, k)
+    out, log = ms[0], np.asarray(pdf["scale"].iloc[0], dtype=float)
+    for m, c in zip(ms[1:], list(pdf["scale"])[1:]):
+        if best:
+            out = (out[:, :, :, None] + m[:, None]).max(2)
         else:
-            out = (out[:, :, None] + m[None]).max(1) if best else out @ m
-        if not best:
-            c = out.max()
-            out, log = out / c, log + s + np.log(c)
-    head = pdf.iloc[[0]][["model_id", "k", "start"]].copy()
-    head["blk"], head["m"], head["scale"] = int(pdf["sup"].iloc[0]), [out.ravel()], log
-    return head[["model_id", "k", "blk", "start", "m", "scale"]]
+            out = out @ m
+            top = out.max((1, 2))
+            out, log = out / top[:, None, None], log + np.asarray(c, dtype=float) + np.log(top)
+    head = pdf.iloc[[0]][["model_id", "start"]].copy()
+    head["blk"], head["m"], head["scale"] = int(pdf["sup"].iloc[0]), [out.ravel()], [log]
+    return head[["model_id", "blk", "start", "m", "scale"]]
 
 
 def _borders(mats: DataFrame, best: bool, levels: int) -> DataFrame:
-    """Entry and exit vectors of every block.
+    """Entry and exit vectors of every link.
 
-    ``CHAIN`` blocks make a link, CHAIN links the next one, until a series is
-    one walk of at most CHAIN steps; then every link is walked inside. No task
-    holds more than one link, however long a series is.
+    ``CHAIN`` links make one of the next level, until a range is one walk of at
+    most CHAIN steps; then every run is walked inside. No task holds more than
+    one run, however long a series is.
     """
     opening = F.transform("start", lambda p: F.log(p + kn.EPS) if best else p + kn.EPS)
     closing = F.transform("start", lambda p: F.lit(1.0))
     walk = lambda pdf: _walk(pdf, best)
 
-    def ends(df):
-        return df.withColumns({"entry": opening, "exit": closing, "last": F.lit(-1)})
-
-    if not levels:
-        return ends(mats).groupBy("model_id").applyInPandas(walk, _BORDER)
+    if levels <= 1:
+        ends = mats.withColumns({"entry": opening, "exit": closing, "last": F.lit(-1)})
+        return ends.groupBy("model_id").applyInPandas(walk, _BORDER)
     mats = mats.withColumn("sup", F.floor(F.col("blk") / CHAIN))
-    links = mats.groupBy("model_id", "sup").applyInPandas(
-        lambda pdf: _link(pdf, best),
-        "model_id string, k int, blk long, start array<double>, m array<double>, scale double",
-    )
+    links = mats.groupBy("model_id", "sup").applyInPandas(lambda pdf: _link(pdf, best), _MATS)
     outer = _borders(links, best, levels - 1).withColumnRenamed("blk", "sup").withColumnRenamed("log_likelihood", "_ll")
-    total = outer.groupBy("model_id").agg(F.max("_ll").alias("_ll"))
+    total = outer.groupBy("model_id").agg(F.first("_ll").alias("_ll"))
     inner = mats.join(outer.drop("_ll"), ["model_id", "sup"]).groupBy("model_id", "sup").applyInPandas(walk, _BORDER)
     return inner.drop("log_likelihood").join(total, "model_id").withColumnRenamed("_ll", "log_likelihood")
 
 
-def _hmm_pass(blocks: DataFrame, d: int, size: int, levels: int, rows_out: bool) -> DataFrame:
-    """Forward-backward over all blocks: summed statistics, or row probabilities."""
-    borders = _borders(_chains(blocks, d, size, best=False), False, levels)
-    joined = blocks.select(*_INPUT).join(borders.drop("last"), ["model_id", "blk"])
-
-    def run(batches):
-        for pdf in _by_k(batches):
-            k = int(pdf["k"].iloc[0])
-            x, ok, pos, first = kn.unpack(pdf, d, size)
-            dens = kn.log_density(x, kn.stack(pdf["means"], k, d), kn.stack(pdf["vars"], k, d))
-            gamma, moves = kn.forward_backward(
-                dens, kn.stack(pdf["trans"], k, k) + kn.EPS, ok, first,
-                kn.stack(pdf["entry"], k), kn.stack(pdf["exit"], k),
-            )
-            if rows_out:
-                b, t = np.nonzero(ok)
-                yield pd.DataFrame(
-                    {"model_id": pdf["model_id"].to_numpy()[b], "pos": pos[b, t], "proba": list(gamma[b, t])}
-                )
-                continue
-            opening = (gamma * first[..., None]).sum(1)
-            ll = np.where(first.any(1), pdf["log_likelihood"].to_numpy(), 0.0)
-            yield from _emit(pdf, _statistics(x, gamma, k, d, moves, opening, ll))
-
-    schema = "model_id string, pos long, proba array<double>" if rows_out else "model_id string, s array<double>"
-    return joined.mapInPandas(run, schema)
-
-
-# --- parameter updates ------------------------------------------------------
-
-def _totals(stats: DataFrame) -> DataFrame:
-    """Element-wise sum of the statistics of a model, with partial aggregation."""
-    cells = stats.select("model_id", F.posexplode("s").alias("i", "v"))
-    sums = cells.groupBy("model_id", "i").agg(F.sum("v").alias("v"))
-    return sums.groupBy("model_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda c: c["v"]).alias("s")
-    )
-
-
-def _update(kind: str, d: int, tol: float):
-    """Parameters from summed statistics, one small row per model."""
+def _matrices(blocks: DataFrame, d: int, size: int, current: Callable, best: bool) -> DataFrame:
+    """Matrices and log scales of every link; ``current`` gives (means, vars, start, trans) of a row's starts, or None."""
 
     def run(batches):
         for pdf in batches:
-            out = pdf.drop(columns=["s"]).copy()
-            for col in ("means", "vars", "start", "trans"):  # cells of new length or value
-                out[col] = out[col].astype(object)
-            for r in range(len(pdf)):
-                row, i = pdf.iloc[r], out.index[r]
-                if row["s"] is None or not row["active"]:
-                    continue
-                k, s = int(row["k"]), np.asarray(row["s"], dtype=float)
-                cuts = np.cumsum([k, k * d, k * d, k * k, k])
-                w, sx, sxx, moves, opening, ll = np.split(s, cuts)
-                ll = float(ll[0])
-                rows = max(1, int(row["hi"]) - int(row["lo"])) if kind == "gmm" else 1
-                close = abs(ll - row["log_likelihood"]) < tol * rows
-                out.at[i, "log_likelihood"], out.at[i, "active"] = ll, not close
-                out.at[i, "rounds"] = int(row["rounds"]) + 1
-                if kind == "hmm" and close:
+            out = []
+            for row in _each(pdf):
+                found = current(row)
+                if found is None:
                     continue
-                safe = np.maximum(w, 1e-10)[:, None]
-                old = np.asarray(row["means"]).reshape(k, d)
-                full = (w > 1e-10)[:, None]
-                means = np.where(full, sx.reshape(k, d) / safe, old)
-                spread = np.maximum(sxx.reshape(k, d) / safe - means**2, 0.0)
-                floor = np.maximum(spread, MIN_COVAR) if kind == "hmm" else spread + REG_COVAR
-                vars_ = np.where(full, floor, np.asarray(row["vars"]).reshape(k, d))
-                out.at[i, "means"], out.at[i, "vars"] = means.ravel(), vars_.ravel()
-                if kind == "hmm":
-                    moves = moves.reshape(k, k)
-                    total = moves.sum(1, keepdims=True)
-                    kept = np.asarray(row["trans"]).reshape(k, k)
-                    trans = np.where(total > 0, moves / np.maximum(total, 1e-300), kept)
-                    out.at[i, "start"], out.at[i, "trans"] = opening / opening.sum(), trans.ravel()
+                means, vars_, start, trans = found
+                rows = _rows_of(row, d, size)
+                if best:
+                    log_trans = np.log(trans[0] + kn.EPS)
+                    w = kn.best_chain(em.densities(rows, means, vars_), np.tile(log_trans, (len(rows.x), 1, 1)), rows.ok, rows.first)
+                    m, log = w[0], np.zeros(1)
+                    for step in w[1:]:
+                        m = (m[:, :, None] + step[None]).max(1)
                 else:
-                    out.at[i, "start"] = w / w.sum()
-            yield out
+                    ms, scale = em.products(rows, means, vars_, trans)
+                    m, log = ms[:, 0], scale[:, 0]
+                    for i in range(1, ms.shape[1]):
+                        m = m @ ms[:, i]
+                        top = m.max((1, 2))
+                        m, log = m / top[:, None, None], log + scale[:, i] + np.log(top)
+                out.append((row["model_id"], row["blk"], start.ravel(), m.ravel(), log))
+            yield pd.DataFrame(out, columns=["model_id", "blk", "start", "m", "scale"])
 
-    return run
+    return blocks.mapInPandas(run, _MATS)
 
 
-def _round(kind: str, packed, params, keys, d, size, levels, tol) -> DataFrame:
-    blocks = _blocks(packed, params, keys, size).filter("active")
-    if kind == "hmm":
-        stats = _hmm_pass(blocks, d, size, levels, rows_out=False)
-    else:
-        step = _kmeans_step if kind == "kmeans" else _mixture_step
-        stats = blocks.select(*_INPUT).mapInPandas(step(d, size), "model_id string, s array<double>")
-    merged = params.join(_totals(stats), "model_id", "left")
-    return merged.mapInPandas(_update(kind, d, tol), params.schema)
+# --- fits -------------------------------------------------------------------
 
+_INPUT = ["model_id", "k", "lo", "hi", "shift", "inv", "blk", "n", "xs"]
+_FITTED = (
+    "means array<double>, vars array<double>, start array<double>, trans array<double>, "
+    "log_likelihood double, active boolean, rounds int, scores array<double>"
+)
+_THETA = ["means", "vars", "start", "trans"]
 
-def _levels(packed: DataFrame) -> int:
-    """How often blocks must be linked until the longest series is one walk."""
-    last, levels = packed.agg(F.max("blk")).first()[0] or 0, 0
-    while last >= CHAIN:
-        last, levels = last // CHAIN, levels + 1
-    return levels
+
+def _result(state: dict) -> dict:
+    theta = state["theta"]
+    return {n: np.ravel(theta[n]) for n in _THETA} | {
+        "log_likelihood": state["ll"], "active": not state["rest"], "rounds": state["rounds"], "scores": np.asarray(state["scores"], dtype=float),
+    }
 
 
-def _fit(kind, packed, params, keys, d, max_iter, tol, size, lazy_rounds) -> DataFrame:
-    """Rounds until every model is still or ``max_iter`` is reached.
+def _settings(phases, limits, starts, floor=MIN_COVAR, **more) -> dict:
+    return {"phases": phases, "limits": limits, "starts": starts, "floor": floor, "more": more}
+
+
+def _begun(row: dict, d: int, settings: dict) -> dict:
+    theta = {n: row[n] for n in _THETA} if "means" in row else None
+    return em.begin(
+        int(row["k"]), d, int(row["seed"]), settings["phases"], settings["starts"], settings["limits"], theta, settings["floor"], **settings["more"]
+    )
 
-    A few rounds make one job; then the parameters are checkpointed and the
-    number of moving models, one number, decides whether to go on.
+
+def _fit(packed: DataFrame, models: DataFrame, keys: list[str], d: int, size: int, settings: dict) -> DataFrame:
+    """Fitted parameters of every model that has rows.
+
+    ``models`` may carry parameters to begin with.
     """
-    levels = _levels(packed) if kind == "hmm" else 0
-    done = 0
-    while done < max_iter:
-        for _ in range(min(lazy_rounds, max_iter - done)):
-            params = _round(kind, packed, params, keys, d, size, levels, tol)
-            done += 1
-        params = stage(params)
-        if params.filter("active").isEmpty():
+    base = [c for c in models.columns if c not in ("log_likelihood", "active", "rounds", "scores")]
+    models = models.select(base)
+    own = [c for c in base if c not in _THETA]
+    kinds = {f.name: f.dataType.simpleString() for f in models.schema}
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in own) + ", " + _FITTED
+    n_parts = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def whole(batches):
+        for pdf in batches:
+            out = []
+            for row in _each(pdf):
+                state, rows = _begun(row, d, settings), _rows_of(row, d, size)
+                while state["phase"] != "done":
+                    em.absorb(state, em.gather(state, rows))
+                out.append({c: row[c] for c in own} | _result(state))
+            if out:
+                yield pd.DataFrame(out)
+
+    alone = _blocks(packed, models.filter(_n_links(size) <= 1), keys, size)
+    alone = alone.select(*base, "blk", "n", "xs").repartition(n_parts, "model_id").mapInPandas(whole, schema)
+    levels = _levels(models, size)
+    if not levels:
+        return stage(alone)
+    return stage(alone.unionByName(_fit_long(packed, models.filter(_n_links(size) > 1), keys, d, size, settings, levels, own, schema)))
+
+
+def _fit_long(packed, models, keys, d, size, settings, levels, own, schema) -> DataFrame:
+    """Models over several links: one job per pass, the states written in between."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in models.select(own).schema)
+    held = f"{kinds}, phase string, state binary"
+
+    def packed_state(row: dict, state: dict) -> dict:
+        return {c: row[c] for c in own} | {"phase": state["phase"], "state": pickle.dumps(state)}
+
+    def begin(batches):
+        for pdf in batches:
+            rows = [packed_state(row, _begun(row, d, settings)) for row in _each(pdf)]
+            if rows:
+                yield pd.DataFrame(rows)
+
+    moving = stage(models.mapInPandas(begin, held))
+    links = packed.join(models.select(*keys).distinct(), keys, "left_semi")
+    ends = settings["phases"][-1]
+    while True:
+        phases = {r["phase"] for r in moving.select("phase").distinct().collect()}
+        if phases <= {"done"}:
             break
-    return _rescored(kind, packed, params, keys, d, size)
+        chained = "hmm" in phases or ("score" in phases and ends == "hmm")
+        moved = stage(_pass(links, moving, keys, d, size, levels, chained, held, own))
+        unstage(moving)
+        moving = moved
 
+    def finish(batches):
+        for pdf in batches:
+            rows = [{c: row[c] for c in own} | _result(pickle.loads(row["state"])) for row in _each(pdf)]
+            if rows:
+                yield pd.DataFrame(rows)
 
-def _rescored(kind, packed, params, keys, d, size) -> DataFrame:
-    """The likelihood of the parameters as they are now; a round knows that of the ones before it."""
-    if kind == "hmm":
-        score = hmm_score(packed, params, keys, d, size)
-    else:
-        step = _kmeans_step if kind == "kmeans" else _mixture_step
-        stats = _blocks(packed, params, keys, size).select(*_INPUT).mapInPandas(step(d, size), "model_id string, s array<double>")
-        score = stats.groupBy("model_id").agg(F.sum(F.element_at("s", -1)).alias("log_likelihood"))
-    score = score.withColumnRenamed("log_likelihood", "_ll")
-    scored = params.join(score, "model_id", "left").withColumn("log_likelihood", F.coalesce("_ll", "log_likelihood"))
-    return stage(scored.select(*params.columns))
+    return moving.mapInPandas(finish, schema)
 
 
-def _restart(params: DataFrame) -> DataFrame:
-    return params.withColumns(
-        {"log_likelihood": F.lit(float("-inf")), "active": F.lit(True), "rounds": F.lit(0)}
-    )
+def _pass(links, moving, keys, d, size, levels, chained: bool, held: str, own: list[str]) -> DataFrame:
+    """One pass over the links of the models that still move, and their new states."""
+    blocks = _blocks(links, moving.filter("phase <> 'done'"), keys, size).select(*_INPUT, "state")
+
+    def current(row):
+        state = pickle.loads(row["state"])
+        kind = state["plan"][-1] if state["phase"] == "score" else state["phase"]
+        return em.current(state, np.flatnonzero(state["active"]) if state["phase"] == "hmm" else np.arange(1)) if kind == "hmm" else None
 
+    if chained:
+        mats = _matrices(blocks, d, size, current, best=False)
+        blocks = blocks.join(_borders(mats, False, levels).drop("last"), ["model_id", "blk"], "left")
 
-def kmeans_fit(packed, models, keys, d, max_iter=100, tol=1e-4, size=PACK, lazy_rounds=3) -> DataFrame:
-    """k-means for every model; ``log_likelihood`` is minus the inertia."""
-    start = stage(initial_centers(packed, models, keys, d, size))
-    return _fit("kmeans", packed, start, keys, d, max_iter, tol, size, lazy_rounds)
+    def gather(batches):
+        sums = {}
+        for pdf in batches:
+            for row in _each(pdf):
+                state, ends = pickle.loads(row["state"]), []
+                if chained and row["entry"] is not None:
+                    ll = np.asarray(row["log_likelihood"], dtype=float)
+                    ends = [np.asarray(row[c], dtype=float).reshape(len(ll), -1) for c in ("entry", "exit")] + [ll]
+                found = em.gather(state, _rows_of(row, d, size), *ends)
+                mid = row["model_id"]
+                sums[mid] = em.merge(sums[mid], found) if mid in sums else found
+        if sums:
+            yield pd.DataFrame({"model_id": list(sums), "sums": [pickle.dumps(v) for v in sums.values()]})
+
+    sums = blocks.mapInPandas(gather, "model_id string, sums binary")
+
+    def absorb(models: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for row in _each(models):
+            state, total = pickle.loads(row["state"]), None
+            for part in parts["sums"]:
+                part = pickle.loads(part)
+                total = part if total is None else em.merge(total, part)
+            if total is not None:
+                em.absorb(state, total)
+            out.append({c: row[c] for c in own} | {"phase": state["phase"], "state": pickle.dumps(state)})
+        return pd.DataFrame(out, columns=[*own, "phase", "state"])
+
+    return moving.groupBy("model_id").cogroup(sums.groupBy("model_id")).applyInPandas(absorb, held)
+
+
+def kmeans_fit(packed, models, keys, d, max_iter=100, tol=1e-4, size=PACK, starts=KMEANS_STARTS) -> DataFrame:
+    """k-means for every model; ``log_likelihood`` is minus the inertia, ``scores`` that of every start.
+
+    Every start draws candidates in rounds of weighted races (rows far from what
+    was drawn win), weighs them by the rows that are near, and takes the k
+    centres of the weighted candidates.
+    """
+    return _fit(packed, models, keys, d, size, _settings(["seed", "kmeans"], {"kmeans": (max_iter, tol)}, starts))
 
 
 def best_seed(params: DataFrame, keys: list[str]) -> DataFrame:
@@ -430,82 +374,112 @@ def best_seed(params: DataFrame, keys: list[str]) -> DataFrame:
     ).select(*group, "_b.*")
 
 
-def gmm_fit(packed, models, keys, d, max_iter=100, tol=1e-3, size=PACK, lazy_rounds=3, kmeans_iter=100,
-            start=None) -> DataFrame:
+def gmm_fit(packed, models, keys, d, max_iter=100, tol=1e-3, size=PACK, kmeans_iter=100, start=None, starts=KMEANS_STARTS) -> DataFrame:
     """Diagonal Gaussian mixtures, started from k-means (``start``, or fitted here).
 
     ``tol`` bounds the change of the mean log likelihood of a row.
     """
-    if start is None:
-        start = kmeans_fit(packed, models, keys, d, kmeans_iter, size=size, lazy_rounds=lazy_rounds)
-    return _fit("gmm", packed, _restart(start), keys, d, max_iter, tol, size, lazy_rounds)
+    limits = {"kmeans": (kmeans_iter, 1e-4), "gmm": (max_iter, tol)}
+    phases = ["seed", "kmeans", "gmm"] if start is None else ["gmm"]
+    return _fit(packed, models if start is None else start, keys, d, size, _settings(phases, limits, starts))
 
 
-def hmm_fit(packed, models, keys, d, max_iter=100, tol=1e-3, size=PACK, lazy_rounds=2,
-            gmm_iter=100, kmeans_iter=100, start=None) -> DataFrame:
+def hmm_fit(packed, models, keys, d, max_iter=100, tol=1e-3, size=PACK, gmm_iter=100, kmeans_iter=100, start=None,
+            starts=KMEANS_STARTS) -> DataFrame:
     """Diagonal Gaussian HMMs by Baum-Welch, started from mixtures (``start``, or fitted here).
 
     Start probabilities are uniform, transitions uniform with a bias to stay.
     """
-    if start is None:
-        start = gmm_fit(packed, models, keys, d, gmm_iter, 1e-3, size, 3, kmeans_iter)
-    k = F.col("k")
-    even = F.array_repeat(1.0 / k, k)
-    floor = F.transform("vars", lambda v: F.greatest(v, F.lit(MIN_COVAR)))
-    start = _restart(start).withColumns({"start": even, "vars": floor})
-    return _fit("hmm", packed, start, keys, d, max_iter, tol, size, lazy_rounds)
+    limits = {"kmeans": (kmeans_iter, 1e-4), "gmm": (gmm_iter, 1e-3), "hmm": (max_iter, tol)}
+    phases = ["seed", "kmeans", "gmm", "hmm"] if start is None else ["hmm"]
+    return _fit(packed, models if start is None else start, keys, d, size, _settings(phases, limits, starts))
 
 
-def msr_fit(packed, models, keys, max_iter=100, tol=1e-3, size=PACK, **start) -> DataFrame:
-    """Switching mean and variance of one return column: an HMM with one feature.
+def msr_fit(packed, models, keys, max_iter=100, tol=1e-3, size=PACK, starts=SWITCHING_STARTS) -> DataFrame:
+    """Switching mean and variance of one return column, as a regression on a constant.
 
-    Returns are scaled to unit variance before packing by the caller
-    (``standardize``), so the variance floor does not bind. Several seeds in the
-    model table replace search replicates; ``best_seed`` picks one.
+    The chain begins in the stationary distribution of its transitions.
+    ``starts`` drawn points are taken through one round of k-means and then move
+    side by side by EM; one that has come to rest leaves the passes, and the
+    best of all is the model (``scores`` has the likelihood of each). Returns
+    are scaled to unit variance before packing by the caller (``standardize``).
     """
-    return hmm_fit(packed, models, keys, 1, max_iter, tol, size, **start)
+    limits = {"kmeans": (1, 0.0), "hmm": (max_iter, tol)}
+    return _fit(packed, models, keys, 1, size, _settings(["seed", "kmeans", "hmm"], limits, starts, 1e-6, steady=True, many=True))
 
 
 # --- using the models -------------------------------------------------------
 
-def _rows(blocks: DataFrame, run, schema: str) -> DataFrame:
-    return blocks.select(*_INPUT).mapInPandas(run, schema)
+_PROBA = "model_id string, pos long, state int, proba array<double>"
 
 
-_PROBA = "model_id string, pos long, state int, proba array<double>"
+def _theta(row: dict, d: int) -> tuple:
+    """(means, vars, start, trans) of a parameter row, with a first axis of one start."""
+    k = int(row["k"])
+    return tuple(np.asarray(row[n], dtype=float).reshape(1, *shape) for n, shape in em.shapes(k, d).items())
+
+
+def _by_rows(rows: kn.Rows, model_id: str, states=None, proba=None) -> pd.DataFrame:
+    """One output row per row that the model uses."""
+    out = {"model_id": model_id, "pos": rows.pos[rows.ok]}
+    if states is not None:
+        out["state"] = states[rows.ok]
+    if proba is not None:
+        out["proba"] = list(proba[rows.ok])
+    return pd.DataFrame(out)
+
+
+def _over_rows(packed, params, keys, d, size, of: Callable, schema: str) -> DataFrame:
+    """``of(row, rows, parameters)`` for every link of every model."""
+
+    def run(batches):
+        for pdf in batches:
+            for row in _each(pdf):
+                yield of(row, _rows_of(row, d, size), _theta(row, d))
+
+    return _blocks(packed, params, keys, size).select(*_INPUT, *_THETA).mapInPandas(run, schema)
 
 
 def kmeans_assign(packed, params, keys, d, size=PACK) -> DataFrame:
     """Nearest centre of every row, and soft shares by inverse distance."""
 
-    def run(batches):
-        for pdf in _by_k(batches):
-            k = int(pdf["k"].iloc[0])
-            x, ok, pos, _ = kn.unpack(pdf, d, size)
-            dist = np.sqrt(kn.squared_distance(x, kn.stack(pdf["means"], k, d)))
-            share = 1.0 / (dist + 1e-10)
-            share /= share.sum(2, keepdims=True)
-            b, t = np.nonzero(ok)
-            yield pd.DataFrame({"model_id": pdf["model_id"].to_numpy()[b], "pos": pos[b, t],
-                                "state": dist.argmin(2)[b, t], "proba": list(share[b, t])})
+    def of(row, rows, theta):
+        dist = np.sqrt(kn.squared_distance(rows.x, np.tile(theta[0], (len(rows.x), 1, 1))))
+        share = 1.0 / (dist + 1e-10)
+        return _by_rows(rows, row["model_id"], dist.argmin(2), share / share.sum(2, keepdims=True))
+
+    return _over_rows(packed, params, keys, d, size, of, _PROBA)
+
 
-    return _rows(_blocks(packed, params, keys, size), run, _PROBA)
+def _components(rows, theta):
+    logs = em.densities(rows, theta[0], theta[1]) + np.log(theta[2][0] + 1e-300)
+    return kn.softmax(logs)
 
 
 def gmm_assign(packed, params, keys, d, size=PACK) -> DataFrame:
     """Most likely component of every row, and the component probabilities."""
 
-    def run(batches):
-        for pdf in _by_k(batches):
-            k = int(pdf["k"].iloc[0])
-            x, ok, pos, _ = kn.unpack(pdf, d, size)
-            dens = kn.log_density(x, kn.stack(pdf["means"], k, d), kn.stack(pdf["vars"], k, d))
-            resp, _ = kn.softmax(dens + np.log(kn.stack(pdf["start"], k) + 1e-300)[:, None, :])
-            b, t = np.nonzero(ok)
-            yield pd.DataFrame({"model_id": pdf["model_id"].to_numpy()[b], "pos": pos[b, t],
-                                "state": resp.argmax(2)[b, t], "proba": list(resp[b, t])})
+    def of(row, rows, theta):
+        resp, _ = _components(rows, theta)
+        return _by_rows(rows, row["model_id"], resp.argmax(2), resp)
+
+    return _over_rows(packed, params, keys, d, size, of, _PROBA)
+
+
+def _chained(packed, params, keys, d, size, best: bool) -> DataFrame:
+    """Links of every model with the vectors at their borders (NULL where a range is one link)."""
+    blocks = _blocks(packed, params, keys, size).select(*_INPUT, *_THETA, "rs")
+    levels = _levels(params, size)
+    if not levels:
+        null = F.lit(None)
+        return blocks.withColumns({"entry": null.cast("array<double>"), "exit": null.cast("array<double>"), "last": F.lit(-1), "log_likelihood": null.cast("array<double>")})
+    # ranges of one link are walks of one step
+    mats = _matrices(blocks.drop("rs"), d, size, lambda row: _theta(row, d), best)
+    return blocks.join(_borders(mats, best, levels), ["model_id", "blk"])
+
 
-    return _rows(_blocks(packed, params, keys, size), run, _PROBA)
+def _ends(row: dict, theta: tuple, name: str, otherwise: np.ndarray) -> np.ndarray:
+    return otherwise if row[name] is None else np.asarray(row[name], dtype=float).reshape(theta[2].shape)
 
 
 def hmm_decode(packed, params, keys, d, size=PACK) -> DataFrame:
@@ -521,7 +495,7 @@ def hmm_state_returns(packed, params, keys, d, size=PACK) -> DataFrame:
     """Return statistics of the decoded states: (model_id, state, n, ...).
 
     Deviation in the population form. The rows stay inside the tasks: only three
-    sums per model, state and batch leave them. States without rows are present
+    sums per model, state and link leave them. States without rows are present
     with zeros.
     """
     sums = _decode(packed, params, keys, d, size, sums=True)
@@ -539,53 +513,73 @@ def hmm_state_returns(packed, params, keys, d, size=PACK) -> DataFrame:
 
 
 def _decode(packed, params, keys, d, size, sums: bool) -> DataFrame:
-    blocks = _blocks(packed, params, keys, size)
-    borders = _borders(_chains(blocks, d, size, best=True), True, _levels(packed))
-    joined = blocks.select(*_INPUT, "rs").join(borders.drop("exit", "log_likelihood"), ["model_id", "blk"])
-
     def run(batches):
-        for pdf in _by_k(batches):
-            k = int(pdf["k"].iloc[0])
-            x, ok, pos, first = kn.unpack(pdf, d, size)
-            dens = kn.log_density(x, kn.stack(pdf["means"], k, d), kn.stack(pdf["vars"], k, d))
-            states = kn.best_path(
-                dens, np.log(kn.stack(pdf["trans"], k, k) + kn.EPS), ok, first,
-                kn.stack(pdf["entry"], k), pdf["last"].to_numpy().astype(np.int64),
-            )
-            b, t = np.nonzero(ok)
-            out = pd.DataFrame({"model_id": pdf["model_id"].to_numpy()[b], "pos": pos[b, t], "state": states[b, t]})
-            if sums:
-                r = np.zeros(ok.shape)
-                for i, cell in enumerate(pdf["rs"].to_numpy()):
-                    r[i, : len(cell)] = cell
-                out["s"] = r[b, t]
-                out["ss"] = out["s"] ** 2
-                groups = out.groupby(["model_id", "state"])
-                out = groups.agg(n=("pos", "size"), s=("s", "sum"), ss=("ss", "sum")).reset_index()
-            yield out
+        for pdf in batches:
+            for row in _each(pdf):
+                rows, theta = _rows_of(row, d, size), _theta(row, d)
+                entry = _ends(row, theta, "entry", np.log(theta[2] + kn.EPS))[0]
+                dens = em.densities(rows, theta[0], theta[1])
+                states = kn.best_states(rows, dens, np.log(theta[3][0] + kn.EPS), entry, int(row["last"]))
+                out = _by_rows(rows, row["model_id"], states)
+                if sums:
+                    out["s"] = np.asarray(row["rs"], dtype=float)[out["pos"].to_numpy() - int(row["blk"]) * size]
+                    out["ss"] = out["s"] ** 2
+                    out = out.groupby(["model_id", "state"]).agg(n=("pos", "size"), s=("s", "sum"), ss=("ss", "sum")).reset_index()
+                yield out
 
     schema = "model_id string, state int, n long, s double, ss double" if sums else "model_id string, pos long, state int"
-    return joined.mapInPandas(run, schema)
+    return _chained(packed, params, keys, d, size, best=True).mapInPandas(run, schema)
 
 
 def hmm_posterior(packed, params, keys, d, size=PACK) -> DataFrame:
     """Smoothed state probabilities of every row: (model_id, pos, proba)."""
-    return _hmm_pass(_blocks(packed, params, keys, size), d, size, _levels(packed), rows_out=True)
+    return _smoothed(packed, params, keys, d, size, lambda row, rows, theta, entry, exit_: _by_rows(
+        rows, row["model_id"], proba=em.smoothed(rows, *theta, entry, exit_)[0][0]
+    ), "model_id string, pos long, proba array<double>")
+
+
+def msr_probabilities(packed, params, keys, size=PACK) -> DataFrame:
+    """Filtered and smoothed state probabilities of a switching regression: (model_id, pos, filtered, smoothed).
+
+    Filtered ones know the rows up to their own, smoothed ones all rows.
+    """
+
+    def of(row, rows, theta, entry, exit_):
+        out = _by_rows(rows, row["model_id"], proba=em.filtered(rows, *theta, entry)).rename(columns={"proba": "filtered"})
+        out["smoothed"] = list(em.smoothed(rows, *theta, entry, exit_)[0][0][rows.ok])
+        return out
+
+    return _smoothed(packed, params, keys, 1, size, of, "model_id string, pos long, filtered array<double>, smoothed array<double>")
+
+
+def _smoothed(packed, params, keys, d, size, of: Callable, schema: str) -> DataFrame:
+    def run(batches):
+        for pdf in batches:
+            for row in _each(pdf):
+                theta = _theta(row, d)
+                ends = _ends(row, theta, "entry", theta[2] + kn.EPS), _ends(row, theta, "exit", np.ones(theta[2].shape))
+                yield of(row, _rows_of(row, d, size), theta, *ends)
+
+    return _chained(packed, params, keys, d, size, best=False).mapInPandas(run, schema)
 
 
 def hmm_score(packed, params, keys, d, size=PACK) -> DataFrame:
     """Log likelihood of every model's row range: (model_id, log_likelihood)."""
-    blocks = _blocks(packed, params, keys, size)
-    borders = _borders(_chains(blocks, d, size, best=False), False, _levels(packed))
-    return borders.groupBy("model_id").agg(F.max("log_likelihood").alias("log_likelihood"))
+    blocks = _blocks(packed, params, keys, size).select(*_INPUT, *_THETA)
+    mats = _matrices(blocks, d, size, lambda row: _theta(row, d), best=False)
+    borders = _borders(mats, False, max(1, _levels(params, size)))
+    return borders.groupBy("model_id").agg(F.max(F.col("log_likelihood")[0]).alias("log_likelihood"))
 
 
 def gmm_score(packed, params, keys, d, size=PACK) -> DataFrame:
     """Log likelihood of every mixture: (model_id, log_likelihood)."""
-    stats = _blocks(packed, params, keys, size).select(*_INPUT).mapInPandas(
-        _mixture_step(d, size), "model_id string, s array<double>"
-    )
-    return stats.groupBy("model_id").agg(F.sum(F.element_at("s", -1)).alias("log_likelihood"))
+
+    def of(row, rows, theta):
+        _, ll = _components(rows, theta)
+        return pd.DataFrame({"model_id": [row["model_id"]], "ll": [float(ll[rows.ok].sum())]})
+
+    parts = _over_rows(packed, params, keys, d, size, of, "model_id string, ll double")
+    return parts.groupBy("model_id").agg(F.sum("ll").alias("log_likelihood"))
 
 
 def nearest_mean(df: DataFrame, params: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -1,8 +1,8 @@
-"""Feature rows packed into short blocks for array work inside tasks.
+"""Feature rows packed into links of bounded length for array work inside tasks.
 
 A packed row holds at most ``PACK`` consecutive rows of one series as one flat
 array, so a batch moves to Python in few large cells and a long series is many
-independent rows, not one group.
+links, not one group.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..session import stage
 from .layout import BLK, POS, date_chunk, index_rows
 
-PACK = 256
+PACK = 16384
 
 
 def number_complete_rows(df: DataFrame, keys: list[str], features: list[str], date: str = "date") -> DataFrame:

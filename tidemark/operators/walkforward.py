@@ -411,7 +411,7 @@ def model_sweep(
     if small:
         scaled = selection.standardize(rows, selection.scaler_table(rows, [ret], keys), [ret], keys)
         single = pack(scaled, keys, [ret], ret)
-        ms = md.msr_fit(single, stage(md.model_table(single, keys, small, seeds)), keys, **fit)
+        ms = md.msr_fit(single, stage(md.model_table(single, keys, small, seeds)), keys, **last)
         # likelihood of the unscaled returns: the scaling adds n * ln(scale)
         scale = rows.groupBy(*keys).agg(F.stddev_pop(ret).alias("_sd"))
         ms = ms.join(scale, keys).withColumn(

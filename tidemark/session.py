@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,11 +49,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
+    """Write ``df`` to the shared checkpoint folder and read it back.
 
     Used where several branches of one plan read the same rows, so that the
     raw scan and its shuffle run once, and between the rounds of iterative
-    jobs. The result survives the loss of executors.
+    jobs. The result survives the loss of executors, and later plans know its
+    real size: a checkpoint keeps the estimate of the plan that made it, which
+    squares with every round of a loop that joins its own result.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def unstage(df: DataFrame) -> None:
+    """Delete the files of a staged table that no later plan reads."""
+    spark = df.sparkSession
+    for folder in {os.path.dirname(f) for f in df.inputFiles()}:
+        if os.path.basename(folder).startswith("stage-"):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
