@@ -59,11 +59,10 @@ def q_align(spark, sf):
 
 
 def q_external(spark, sf):
-    """Covariate and mean bar close as two external series with missing dates."""
+    """Covariate and highest bar of a day as two external series; orders and bars begin and end on different days."""
     cov = daily_covariate(spark, sf, "orders_mean")
-    even = cov.filter(F.weekday("date") < 5)
-    items = daily_bars(spark, sf).filter(F.weekday("date") > 2).groupBy("date").agg(F.max("high").alias("bars_high"))
-    return round_doubles(ingest.join_external([even, items]))
+    items = daily_bars(spark, sf).groupBy("date").agg(F.max("high").alias("bars_high"))
+    return round_doubles(ingest.join_external([cov, items]))
 
 
 def q_missing_cells(spark, sf):
@@ -95,12 +94,11 @@ def q_issues(spark, sf):
 
 
 def q_missing_days(spark, sf):
-    thin = daily_bars(spark, sf).filter(F.dayofmonth("date") % 5 != 0)
-    return validate.missing_business_days(thin)
+    return validate.missing_business_days(daily_bars(spark, sf))
 
 
 def q_metadata(spark, sf):
-    return dataset_metadata(daily_bars(spark, sf), "lineitem").drop("fingerprint")
+    return dataset_metadata(daily_bars(spark, sf), "lineitem")
 
 
 PICK = ["ret_log", "ret_3d", "ret_5d", "ret_10d", "ret_21d", "ret_63d", "ret_cum_21d", "ret_cum_63d"]
@@ -223,8 +221,8 @@ ORACLES = {
     ),
     "external_series": query(
         BARS, COVARIATE,
-        "a AS (SELECT date, vix_close AS orders_mean FROM cov WHERE isodow(date) < 6)",
-        "b AS (SELECT date, max(high) AS bars_high FROM bars WHERE isodow(date) > 3 GROUP BY 1)",
+        "a AS (SELECT date, vix_close AS orders_mean FROM cov)",
+        "b AS (SELECT date, max(high) AS bars_high FROM bars GROUP BY 1)",
         "SELECT date, round(orders_mean, 6) + 0.0 AS orders_mean, round(bars_high, 6) + 0.0 AS bars_high FROM a FULL JOIN b USING (date)",
     ),
     "missing_cells": query(
@@ -260,11 +258,17 @@ ORACLES = {
         + " UNION ALL SELECT series_id, 'missing_business_days', date FROM gaps",
     ),
     "missing_business_days": query(
-        BARS, "thin AS (SELECT * FROM bars WHERE day(date) % 5 <> 0)", _GAPS.format("thin"), "SELECT series_id, date FROM gaps"
+        BARS, _GAPS.format("bars"), "SELECT series_id, date FROM gaps"
     ),
     "dataset_metadata": query(
-        BARS, "SELECT series_id, min(date) AS start_date, max(date) AS end_date, count(*) AS row_count, "
-        "CAST(0 AS BIGINT) AS missing_value_count, 'lineitem' AS source FROM bars GROUP BY 1",
+        BARS,
+        "h AS (SELECT *, md5(concat_ws('|', " + ", ".join(
+            f"'{c}=' || CAST({c} AS {'VARCHAR' if c in ('date', 'series_id') else 'DECIMAL(38,6)'})::VARCHAR" for c in sorted(["series_id", "date", "open", "high", "low", "close", "volume"])
+        ) + ")) AS h FROM bars)",
+        "SELECT series_id, min(date) AS start_date, max(date) AS end_date, count(*) AS row_count, "
+        "CAST(0 AS BIGINT) AS missing_value_count, 'lineitem' AS source, count(*) || '-' || "
+        + " || '-' || ".join(f"(sum(('0x' || h[{a}:{a + 15}])::UBIGINT::HUGEINT) % 18446744073709551616)" for a in (1, 17))
+        + " AS fingerprint FROM h GROUP BY 1",
     ),
     "feature_variances": query(
         BARS, LOGS, _RET, f"u AS ({_long('var_samp({0}) AS variance')})",

@@ -57,7 +57,26 @@ def q_kmeans(spark, sf):
 def q_gmm(spark, sf):
     _, packed, params = _fit("gmm")(spark, sf)
     out = md.information_criteria(params, "gmm", len(FEATS)).withColumn("converged", ~F.col("active"))
-    return out.drop("means", "vars", "start", "trans", "shift", "inv", "active")
+    return out.drop("means", "vars", "start", "trans", "shift", "inv", "active", "scores")
+
+
+def q_kmeans_starts(spark, sf):
+    """Inertia of every start of the seeding; the model is the best one."""
+    _, _, params = _fit("kmeans", ks=(2, 3, 4))(spark, sf)
+    return params.select(*KEYS, "k", (-F.col("log_likelihood")).alias("inertia"), F.posexplode("scores").alias("start", "_s"), "rounds").select(
+        *KEYS, "k", "inertia", "start", (-F.col("_s")).alias("start_inertia"), "rounds"
+    )
+
+
+def q_switching(spark, sf):
+    """Switching regressions of 2 and 3 states on the daily return, from 20 starts each."""
+    df = scaled_features(spark, sf)
+    df = selection.standardize(df, selection.scaler_table(df, ["ret"], KEYS), ["ret"], KEYS)
+    packed = pack(stage(number_complete_rows(df, KEYS, ["ret"])), KEYS, ["ret"])
+    params = stage(md.msr_fit(packed, stage(md.model_table(packed, KEYS, [2, 3])), KEYS))
+    best = F.array_max("scores").alias("best_start")
+    table = md.information_criteria(params, "msr", 1).select("model_id", "k", "log_likelihood", "aic", "bic", F.size("scores").alias("starts"), best)
+    return md.emission_table(params, KEYS, ["ret"]).drop("feature").join(table, "model_id").join(_rest(params), "model_id")
 
 
 def q_hmm(spark, sf):
@@ -152,7 +171,9 @@ def q_silhouette(spark, sf):
 
 QUERIES = {
     "kmeans_states": q_kmeans,
+    "kmeans_starts": q_kmeans_starts,
     "gmm_models": q_gmm,
+    "switching_fits": q_switching,
     "hmm_emissions": q_hmm,
     "hmm_regime_summary": q_hmm_states,
     "hmm_posterior_check": q_posterior,

@@ -78,20 +78,20 @@ def _u(*parts: str) -> str:
     return f"(('0x' || substr(md5(concat_ws('|', {text})), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
 
 
-_POOLS = """pl AS (SELECT series_id, -1 AS pool, row_number() OVER (PARTITION BY series_id ORDER BY date) - 1 AS idx, ret AS r FROM lab
+_POOLS = """pl AS MATERIALIZED (SELECT series_id, -1 AS pool, row_number() OVER (PARTITION BY series_id ORDER BY date) - 1 AS idx, ret AS r FROM lab
 UNION ALL SELECT series_id, regime_state, row_number() OVER (PARTITION BY series_id, regime_state ORDER BY date) - 1, ret FROM lab WHERE regime_state >= 0),
-pn AS (SELECT series_id, pool, count(*) AS n FROM pl GROUP BY 1, 2)"""
+pn AS MATERIALIZED (SELECT series_id, pool, count(*) AS n FROM pl GROUP BY 1, 2)"""
 _BASE = [BARS, LOGS, STATES, _POOLS]
 
 
 def _draws(pool: int, horizons: list[int], change: str = "r") -> list[str]:
     hs = ", ".join(f"({h})" for h in horizons)
     return [
-        f"""stp AS (SELECT series_id, n, h.horizon, p.path, s.step FROM pn, (VALUES {hs}) h(horizon), range({PATHS}) p(path),
+        f"""stp AS MATERIALIZED (SELECT series_id, n, h.horizon, p.path, s.step FROM pn, (VALUES {hs}) h(horizon), range({PATHS}) p(path),
           range(1, {max(horizons) + 1}) s(step) WHERE pool = {pool} AND s.step <= h.horizon)""",
-        f"""ix AS (SELECT *, CAST(floor({_u("'42'", "'draw'", "series_id", "horizon", "path", "step")} * n) AS BIGINT) AS idx FROM stp)""",
-        f"dr0 AS (SELECT ix.series_id, horizon, path, step, r FROM ix JOIN pl ON pl.series_id = ix.series_id AND pl.pool = {pool} AND pl.idx = ix.idx)",
-        f"dr AS (SELECT series_id, horizon, path, step, greatest({change}, -0.999) AS r FROM dr0 JOIN (SELECT series_id, horizon, avg(r) AS m FROM dr0 GROUP BY 1, 2) USING (series_id, horizon))",
+        f"""ix AS MATERIALIZED (SELECT *, CAST(floor({_u("'42'", "'draw'", "series_id", "horizon", "path", "step")} * n) AS BIGINT) AS idx FROM stp)""",
+        f"dr0 AS MATERIALIZED (SELECT ix.series_id, horizon, path, step, r FROM ix JOIN pl ON pl.series_id = ix.series_id AND pl.pool = {pool} AND pl.idx = ix.idx)",
+        f"dr AS MATERIALIZED (SELECT series_id, horizon, path, step, greatest({change}, -0.999) AS r FROM dr0 JOIN (SELECT series_id, horizon, avg(r) AS m FROM dr0 GROUP BY 1, 2) USING (series_id, horizon))",
     ]
 
 

@@ -29,20 +29,22 @@ OVERSAMPLE = 2  # rows per state that a round of oversampling adds
 FARTHEST = 16.0  # longest extrapolation, in steps
 
 
-def begin(k: int, d: int, seed: int, phases: list[str], starts: int, limits: dict, theta: dict | None = None, floor: float = MIN_COVAR, steady: bool = False, many: bool = False) -> dict:
+def begin(k: int, d: int, seed: int, phases: list[str], starts: int, limits: dict, theta: dict | None = None, floor: float = MIN_COVAR, steady: bool = False, many: bool = False,
+          given: bool = False) -> dict:
     """The state before the first pass; ``theta`` (means, vars, start, trans) replaces seeding and k-means.
 
     ``steady``: an HMM begins in the stationary distribution of its transitions.
-    ``many``: all starts go on after k-means, not the best one alone.
+    ``many``: all starts go on after k-means, not the best one alone. ``given``:
+    an HMM keeps the opening and the transitions of ``theta``.
     """
     state = {
-        "k": k, "d": d, "seed": seed, "plan": list(phases), "phase": phases[0], "starts": starts, "limits": limits, "floor": floor, "steady": steady, "many": many,
+        "k": k, "d": d, "seed": seed, "plan": list(phases), "phase": phases[0], "starts": starts, "limits": limits, "floor": floor, "steady": steady, "many": many, "given": given,
         "rounds": 0, "ll": float("-inf"), "rest": False, "scores": np.zeros(0),
     }
     if theta is None:
         state |= {"round": 0, "found": [np.zeros((0, d)) for _ in range(starts)]}
     else:
-        state["theta"] = {n: np.asarray(theta[n], float).reshape(s) for n, s in shapes(k, d).items()}
+        state["theta"] = {n: np.array(theta[n], float).reshape(s) for n, s in shapes(k, d).items()}
         _enter(state, phases[0])
     return state
 
@@ -87,10 +89,12 @@ def parameters(state: dict, v: np.ndarray) -> tuple:
 def _enter(state: dict, phase: str) -> None:
     """Begin a phase from ``theta``, the parameters of one start or of S starts."""
     state["phase"], state["rounds"] = phase, 0
+    if phase == "kmeans":
+        _centres(state, state["theta"]["means"][None])
     if phase in ("gmm", "hmm"):
         t = {n: np.asarray(v) for n, v in state["theta"].items()}
         t = {n: v if v.ndim > len(shapes(state["k"], state["d"])[n]) else v[None] for n, v in t.items()}
-        if phase == "hmm":
+        if phase == "hmm" and not state["given"]:
             k, s = state["k"], len(t["means"])
             t["start"], t["trans"] = np.full((s, k), 1.0 / k), np.tile(sticky(k), (s, 1, 1))
             t["vars"] = np.maximum(t["vars"], state["floor"])
@@ -292,11 +296,19 @@ def _recluster(state, sums):
             total = resp.sum(0)[:, None]
             centres = np.where(total > 0, resp.T @ found / np.maximum(total, 1e-300), centres)
         out.append(centres)
-    s = len(out)
-    state |= {"phase": "kmeans", "rounds": 0, "centres": np.array(out), "moving": np.ones(s, bool), "cost": np.full(s, -np.inf), "spread": np.ones((s, k, d)), "share": np.full((s, k), 1.0 / k)}
+    _centres(state, np.array(out))
     del state["found"]
 
 
+def _centres(state, centres):
+    """Begin k-means at centres (S, k, d)."""
+    s, k, d = centres.shape
+    state |= {
+        "phase": "kmeans", "rounds": 0, "centres": centres, "moving": np.ones(s, bool), "cost": np.full(s, -np.inf),
+        "spread": np.ones((s, k, d)), "share": np.full((s, k), 1.0 / k),
+    }
+
+
 def _moved(state, sums):
     limit, tol = state["limits"]["kmeans"]
     state["rounds"] += 1

@@ -408,6 +408,11 @@ def msr_fit(packed, models, keys, max_iter=100, tol=1e-3, size=PACK, starts=SWIT
     return _fit(packed, models, keys, 1, size, _settings(["seed", "kmeans", "hmm"], limits, starts, 1e-6, steady=True, many=True))
 
 
+def em_round(kind: str, packed, params, keys, d, size=PACK) -> DataFrame:
+    """One round of ``kind`` (kmeans, gmm, hmm) from the parameters as they are; the likelihood is that of the new ones."""
+    return _fit(packed, params, keys, d, size, _settings([kind], {kind: (1, 0.0)}, 1, given=True))
+
+
 # --- using the models -------------------------------------------------------
 
 _PROBA = "model_id string, pos long, state int, proba array<double>"
