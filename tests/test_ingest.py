@@ -1,7 +1,9 @@
 import datetime as dt
 
+import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 from frames import BARS, bars, ohlcv
 
 from tidemark.operators import ingest, selection, validate
@@ -159,3 +161,55 @@ def test_slash_dates_are_month_first_unless_told(spark):
     got = lambda first: [str(r[0]) for r in df.select(parse_date("d", first)).collect()]
     assert got(False) == ["2020-03-04", "2020-12-25", "2020-02-01", "None"]
     assert got(True) == ["2020-04-03", "2020-12-25", "2020-02-01", "None"]
+
+
+def plain_selection(pdf, feats, var_min, corr_max):
+    var = pdf[feats].var().to_dict()
+    corr = pdf[feats].corr()
+    pairs = {(a, b): corr.loc[a, b] for i, a in enumerate(feats) for b in feats[i + 1:] if corr.loc[a, b] == corr.loc[a, b]}
+    return selection.prune(feats, var, pairs, var_min, corr_max)
+
+
+def correlated_frame(n=400, seed=0, level=0.0):
+    rng = np.random.default_rng(seed)
+    base = rng.normal(size=(n, 3))
+    mix = rng.normal(size=(3, 7))
+    x = base @ mix + 0.4 * rng.normal(size=(n, 7)) + level
+    x[:, 6] = 3.0
+    x[rng.random((n, 7)) < 0.01] = np.nan
+    return pd.DataFrame(x, columns=[f"f{i}" for i in range(7)])
+
+
+def test_selection_per_key_equals_the_plain_walk(spark):
+    feats = [f"f{i}" for i in range(7)]
+    parts = {k: correlated_frame(seed=k, level=10.0**k) for k in range(4)}
+    df = spark.createDataFrame(pd.concat([p.assign(k=k) for k, p in parts.items()])).repartition(5)
+    found = {r["k"]: r for r in selection.selection_table(df, feats, ["k"], 1e-4, 0.6).collect()}
+    assert len(found) == 4
+    for k, p in parts.items():
+        assert (list(found[k]["selected"]), list(found[k]["dropped"])) == plain_selection(p.dropna(), feats, 1e-4, 0.6)
+    flat = df.select("k", *[F.lit(1.0).alias(f) for f in feats])
+    assert all(r["selected"] == feats and r["dropped"] == [] for r in selection.selection_table(flat, feats, ["k"]).collect())
+    assert selection.selection_table(df.limit(0), feats, ["k"]).count() == 0
+
+
+def test_moments_keep_digits_at_large_levels(spark):
+    p = correlated_frame(seed=9, level=1e9).dropna()
+    got = selection.moments(spark.createDataFrame(p).repartition(7), list(p), []).first()
+    x = p.to_numpy() - p.to_numpy().mean(0)
+    assert got["n"] == len(p) and np.allclose(np.reshape(got["cross"], (7, 7)), x.T @ x, rtol=1e-5, atol=1e-2)
+
+
+def test_components_per_key(spark):
+    feats = [f"f{i}" for i in range(6)]
+    parts = {k: correlated_frame(seed=k).dropna() for k in range(3)}
+    df = spark.createDataFrame(pd.concat([p.assign(k=k, i=range(len(p))) for k, p in parts.items()]))
+    scores = selection.principal_components(df, feats, 2, ["k", "i"], ["k"]).toPandas()
+    for k, p in parts.items():
+        z = ((p - p.mean()) / p.std(ddof=0))[feats].to_numpy()
+        _, _, v = np.linalg.svd(z, full_matrices=False)
+        v = v[:2] * np.sign(v[np.arange(2), np.abs(v[:2]).argmax(1)])[:, None]
+        mine = scores[scores.k == k].sort_values("i")[["pc1", "pc2"]].to_numpy()
+        assert np.allclose(mine, z @ v.T, atol=1e-8)
+    few = df.filter("i < 5")
+    assert selection.principal_components(few, feats, 2, ["k"], ["k"]).count() == 0

@@ -117,10 +117,11 @@ def q_correlations(spark, sf):
 
 
 def q_selected(spark, sf):
-    df = _returns(spark, sf)
-    selected, dropped = selection.select_features(df, PICK, var_min=0.1)
-    rows = [(f, "selected") for f in selected] + [(f, "dropped") for f in dropped]
-    return spark.createDataFrame(rows, "feature string, status string")
+    """Every feature of every series: selected, or dropped for its variance or its correlation with another."""
+    found = selection.selection_table(_returns(spark, sf), PICK, ["series_id"], 0.15, 0.6)
+    chosen, order = F.array_contains("selected", F.col("feature")), F.array_position("dropped", F.col("feature")).cast("int")
+    rows = found.select("series_id", "selected", "dropped", F.explode(F.array(*[F.lit(c) for c in PICK])).alias("feature"))
+    return rows.select("series_id", "feature", chosen.alias("selected"), order.alias("dropped_as"))
 
 
 def q_scaler(spark, sf):
@@ -138,6 +139,24 @@ def q_components(spark, sf):
     return round_doubles(selection.principal_components(_returns(spark, sf), PICK, 3, ["series_id", "date"]), 6)
 
 
+def q_component_sums(spark, sf):
+    """Sums that components keep: total variance, square sum of the covariance matrix, uncorrelated scores."""
+    k, pcs = len(PICK), [f"pc{i + 1}" for i in range(len(PICK))]
+    df = _returns(spark, sf)
+    scores = selection.principal_components(df, PICK, k, ["series_id"], ["series_id"])
+    values = selection.components(df, PICK, k, ["series_id"]).select("series_id", "values")
+    var = scores.groupBy("series_id").agg(
+        F.count(F.lit(1)).alias("n"), F.array(*[F.var_samp(c) for c in pcs]).alias("v"),
+        F.greatest(*[F.abs(F.covar_samp(a, b)) for i, a in enumerate(pcs) for b in pcs[i + 1:]]).alias("off_diagonal"),
+    ).join(values, "series_id")
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+    gap = F.array_max(F.transform(F.zip_with("v", "values", lambda a, b: F.abs(a - b)), lambda g: g))
+    return round_doubles(var.select(
+        "series_id", "n", total("v").alias("total"), total(F.transform("v", lambda v: v * v)).alias("squares"),
+        total(F.transform("v", lambda v: v * v * v)).alias("cubes"), "off_diagonal", gap.alias("gap_to_values"),
+    ), 5)
+
+
 QUERIES = {
     "normalize_bars": q_normalize,
     "align_covariate": q_align,
@@ -156,6 +175,7 @@ QUERIES = {
     "scaler_parameters": q_scaler,
     "standardized_features": q_standardized,
     "principal_components": q_components,
+    "component_sums": q_component_sums,
 }
 
 _DIRTY = """pos AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY date) - 1 AS p, day(date) AS d FROM bars),
@@ -206,6 +226,29 @@ _missing |= {f"ret_{n}d": f"ret_{n}d" for n in (3, 5, 10, 21, 63)}
 _missing |= {c: c for c in ("ret_cum_21d", "ret_cum_63d", "raw_close")}
 _missing |= {f"raw_{c}": c for c in ("open", "high", "low", "volume")}
 
+#: Features low in variance, then a walk over the pairs (later, earlier) as a recursion that carries what is gone.
+_SELECTED = query(
+    BARS, LOGS, _RET, f"ok AS (SELECT * FROM f WHERE {_ALL_OK})",
+    "v AS (" + " UNION ALL ".join(f"SELECT series_id, {i} AS i, '{c}' AS feature, var_samp({c}) >= 0.15 AS high FROM ok GROUP BY 1" for i, c in enumerate(PICK)) + ")",
+    "r AS (" + " UNION ALL ".join(
+        f"SELECT series_id, {i} AS i, {j} AS j, " + ("1.0::DOUBLE" if i == j else f"abs(corr({a}, {b}))") + " AS r FROM ok GROUP BY 1"
+        for i, a in enumerate(PICK) for j, b in enumerate(PICK)) + ")",
+    "k AS (SELECT r.* FROM r JOIN v a ON a.series_id = r.series_id AND a.i = r.i AND a.high JOIN v b ON b.series_id = r.series_id AND b.i = r.j AND b.high)",
+    "s AS (SELECT series_id, i, avg(r) AS strength FROM k GROUP BY 1, 2)",
+    """p AS (SELECT k.series_id, k.i, k.j, a.strength > b.strength + 1e-9 AS first_goes, row_number() OVER (PARTITION BY k.series_id ORDER BY k.j, k.i) AS nth
+      FROM k JOIN s a ON a.series_id = k.series_id AND a.i = k.i JOIN s b ON b.series_id = k.series_id AND b.i = k.j WHERE k.i < k.j AND r > 0.6)""",
+    """w AS (SELECT DISTINCT series_id, 0::BIGINT AS nth, []::INTEGER[] AS gone FROM v
+      UNION ALL SELECT w.series_id, p.nth, CASE WHEN list_contains(gone, p.i) OR list_contains(gone, p.j) THEN gone
+        ELSE list_append(gone, CASE WHEN first_goes THEN p.i ELSE p.j END) END FROM w JOIN p ON p.series_id = w.series_id AND p.nth = w.nth + 1)""",
+    "e AS (SELECT series_id, arg_max(gone, nth) AS gone FROM w GROUP BY 1)",
+    "l AS (SELECT series_id, i, row_number() OVER (PARTITION BY series_id ORDER BY i) AS nth FROM v WHERE NOT high)",
+    "n AS (SELECT series_id, count(*) AS n FROM l GROUP BY 1)",
+    "o AS (SELECT series_id, bool_or(high) AS any_high FROM v GROUP BY 1)",
+    """SELECT v.series_id, v.feature, NOT any_high OR (high AND NOT list_contains(gone, v.i)) AS selected,
+      CAST(CASE WHEN NOT any_high THEN 0 WHEN NOT high THEN l.nth WHEN list_contains(gone, v.i) THEN coalesce(n, 0) + list_position(gone, v.i) ELSE 0 END AS INTEGER) AS dropped_as
+      FROM v JOIN e USING (series_id) JOIN o USING (series_id) LEFT JOIN l ON l.series_id = v.series_id AND l.i = v.i LEFT JOIN n ON n.series_id = v.series_id""",
+).replace("WITH ", "WITH RECURSIVE ", 1)
+
 ORACLES = {
     "normalize_bars": query(
         BARS,
@@ -270,6 +313,18 @@ ORACLES = {
         + " || '-' || ".join(f"(sum(('0x' || h[{a}:{a + 15}])::UBIGINT::HUGEINT) % 18446744073709551616)" for a in (1, 17))
         + " AS fingerprint FROM h GROUP BY 1",
     ),
+    "selected_features": _SELECTED,
+    "component_sums": query(
+        BARS, LOGS, _RET, f"ok AS (SELECT * FROM f WHERE {_ALL_OK})",
+        "m AS (SELECT series_id, count(*) AS n, " + ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in PICK) + " FROM ok GROUP BY 1)",
+        "z AS (SELECT series_id, " + ", ".join(f"({c} - m_{c}) / s_{c} AS {c}" for c in PICK) + " FROM ok JOIN m USING (series_id))",
+        "c AS (" + " UNION ALL ".join(f"SELECT series_id, {i} AS i, {j} AS j, covar_samp({a}, {b}) AS v FROM z GROUP BY 1" for i, a in enumerate(PICK) for j, b in enumerate(PICK)) + ")",
+        "t AS (SELECT a.series_id, sum(a.v * b.v * d.v) AS cubes FROM c a JOIN c b ON a.series_id = b.series_id AND a.j = b.i "
+        "JOIN c d ON d.series_id = b.series_id AND b.j = d.i AND d.j = a.i GROUP BY 1)",
+        "u AS (SELECT series_id, sum(v) FILTER (i = j) AS total, sum(v * v) AS squares FROM c GROUP BY 1)",
+        "SELECT series_id, n, round(total, 5) + 0.0 AS total, round(squares, 5) + 0.0 AS squares, round(cubes, 5) + 0.0 AS cubes, "
+        "0.0::DOUBLE AS off_diagonal, 0.0::DOUBLE AS gap_to_values FROM m JOIN u USING (series_id) JOIN t USING (series_id)",
+    ),
     "feature_variances": query(
         BARS, LOGS, _RET, f"u AS ({_long('var_samp({0}) AS variance')})",
         "SELECT series_id, feature, round(variance, 6) + 0.0 AS variance FROM u",

@@ -54,7 +54,11 @@ def build_features(
     """Clean bars to selected features, standardised and raw, with their metadata.
 
     ``external`` is a long table (name, date, close) of other series. Selection
-    and scaling use the whole history here; ``validate_out_of_sample`` does not.
+    and scaling are those of each series, from its whole history here;
+    ``validate_out_of_sample`` does not look ahead. The tables have the features
+    that any series selected; one that a series has dropped is 0 in all of its
+    standardised rows, so it tells its states nothing. ``selection.parquet``
+    has the choice of every series.
     """
     bars = read_parquet_table(spark, cleaned)
     df = ft.compute_features(bars)
@@ -65,13 +69,18 @@ def build_features(
         df = plain(ingest.align_covariate(df, ext, extra))
         names += extra
     df = stage(ingest.apply_missing_policy(df, names, "keep"))
-    selected, dropped = selection.select_features(df, names, var_min, corr_max, prune_correlation)
-    scaler = stage(selection.scaler_table(df.dropna("any", subset=names), selected))
+    chosen = stage(selection.selection_table(df, names, KEYS, var_min, corr_max, prune_correlation))
+    used = {r["feature"] for r in chosen.select(F.explode("selected").alias("feature")).distinct().collect()}
+    selected, dropped = [c for c in names if c in used], [c for c in names if c not in used]
+    scaler = stage(selection.scaler_table(df.dropna("any", subset=names), selected, KEYS))
     raw_columns = [c for c in df.columns if c.startswith("raw_")]
     raw = df.select(*KEYS, "date", *selected, *raw_columns)
     raw = ingest.complete_rows(raw, selected) if policy == "drop" else raw
-    scaled = selection.standardize(raw, scaler, selected)
+    scaled = selection.standardize(raw, scaler, selected, KEYS).join(chosen.select(*KEYS, "selected"), KEYS)
+    off = {c: F.when(F.array_contains("selected", c), F.col(c)).otherwise(0.0) for c in selected}
+    scaled = scaled.withColumns(off).drop("selected")
     write_table(scaled, f"{out}/features.parquet")
+    chosen.write.mode("overwrite").parquet(f"{out}/selection.parquet")
     write_table(raw, f"{out}/features_raw.parquet")
     scaler.write.mode("overwrite").parquet(f"{out}/scaler.parquet")
     write_report_json(feature_metadata(raw, selected, dropped), f"{out}/feature_metadata.json")
