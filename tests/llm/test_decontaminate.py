@@ -21,7 +21,7 @@ def expected(docs, items, window):
     for i, t in items:
         w = words(t)
         k = min(window, len(w))
-        for a in range(len(w) - k + 1 if w and i is not None else 0):
+        for a in range(len(w) - k + 1 if w else 0):
             windows.setdefault(tuple(w[a : a + k]), set()).add(i)
     out = {}
     for d, t in docs:
@@ -31,7 +31,7 @@ def expected(docs, items, window):
                 if tuple(w[a : a + k]) in windows:
                     hit.update(range(a, a + k))
                     found |= windows[tuple(w[a : a + k])]
-        out[d] = (len(w), sorted(hit), sorted(found))
+        out[d] = (len(w), sorted(hit), sorted(found - {None}))
     return out
 
 

@@ -12,7 +12,7 @@ bounded size is sent to the tasks at a time and the documents pass it without a
 shuffle, so the benchmark may be of any size.
 
 Defined cases: null texts have no words; items without words never match; an
-item id that is null never matches; repeated items and repeated rows are kept
+item without an id makes hits and cuts, but is not among the items found; repeated items and repeated rows are kept
 apart by their rows; an empty benchmark leaves all documents clean; further
 columns of ``docs`` pass through unchanged whatever their names.
 """
@@ -158,16 +158,16 @@ def find_hits(texts: pa.Array, automaton: Automaton) -> tuple[np.ndarray, list[l
                 start = first - ends[doc] + at
                 hits[doc].update(range(start, start + size))
                 items[doc] |= found
-    return np.diff(ends), [sorted(map(int, h)) for h in hits], [sorted(i) for i in items]
+    return np.diff(ends), [sorted(map(int, h)) for h in hits], [sorted(i - {None}) for i in items]
 
 
 def _chunks(benchmark: DataFrame) -> Iterator[list[tuple[str, list[bytes]]]]:
     """Items with their words, in groups of a bounded number of words; one group is on the driver at a time."""
-    rows = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")).filter("i is not null and t is not null")
+    rows = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")).filter("t is not null")
     letters = rows.agg(F.sum(F.octet_length("t")).alias("b")).first()["b"] or 0
     parts = max(1, -(-letters // (2 * CHUNK_WORDS)))
     for part in range(parts):
-        found = rows.filter(F.pmod(F.xxhash64("i"), F.lit(parts)) == part).toArrow() if parts > 1 else rows.toArrow()
+        found = rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == part).toArrow() if parts > 1 else rows.toArrow()
         texts = found["t"].combine_chunks().cast(pa.string())
         words, codes, ends = space_words(translate(texts, FOLD)) if len(texts) else (pa.array([], pa.string()), np.zeros(0, np.int64), [0])
         words = words.cast(pa.binary()).to_pylist()
@@ -259,7 +259,7 @@ _WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCD
 
 SQL = rf"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS} AS w FROM documents),
-b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_WORDS} AS w FROM benchmark),
 win AS (
   SELECT item_id, least(len(w), {WINDOW}) AS k, array_to_string(w[i:i + least(len(w), {WINDOW}) - 1], ' ') AS g
   FROM (SELECT *, unnest(range(1, greatest(len(w) - {WINDOW} + 1, 1) + 1)) AS i FROM b WHERE len(w) > 0)),

@@ -4,40 +4,37 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import freeing, fresh, held_out
+from .common import freeing, fresh, held_out, written
 
 
 def labels_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_label: int, chars: int) -> pd.DataFrame:
-    """(doc_id, y, text): about ``per_label`` rows of each label outside the held-out fold, chosen by the hash of the id.
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, per_label: int) -> DataFrame:
+    """(doc_id, y, text): about ``per_label`` whole texts of each label outside the held-out fold, chosen by the hash of the id; written.
 
-    The share to take is computed from the counts of the labels, so the sample
-    that reaches the driver is bounded at every size. A longer text gives the
-    ``chars`` characters from a place that its hash chooses.
+    The share to take is computed from the counts of the labels, so the rows are
+    bounded at every size. An id with both labels has none; of an id with
+    several texts the one with the smallest hash is taken.
     """
     y = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("y")).filter("y in (0, 1) and _id is not null")
-    y = y.filter(~held_out(F.col("_id")))
+    y = y.filter(~held_out(F.col("_id"))).groupBy("_id").agg(F.min("y").alias("y"), F.max("y").alias("_other")).filter("y = _other")
     counts = {r["y"]: r["n"] for r in y.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = F.lit(0.0)
     for value, n in counts.items():
         share = F.when(F.col("y") == value, min(1.0, per_label / n)).otherwise(share)
     draw = F.pmod(F.xxhash64(F.lit(label), F.col("_id")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    y = y.filter(draw < share).dropDuplicates(["_id"])
-    span = F.greatest(F.length("text") - chars, F.lit(0)) + 1
-    place = (F.pmod(F.xxhash64(F.col("text")), F.lit(1 << 30)) % span + 1).cast("int")
+    y = y.filter(draw < share).select("_id", "y")
     # The drawn ids are as bounded as the sample, so they are sent to the documents, whose texts stay where they are.
-    rows = docs.select(F.col("doc_id").alias("_id"), "text").filter("text is not null").join(F.broadcast(y), "_id")
-    rows = rows.select(F.col("_id").alias("doc_id"), "y", F.substring(F.col("text"), place, F.lit(chars)).alias("text"))
-    return rows.toPandas().drop_duplicates("doc_id").sort_values("doc_id").reset_index(drop=True)
+    rows = docs.select(F.col("doc_id").alias("_id"), "text").filter("text is not null and text <> ''").join(F.broadcast(y), "_id")
+    one = rows.groupBy("_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text"))
+    return written(one.select(F.col("_id").alias("doc_id"), "y", "text"), "labelled")
 
 
 def learnt_share(labels: DataFrame, label: str) -> float | None:

@@ -20,17 +20,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, fresh, held_out, small_batches
+from .common import documents, fresh, held_out, mix, small_batches, written
 
 SEGMENT, HIDDEN = 64, 8
-#: Texts of a language that are learnt from, texts in all, characters of one.
-SAMPLE, SAMPLE_ALL, SAMPLE_CHARS = 400, 20_000, 2048
+#: Whole texts of a language that are learnt from, texts in all, and segments of a language that are drawn from them.
+SAMPLE, SAMPLE_ALL, SAMPLE_SEGMENTS = 400, 20_000, 16_384
+#: Languages that are learnt: those with the most texts.
+MOST_LANGUAGES = 500
 STEPS, BATCH, RATE = 400, 256, 0.01
 #: Segments that the network reads side by side; bounds its memory.
 WIDTH = 4096
@@ -182,32 +183,49 @@ def position_labels(network: Network, text: str) -> list[str]:
     return [network.languages[k] for k in best]
 
 
-def labelled_texts(docs: DataFrame, per_language: int = SAMPLE) -> pd.DataFrame:
-    """(lang, text) of a bounded number of labelled texts outside the held-out fold."""
+def labelled_segments(docs: DataFrame, per_language: int = SAMPLE) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Languages, segments (S, SEGMENT) and the language of each, from whole labelled texts outside the held-out fold.
+
+    Rows are drawn by the hash of the id, segments from all places of their texts
+    by a hash of id and place, so that what reaches the driver is bounded.
+    """
     rows = docs.select("doc_id", "text", "lang").filter(~held_out(F.col("doc_id"))).filter("lang is not null and text is not null and text <> ''")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+    counts = {r["lang"]: r["n"] for r in counts}
     if not counts:
-        return pd.DataFrame({"lang": [], "text": []})
+        return [], np.zeros((0, SEGMENT), np.uint8), np.zeros(0, np.int64)
     wanted = min(per_language, max(8, SAMPLE_ALL // len(counts)))
     share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, wanted / n))))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    span = F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1
-    place = (F.pmod(F.xxhash64("text"), F.lit(1 << 30)) % span + 1).cast("int")
-    picked = rows.filter(draw < share[F.col("lang")]).select("doc_id", "lang", F.substring(F.col("text"), place, F.lit(SAMPLE_CHARS)).alias("text"))
-    return picked.toPandas().sort_values(["lang", "doc_id", "text"]).reset_index(drop=True)
+    picked = written(rows.filter(draw < share[F.col("lang")]), "language-texts")
+    size = {r["lang"]: r["n"] for r in picked.groupBy("lang").agg(F.sum(F.ceil(F.octet_length("text") / SEGMENT)).alias("n")).collect()}
+    languages = sorted(size)
+    keep = {lang: min(1.0, SAMPLE_SEGMENTS / n) for lang, n in size.items()}
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, text, lang in zip(*(c.to_pylist() for c in batch.columns)):
+                segments, _ = segments_of([text])
+                place = mix(np.arange(len(segments), dtype=np.uint64) + np.uint64(doc & (1 << 62) - 1) * np.uint64(0x9E3779B97F4A7C15))
+                at = np.flatnonzero((place >> np.uint64(11)) / float(1 << 53) < keep[lang])
+                yield pa.RecordBatch.from_arrays([pa.array([doc] * len(at), pa.int64()), pa.array(at), pa.array([lang] * len(at), pa.string()), pa.array([segments[i].tobytes() for i in at], pa.binary())], names=["doc_id", "at", "lang", "segment"])
+
+    found = picked.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").mapInArrow(cut, "doc_id long, at long, lang string, segment binary")
+    found = found.toPandas().sort_values(["lang", "doc_id", "at", "segment"])
+    segments = np.frombuffer(b"".join(found.segment), np.uint8).reshape(-1, SEGMENT)
+    return languages, segments, found.lang.map({lang: k for k, lang in enumerate(languages)}).to_numpy(np.int64)
 
 
 def learn(docs: DataFrame, steps: int = STEPS) -> Network | None:
     """Network from the labelled part of ``docs`` (doc_id, text, lang); None without any label."""
     small_batches(docs.sparkSession)
-    sample = labelled_texts(docs)
-    if not len(sample):
+    languages, segments, codes = labelled_segments(docs)
+    languages = [languages[k] for k in np.unique(codes)]
+    if not languages:
         return None
-    network = Network(sorted(sample.lang.unique()))
-    if len(network.languages) > 1:
-        segments, owner = segments_of(sample.text.tolist())
-        codes = sample.lang.map({lang: k for k, lang in enumerate(network.languages)}).to_numpy(np.int64)
-        network.train(segments, codes[owner], steps)
+    network = Network(languages)
+    if len(languages) > 1:
+        network.train(segments, np.unique(codes, return_inverse=True)[1].reshape(-1), steps)
     return network
 
 

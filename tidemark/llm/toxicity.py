@@ -8,18 +8,19 @@ exactly zero until their evidence is strong, so that the model is a short sorted
 list of hashes and weights, at most one per feature bucket, which is broadcast.
 
 The labelled texts learnt from are a bounded sample by the hash of the id: at
-most about ``SAMPLE`` per label. Scoring reads every whole text.
+most about ``SAMPLE`` per label, each of them whole; Spark hashes their features
+and sends those. Scoring reads every whole text.
 
 Defined cases: null and empty texts have no features and score by the offset
 alone; without labels of both kinds the score is the share of label 1 (0.5
-without any); rows that repeat an id are scored each by itself; further columns
+without any); an id with both labels is not learnt from; rows that repeat an id
+are scored each by itself; further columns
 pass through whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,10 +28,10 @@ from pyspark.sql import types as T
 
 from .common import doc_of, documents, hash_words, held_out, mix, small_batches, space_words, translate
 from .decontaminate import FOLD
-from .labels import add_column, labelled_sample, labels_of, learnt_share
+from .labels import add_column, labelled_rows, labels_of, learnt_share
 
-#: Labelled texts of each label that are learnt from, and the most characters of one.
-SAMPLE, SAMPLE_CHARS = 4000, 32768
+#: Labelled texts of each label that are learnt from.
+SAMPLE = 4000
 BITS, EPOCHS = 20, 8
 #: Learning rate, its offset, L1 and L2 of FTRL-proximal.
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 10.0, 0.0
@@ -87,17 +88,16 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
-def fit(sample: pd.DataFrame, prior: float | None, epochs: int = EPOCHS) -> Model:
-    """``prior``: share of label 1 among all labelled rows; the offset is moved from the sample's share to it."""
+def fit(held: list[np.ndarray], y: np.ndarray, prior: float | None, epochs: int = EPOCHS) -> Model:
+    """``held``: distinct buckets of every text, ``y``: its label. ``prior``: share of label 1 among all labelled rows; the offset is moved from the sample's share to it."""
     prior = 0.5 if prior is None else prior
     none = np.zeros(0, np.int64)
-    share = float(sample.y.mean()) if len(sample) else 0.5
+    share = float(y.mean()) if len(y) else 0.5
     if not 0 < share < 1:
         return Model(none, np.zeros(0), float(np.log((prior + 1e-9) / (1 - prior + 1e-9))))
-    held = [np.unique(features(pa.array([t], pa.string()))[1]).astype(np.int32) for t in sample.text]
-    y, model, order = sample.y.to_numpy(float), Ftrl(), np.random.default_rng(5)
+    model, order = Ftrl(), np.random.default_rng(5)
     for _ in range(epochs):
-        for i in order.permutation(len(sample)):
+        for i in order.permutation(len(y)):
             model.learn(held[i], y[i])
     every = np.arange((1 << BITS) + 1)
     w = model.weights(every)
@@ -105,9 +105,19 @@ def fit(sample: pd.DataFrame, prior: float | None, epochs: int = EPOCHS) -> Mode
     return Model(kept, w[kept], float(w[-1] + np.log(prior / (1 - prior)) - np.log(share / (1 - share))))
 
 
+def _buckets(_, texts: pa.Array) -> pa.Array:
+    """Distinct buckets of every whole text."""
+    doc, bucket = features(texts)
+    own = np.unique(doc << BITS | bucket)
+    ends = np.searchsorted(own >> BITS, np.arange(len(texts) + 1))
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array((own & ((1 << BITS) - 1)).astype(np.int32)))
+
+
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     small_batches(docs.sparkSession)
-    return fit(labelled_sample(docs, labels, label, SAMPLE, SAMPLE_CHARS), learnt_share(labels, label))
+    found, name = add_column(labelled_rows(docs, labels, label, SAMPLE), "buckets", T.ArrayType(T.IntegerType()), None, _buckets)
+    sample = found.select("doc_id", "y", name).toPandas().sort_values("doc_id")
+    return fit(list(sample[name]), sample.y.to_numpy(float), learnt_share(labels, label))
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text") -> tuple[DataFrame, str]:
