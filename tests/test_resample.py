@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -5,7 +7,7 @@ from frames import returns
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import resample as rs
+from tidemark.operators import resample as rs, tails
 
 KEYS = ["series_id"]
 
@@ -61,16 +63,45 @@ def test_stressed_matrix(spark):
     assert p[0, 0] == pytest.approx(0.18) and p[0, 1] == pytest.approx(0.82) and p[1, 1] == 0.9
 
 
-def test_student_fit(pools):
-    fit = {r["pool"]: r for r in rs.student_t_fit(pools, KEYS).collect()}
-    assert 3 <= fit[-1]["nu"] <= 6 and fit[-1]["scale"] == pytest.approx(0.01, rel=0.15)
-    r = pools.filter("pool = -1").toPandas().r
-    nu, loc, scale = fit[-1]["nu"], fit[-1]["loc"], fit[-1]["scale"]
-    w = (nu + 1) / (nu + ((r - loc) / scale) ** 2)
-    assert loc == pytest.approx((w * r).sum() / w.sum(), abs=1e-6)  # a fixed point
+def test_digamma_is_the_slope_of_the_log_gamma():
+    for x in (0.03, 0.5, 1.0, 3.7, 8.0, 120.5, 6000.0):
+        h = 1e-5 * x
+        assert tails.digamma(x) == pytest.approx((math.lgamma(x + h) - math.lgamma(x - h)) / (2 * h), rel=1e-6, abs=1e-7)
+
+
+@pytest.mark.parametrize("size", [64, 16384])
+def test_student_fit_is_the_joint_maximum(pools, size):
+    """At the fit no direction gains; a Newton step in any parameter is below 1e-4 of its size."""
+    fit = {r["pool"]: r for r in tails.student_t_fit(pools, KEYS, size=size).collect()}
+    assert set(fit) == {-1, 0, 1} and 3 <= fit[-1]["nu"] <= 6 and fit[-1]["scale"] == pytest.approx(0.01, rel=0.15)
+    for pool, f in fit.items():
+        r = pools.filter(f"pool = {pool}").toPandas().r.to_numpy()
+        at = [f["nu"], f["loc"], f["scale"]]
+        top = tails.log_likelihood(r, *at)
+        assert f["converged"] and f["log_likelihood"] == pytest.approx(top)
+        for i, unit in enumerate((f["nu"], f["scale"], f["scale"])):
+            h = 1e-3 * unit
+            up, down = (tails.log_likelihood(r, *[x + s * h * (j == i) for j, x in enumerate(at)]) for s in (1, -1))
+            assert max(up, down) < top
+            assert abs((up - down) / 2 / (up - 2 * top + down)) * h < 1e-4 * unit
+
+
+def test_student_fit_without_heavy_tails_is_normal(spark):
+    r = np.random.default_rng(3).uniform(-1, 1, 500)
+    flat = spark.createDataFrame(pd.DataFrame({"series_id": "a", "pool": -1, "idx": range(500), "r": r}))
+    f = tails.student_t_fit(flat, KEYS).first()
+    assert math.isinf(f["nu"]) and f["converged"]
+    assert f["loc"] == pytest.approx(r.mean()) and f["scale"] == pytest.approx(r.std()) and f["log_likelihood"] == pytest.approx(tails.log_likelihood(r, math.inf, r.mean(), r.std()))
+
+
+def test_student_fit_of_equal_rows_and_of_none(spark):
+    same = spark.createDataFrame(pd.DataFrame({"series_id": "a", "pool": -1, "idx": range(9), "r": [0.5] * 9}))
+    f = tails.student_t_fit(same, KEYS).first()
+    assert (f["nu"], f["loc"]) == (3.0, 0.5) and f["scale"] == pytest.approx(1e-5)
+    assert tails.student_t_fit(same.limit(0), KEYS).count() == 0
 
 
 def test_student_fit_of_few_rows(spark):
     few = spark.createDataFrame(pd.DataFrame({"series_id": "a", "pool": -1, "idx": [0, 1, 2], "r": [0.01, 0.02, 0.03]}))
-    r = rs.student_t_fit(few, KEYS).first()
+    r = tails.student_t_fit(few, KEYS).first()
     assert (r["nu"], r["loc"]) == (3.0, pytest.approx(0.02)) and r["scale"] == pytest.approx(np.std([0.01, 0.02, 0.03]) + 1e-5)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import round_doubles
 from ..operators import regimes as rg
-from ..operators import resample as rs
+from ..operators import resample as rs, tails
 from ..session import stage
 from .regimes import STATES, labelled, matrix_sql
 from .sqlparts import BARS, LOGS, query, rounded
@@ -58,7 +58,7 @@ def q_histogram(spark, sf):
 
 
 def q_student(spark, sf):
-    return rs.student_t_fit(pools(spark, sf), KEYS)
+    return tails.student_t_fit(pools(spark, sf), KEYS)
 
 
 QUERIES = {

@@ -7,8 +7,6 @@ equi-join on a row number, so it may be far larger than one executor.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -141,89 +139,6 @@ def stressed_matrix(matrix: DataFrame, pools: DataFrame, keys: list[str]) -> Dat
     return cells.select(*keys, "from_state", "to_state", p.alias("p"))
 
 
-# --- Student-t fits ---------------------------------------------------------
-
-NU_GRID = (2, 3, 4, 5, 6, 8, 10, 15, 20, 30)
-
-
-def student_t_fit(
-    pools: DataFrame, keys: list[str], grid=NU_GRID, max_iter: int = 200, tol: float = 1e-7, lazy_rounds: int = 1
-) -> DataFrame:
-    """Degrees of freedom, location and scale per (keys, pool), with the rounds taken.
-
-    Location and scale follow by reweighting, (nu + 1) / (nu + z^2), for all
-    candidate degrees of freedom at once: a round is one aggregation. Rounds end
-    when no location or scale moves by more than ``tol`` scales. The
-    candidate with the highest likelihood is kept. Pools of up to 4 rows get 3
-    degrees of freedom, their mean and their population deviation plus 1e-5.
-    """
-    group = [*keys, "pool"]
-    state = [*group, "n", "_m", "_s", "loc", "scale", "rounds", "moved"]
-    start = pools.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.avg("r").alias("_m"), F.stddev_pop("r").alias("_s"))
-    fit = start.select(
-        *group, "n", "_m", "_s",
-        F.array_repeat(F.col("_m"), len(grid)).alias("loc"),
-        F.array_repeat(F.greatest("_s", F.lit(1e-12)), len(grid)).alias("scale"),
-        F.lit(0).alias("rounds"), F.lit(True).alias("moved"),
-    )
-
-    def summed(fit: DataFrame, sums: dict) -> DataFrame:
-        """Sums over the pool's rows: per (pool, salt) first, so that a hot pool is many tasks."""
-        rows, small = salted(pools.select(*group, "r"), fit)
-        parts = rows.join(small, [*group, SALT]).groupBy(*group, SALT).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
-        return parts.groupBy(*group).agg(*[F.sum(n).alias(n) for n in sums]).join(fit, group)
-
-    done = 0
-    while done < max_iter:
-        for _ in range(lazy_rounds):
-            sums = {}
-            for j, nu in enumerate(grid):
-                gap = F.col("r") - F.col("loc")[j]
-                z = gap / F.col("scale")[j]
-                weight = (nu + 1.0) / (nu + z * z)
-                sums |= {f"_w{j}": weight, f"_x{j}": weight * gap, f"_q{j}": weight * gap * gap}
-            new = summed(fit, sums)
-            move = [F.col(f"_x{j}") / F.col(f"_w{j}") for j in range(len(grid))]
-            loc = [F.col("loc")[j] + move[j] for j in range(len(grid))]
-            # weighted squares about the new location
-            var = [(F.col(f"_q{j}") - F.col(f"_x{j}") * move[j]) / F.col("n") for j in range(len(grid))]
-            scale = [F.greatest(F.sqrt(F.greatest(v, F.lit(0.0))), F.lit(1e-12)) for v in var]
-            far = [
-                F.greatest(F.abs(loc[j] - F.col("loc")[j]), F.abs(scale[j] - F.col("scale")[j])) > tol * F.col("scale")[j]
-                for j in range(len(grid))
-            ]
-            still = F.col("moved") & F.exists(F.array(*far), lambda x: x)
-            fit = new.select(
-                *group, "n", "_m", "_s", F.array(*loc).alias("loc"), F.array(*scale).alias("scale"),
-                (F.col("rounds") + F.col("moved").cast("int")).alias("rounds"), still.alias("moved"),
-            )
-            done += 1
-        fit = stage(fit)
-        if fit.filter("moved").isEmpty():
-            break
-    logs = {}
-    for j, nu in enumerate(grid):
-        z = (F.col("r") - F.col("loc")[j]) / F.col("scale")[j]
-        const = math.lgamma((nu + 1) / 2) - math.lgamma(nu / 2) - 0.5 * math.log(nu * math.pi)
-        logs[f"_l{j}"] = const - F.log(F.col("scale")[j]) - (nu + 1) / 2 * F.log1p(z * z / nu)
-    scored = summed(fit, logs).select(*state, *logs)
-    options = F.array(
-        *[
-            F.struct(F.col(f"_l{j}").alias("ll"), F.lit(float(nu)).alias("nu"), F.col("loc")[j].alias("loc"), F.col("scale")[j].alias("scale"))
-            for j, nu in enumerate(grid)
-        ]
-    )
-    best = scored.withColumn("_b", F.array_max(options))
-    few = F.col("n") <= 4
-    return best.select(
-        *group, "n",
-        F.when(few, 3.0).otherwise(F.col("_b.nu")).alias("nu"),
-        F.when(few, F.col("_m")).otherwise(F.col("_b.loc")).alias("loc"),
-        F.when(few, F.col("_s") + 1e-5).otherwise(F.col("_b.scale")).alias("scale"),
-        F.col("_b.ll").alias("log_likelihood"), "rounds", (~F.col("moved")).alias("converged"),
-    )
-
-
 # --- statistics of paths ----------------------------------------------------
 
 def path_summaries(paths: DataFrame, keys: list[str]) -> DataFrame:
