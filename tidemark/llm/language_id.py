@@ -211,7 +211,7 @@ def labelled_segments(docs: DataFrame, per_language: int = SAMPLE) -> tuple[list
                 yield pa.RecordBatch.from_arrays([pa.array([doc] * len(at), pa.int64()), pa.array(at), pa.array([lang] * len(at), pa.string()), pa.array([segments[i].tobytes() for i in at], pa.binary())], names=["doc_id", "at", "lang", "segment"])
 
     found = picked.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").mapInArrow(cut, "doc_id long, at long, lang string, segment binary")
-    found = found.toPandas().sort_values(["lang", "doc_id", "at", "segment"])
+    found = found.toArrow().to_pandas().sort_values(["lang", "doc_id", "at", "segment"])
     segments = np.frombuffer(b"".join(found.segment), np.uint8).reshape(-1, SEGMENT)
     return languages, segments, found.lang.map({lang: k for k, lang in enumerate(languages)}).to_numpy(np.int64)
 

@@ -121,7 +121,7 @@ def drawn_pieces(rows: DataFrame) -> dict[int, list[bytes]]:
     for y, n in totals.items():
         share = F.when(F.col("y") == y, min(1.0, DRAWN * DICTIONARY_BYTES / max(n, 1))).otherwise(share)
     order = F.xxhash64("piece")
-    found = pieces.filter(F.pmod(order, F.lit(1 << 20)) / F.lit(float(1 << 20)) < share).select("y", "piece", F.xxhash64("piece", F.lit(1)).alias("o")).toPandas()
+    found = pieces.filter(F.pmod(order, F.lit(1 << 20)) / F.lit(float(1 << 20)) < share).select("y", "piece", F.xxhash64("piece", F.lit(1)).alias("o")).toArrow().to_pandas()
     return {y: [p.encode() for p in found[found.y == y].sort_values(["o", "piece"]).piece] for y in (0, 1)}
 
 
@@ -141,7 +141,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Classif
     pieces = drawn_pieces(rows.filter("_half = 0"))
     measure = Measure(*dictionaries(pieces[1], pieces[0]))
     sizes, name = add_column(rows.filter("_half = 1").select("doc_id", "y", "text"), "sizes", T.ArrayType(T.LongType()), measure, _sizes)
-    found = sizes.select("doc_id", "y", name).toPandas().sort_values("doc_id")
+    found = sizes.select("doc_id", "y", name).toArrow().sort_by("doc_id").to_pandas()
     y = found.y.to_numpy(float)
     weights = logistic(inputs(np.stack(found[name].to_numpy())), y)
     weights[0] += np.log(prior / (1 - prior)) - np.log(y.mean() / (1 - y.mean()))

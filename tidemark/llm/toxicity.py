@@ -116,8 +116,8 @@ def _buckets(_, texts: pa.Array) -> pa.Array:
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     small_batches(docs.sparkSession)
     found, name = add_column(labelled_rows(docs, labels, label, SAMPLE), "buckets", T.ArrayType(T.IntegerType()), None, _buckets)
-    sample = found.select("doc_id", "y", name).toPandas().sort_values("doc_id")
-    return fit(list(sample[name]), sample.y.to_numpy(float), learnt_share(labels, label))
+    sample = found.select("doc_id", "y", name).toArrow().sort_by("doc_id")
+    return fit([b.values.to_numpy() for b in sample[name]], sample["y"].to_numpy().astype(float), learnt_share(labels, label))
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text") -> tuple[DataFrame, str]:
