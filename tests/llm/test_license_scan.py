@@ -1,3 +1,7 @@
+import random
+import time
+
+import pytest
 from cases import empty_docs, odd_docs
 
 from tidemark.llm.license_scan import TEMPLATES, Scanner, scan_licenses
@@ -32,7 +36,8 @@ def test_differences_count_words():
     assert scan.differences("gpl-3.0", text.replace("version 3", "version 9")) == 1
     assert scan.differences("gpl-3.0", text.replace("the GNU", "the old GNU")) == 1
     assert scan.differences("gpl-3.0", "nothing alike") == len(scan.words["gpl-3.0"])
-    assert scan.saving("mit", TEMPLATES["mit"])[1] > scan.saving("gpl-3.0", TEMPLATES["mit"])[1]
+    block = "released under the mit license"
+    assert max(scan.words, key=lambda n: scan.saving(n, block)) == "mit"
 
 
 def test_odd_rows(spark):
@@ -98,3 +103,51 @@ def test_wrapped_notices_reach_the_scan(spark):
     df = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string")
     out, blocks, licenses, differences = scan_licenses(df)
     assert [(r[blocks], r[licenses], r[differences]) for r in out.orderBy("doc_id").collect()] == [(1, ["all-rights-reserved"], 0), (1, ["mpl-2.0"], 0)]
+
+
+def plain_distance(want, have):
+    """Fewest words to change, add or take out, by the whole table."""
+    d = [[i + j if not i * j else 0 for j in range(len(have) + 1)] for i in range(len(want) + 1)]
+    for i in range(1, len(want) + 1):
+        for j in range(1, len(have) + 1):
+            d[i][j] = min(d[i - 1][j - 1] + (want[i - 1] != have[j - 1]), d[i - 1][j] + 1, d[i][j - 1] + 1)
+    return d[-1][-1]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_alignment_is_the_closest_of_all_parts(seed):
+    r = random.Random(seed)
+    scan = Scanner({"t": " ".join(r.choice("abcd") for _ in range(r.randrange(2, 7)))})
+    for _ in range(30):
+        have = [r.choice("abcde") for _ in range(r.randrange(1, 10))]
+        at = r.randrange(len(have))
+        cost, first, last = scan.aligned("t", have, at)
+        parts = {(i, j): plain_distance(scan.words["t"], have[i:j]) for i in range(at + 1) for j in range(at + 1, len(have) + 1)}
+        assert cost == min(parts.values()) == parts[first, last]
+
+
+def test_savings_decide_what_is_found(monkeypatch):
+    """Without the bytes that templates save nothing is a candidate; another order of savings gives other winners."""
+    given = {n: t for n, t in texts().items() if n in TEMPLATES}
+    right = {n: Scanner().scan(t) for n, t in given.items()}
+    plain = Scanner.saving
+    monkeypatch.setattr(Scanner, "saving", lambda self, name, block: (0, 0.0))
+    assert all(Scanner().scan(t)[1] == [] for t in given.values())
+    monkeypatch.setattr(Scanner, "saving", lambda self, name, block: (1000 - plain(self, name, block)[0], plain(self, name, block)[1]))
+    turned = {n: Scanner().scan(t) for n, t in given.items()}
+    assert sum(turned[n] != right[n] for n in right) > 3
+
+
+def test_another_dictionary_changes_the_ranking():
+    words = "this file is licensed under the mit license and may be used".split()
+    ours, at = Scanner(), words.index("license")
+    other = Scanner(TEMPLATES | {"mit": "Nothing that occurs here, no license.", "house/rules": "This file is licensed under the MIT License and may be used"})
+    assert "mit" in ours.candidates(words, at) and "mit" not in other.candidates(words, at) and other.candidates(words, at)[0] == "house/rules"
+    assert ours.scan(" ".join(words))[1] == ["mit"] and other.scan(" ".join(words))[1] == ["house"]
+
+
+def test_long_texts_full_of_cues_end(spark):
+    text = " ".join(f"license{i} is a word about copyright number {i % 7}" for i in range(800)) + " Released under the MIT License."
+    start = time.time()
+    blocks, names, _ = Scanner().scan(text)
+    assert names == ["mit"] and blocks == 2 * 800 + 1 and time.time() - start < 20

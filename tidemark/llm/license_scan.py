@@ -1,13 +1,17 @@
 """License scans by conditional compression.
 
-Every line on which a cue starts is a candidate block; cues and wordings may be
-wrapped over lines, with comment marks before each. Against every template whose
-identifying words (name and version) the text holds, the block's best
-aligned part is taken: the run of words around the cue with the fewest words to
-change, add or take out. That part must hold the identifying words itself and
-differ in few words. The parts are compressed alone and once with
-their template as zstandard raw dictionary; the bytes that a template saves rank
-what the wording confirms.
+Words around cues (licence, copyright, redistribute ...) are candidate blocks:
+for every template the run of as many words as it has that puts the text's cue
+where the template has its own. Wordings may be wrapped over lines, with comment
+marks before each, as only words count. A block is compressed alone and with the
+template as zstandard raw dictionary. Templates that spare at least ``SPARED``
+of what they themselves take are candidates, and the bytes that they save rank
+them. The first of that order is taken which the wording confirms: the run of
+words around the cue with the fewest words to change, add or take out differs in
+few words and holds the license's identifying words (name and version).
+
+Blocks have a bounded number of words and those that occur again are looked up,
+so the work grows with the cues of a text.
 
 Defined cases: null and empty texts have no blocks; several blocks with the same
 license name it once; equal savings go to the longer template, then to the name
@@ -49,6 +53,8 @@ TEMPLATES = {
     "apache-2.0/name": "Apache License 2.0",
     "bsd/redistribution": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "bsd/name": "Released under the BSD License.",
+    "bsd/clause-2": "2-Clause BSD License",
+    "bsd/clause-3": "3-Clause BSD License",
     "bsl-1.0": "Distributed under the Boost Software License, Version 1.0.",
     "cc0-1.0": "This work is released under the Creative Commons CC0 1.0 Universal Public Domain Dedication.",
     "epl-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
@@ -76,6 +82,10 @@ TEMPLATES = {
     "zlib": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely",
     "zlib/name": "Released under the zlib License.",
 }
+for _short, _version in (("AGPL", "3"), ("GPL", "2"), ("GPL", "3"), ("LGPL", "2.1"), ("LGPL", "3")):
+    _name = f"{_short.lower()}-{_version if '.' in _version else _version + '.0'}"
+    TEMPLATES[f"{_name}/short"] = f"Released under the {_short}v{_version}."
+    TEMPLATES[f"{_name}/spaced"] = f"Licensed under {_short} v{_version}."
 for _short, _long in _CC.items():
     TEMPLATES[f"cc-by{_short}-4.0"] = f"Licensed under CC BY{_short.upper()} 4.0."
     TEMPLATES[f"cc-by{_short}-4.0/name"] = f"CC-BY{_short.upper()} 4.0 license"
@@ -117,7 +127,9 @@ for _short, _long in _CC.items():
 CUES = r"licen[cs]|rights\W+reserved|permission\W+(to|is)|redistribut|copyright|public\W+domain|\b[al]?gpl|\bcc[ -]?(by|0)|creative\W+commons"
 #: Words of a template that may differ: this share of them, or this many if that is more.
 MOST_DIFFERENT, ALWAYS_DIFFERENT = 0.1, 2
-LEVEL = 19
+LEVEL = 9
+#: Share of its own compressed bytes that a candidate saves a block, and blocks of templates that a worker remembers.
+SPARED, KEPT_BLOCKS = 0.15, 200_000
 
 _WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 
@@ -126,36 +138,67 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def cue_words(text: str) -> tuple[list[str], list[int]]:
+    """The words of a text, and which of them a cue begins in."""
+    cues = [m.start() for m in re.finditer(CUES, text, re.I)]
+    if not cues:
+        return [], []
+    spans = [m.span() for m in _WORD.finditer(text)]
+    return [text[a:b].lower() for a, b in spans], sorted({max(0, bisect.bisect_right(spans, (c, len(text))) - 1) for c in cues} if spans else ())
+
+
 class Scanner:
     """Templates with their words; picklable, compressors are made where they are used."""
 
     def __init__(self, templates: dict[str, str] = TEMPLATES):
         self.templates = sorted(templates.items(), key=lambda x: (-len(words_of(x[1])), x[0]))
         self.words = {name: words_of(text) for name, text in self.templates}
-        self._ready = None
+        self.cues = {name: cue_words(" ".join(w))[1] or [0] for name, w in self.words.items()}
+        self._ready, self._known = None, {}
 
     def __getstate__(self):
-        return self.__dict__ | {"_ready": None}
+        return self.__dict__ | {"_ready": None, "_known": {}}
 
     def _compressors(self):
+        """A compressor without dictionary, and for every template the one with it and the bytes that the template itself takes."""
         if self._ready is None:
-            given = {n: zstandard.ZstdCompressionDict(t.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT) for n, t in self.templates}
             plain = dict(level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
-            self._ready = zstandard.ZstdCompressor(**plain), {n: zstandard.ZstdCompressor(dict_data=d, **plain) for n, d in given.items()}
+            alone, given = zstandard.ZstdCompressor(**plain), {}
+            for name, _ in self.templates:
+                raw = " ".join(self.words[name]).encode()
+                content = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                content.precompute_compress(level=LEVEL)
+                given[name] = zstandard.ZstdCompressor(dict_data=content, **plain), max(1, len(alone.compress(raw)) - len(alone.compress(b"")))
+            self._ready = alone, given
         return self._ready
 
     def saving(self, name: str, block: str) -> tuple[int, float]:
-        """Compressed bytes of the block that the template saves, and their share."""
-        alone, given = self._compressors()
-        raw = block.lower().encode()
-        own = len(alone.compress(raw))
-        saved = own - len(given[name].compress(raw))
-        return saved, saved / own
+        """Compressed bytes of the block that a template saves, as a share of what the template itself takes too."""
+        if (name, block) not in self._known:
+            if len(self._known) >= KEPT_BLOCKS:
+                self._known.clear()
+            alone, given = self._compressors()
+            raw, (compressor, own) = block.encode(), given[name]
+            saved = len(alone.compress(raw)) - len(compressor.compress(raw))
+            self._known[name, block] = saved, saved / own
+        return self._known[name, block]
+
+    def candidates(self, words: list[str], at: int) -> list[str]:
+        """Templates that spare a block around the cue word ``at`` enough, those that save the most bytes first."""
+        ranked = []
+        for order, (name, _) in enumerate(self.templates):
+            need, best = len(self.words[name]), (0, 0.0)
+            for cue in self.cues[name]:
+                best = max(best, self.saving(name, " ".join(words[max(0, at - cue) : max(0, at - cue) + need])))
+            if best[0] > 0 and best[1] >= SPARED:
+                ranked.append((-best[0], order, name))
+        return [name for _, _, name in sorted(ranked)]
 
     def aligned(self, name: str, have: list[str], at: int | None = None) -> tuple[int, int, int]:
         """(words to change, add or take out, first, last + 1) of the part of ``have`` closest to the template; it holds word ``at``."""
         want = self.words[name]
-        cost, start = [0] * (len(have) + 1), list(range(len(have) + 1))
+        last = len(have) if at is None else at  # a part begins there at the latest
+        cost, start = [max(0, j - last) for j in range(len(have) + 1)], [min(j, last) for j in range(len(have) + 1)]
         for i, w in enumerate(want, 1):
             above, begun = cost, start
             cost, start = [i], [0]
@@ -166,7 +209,7 @@ class Scanner:
         # of equally close parts the longest, so that no name or version is left out
         ends = [
             (c, b - j, j) for j, (c, b) in enumerate(zip(cost, start))
-            if (at is None or b <= at < j) and (j == 0 or c <= cost[j - 1])  # no words added behind the last one
+            if (at is None or j > at) and (j == 0 or c <= cost[j - 1] or j - 1 == at)  # no words added behind the last one
         ]
         c, size, j = min(ends, default=(len(want), 0, 0))
         return c, j + size, j
@@ -175,22 +218,24 @@ class Scanner:
         """Words to change, add or take out between the template and the part of the block closest to it."""
         return self.aligned(name, words_of(block))[0]
 
-    def winner(self, words: list[str], at: int, names: list[str]) -> tuple[str, int] | None:
-        """(license, differences) of the part around the cue word ``at``; the best saving that the wording confirms."""
-        ranked = []
-        for order, name in enumerate(names):
-            need = len(self.words[name])
-            low, allowed = max(0, at - need - ALWAYS_DIFFERENT), max(ALWAYS_DIFFERENT, MOST_DIFFERENT * need)
-            near = words[low : at + need + ALWAYS_DIFFERENT]
-            if (Counter(self.words[name]) - Counter(near)).total() > allowed:
-                continue
-            found = self.aligned(name, near, at - low)
-            if found[0] > allowed:
-                continue
-            part = " ".join(words[low + found[1] : low + found[2]])
-            if self.marks(name).search(part):
-                ranked.append((-self.saving(name, part)[0], order, name.split("/")[0], found[0]))
-        return min(ranked)[2:] if ranked else None
+    def confirmed(self, name: str, words: list[str], at: int) -> int | None:
+        """Differences of the part around the cue word ``at``, if they are few and the part identifies the license."""
+        need = len(self.words[name])
+        low, allowed = max(0, at - need - ALWAYS_DIFFERENT), max(ALWAYS_DIFFERENT, MOST_DIFFERENT * need)
+        near = words[low : at + need + ALWAYS_DIFFERENT]
+        if (Counter(self.words[name]) - Counter(near)).total() > allowed:
+            return None
+        found = self.aligned(name, near, at - low)
+        part = " ".join(words[low + found[1] : low + found[2]])
+        return found[0] if found[0] <= allowed and self.marks(name).search(part) else None
+
+    def winner(self, words: list[str], at: int) -> tuple[str, int] | None:
+        """(license, differences) of the best ranked candidate that the wording around ``at`` confirms."""
+        for name in self.candidates(words, at):
+            found = self.confirmed(name, words, at)
+            if found is not None:
+                return name.split("/")[0], found
+        return None
 
     def marks(self, name: str) -> re.Pattern:
         """What identifies a template's license; templates of other licenses identify themselves by all of their words."""
@@ -198,20 +243,10 @@ class Scanner:
         return re.compile(IDENTITY.get(license) or rf"\b{re.escape(' '.join(self.words[name]))}\b")
 
     def scan(self, text: str) -> tuple[int, list[str], int]:
-        """Candidate blocks, licenses, and the fewest differences over confirmed blocks (-1 without any)."""
-        spans = [m.span() for m in _WORD.finditer(text)]
-        words = [text[a:b].lower() for a, b in spans]
-        cues = [m.start() for m in re.finditer(CUES, text, re.I)]
-        if not cues:
-            return 0, [], -1
-        whole = " ".join(words)
-        seen = {m: m.search(whole) is not None for m in {self.marks(n) for n, _ in self.templates}}
-        names = [n for n, _ in self.templates if seen[self.marks(n)]]
-        places = sorted({max(0, bisect.bisect_right(spans, (c, len(text))) - 1) for c in cues})
-        found = [w for at in places if (w := self.winner(words, at, names)) is not None]
-        ends = [m.start() for m in re.finditer("\n", text)]
-        starts = len({bisect.bisect_left(ends, c) for c in cues})
-        return starts, sorted({name for name, _ in found}), min((d for _, d in found), default=-1)
+        """Cues with candidate blocks, licenses, and the fewest differences over confirmed blocks (-1 without any)."""
+        words, places = cue_words(text)
+        found = [w for at in places if (w := self.winner(words, at)) is not None]
+        return len(places), sorted({name for name, _ in found}), min((d for _, d in found), default=-1)
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, text: str = "text") -> tuple[DataFrame, str, str, str]:
