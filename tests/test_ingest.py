@@ -213,3 +213,45 @@ def test_components_per_key(spark):
         assert np.allclose(mine, z @ v.T, atol=1e-8)
     few = df.filter("i < 5")
     assert selection.principal_components(few, feats, 2, ["k"], ["k"]).count() == 0
+
+
+def write_files(folder, files):
+    folder.mkdir(parents=True, exist_ok=True)
+    for name, lines in files.items():
+        (folder / name).write_text("\n".join(["Date,Open,High,Low,Close,Volume", *lines]) + "\n")
+    return str(folder)
+
+
+@pytest.mark.parametrize("split", [97, 1 << 27])
+def test_files_keep_their_order_and_broken_lines_are_set_aside(spark, tmp_path, split):
+    line = lambda d: f"{d},1,2,0.5,1.5,100"
+    days = [f"2020-01-{i:02d}" for i in range(1, 29)]
+    files = {"b.csv": [line(d) for d in days[20:]], "a.csv": [line(d) for d in [days[3], days[1], *days[4:20]]] + ["2020-02-01,1,2", "03/02/2020,1,2,3,4,5,6,7"]}
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    try:
+        rows, broken = ingest.read_bars_files(spark, write_files(tmp_path / "in", files))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    got = [r.Date for r in rows.orderBy("arrival").collect()]
+    assert got == [days[3], days[1], *days[4:20], *days[20:]]
+    assert {r.line for r in broken.collect()} == {"2020-02-01,1,2", "03/02/2020,1,2,3,4,5,6,7"} and rows.select("arrival").distinct().count() == len(got)
+    report = validate.validate_bars(ingest.normalize_bars(rows).withColumn("series_id", F.lit("s")), order="arrival").first()
+    assert report["unsorted_dates_count"] == 1 and report["total_rows"] == len(got)
+
+
+def test_commit_leaves_one_version_and_notices_other_files(spark, tmp_path):
+    from tidemark.sources import sinks
+
+    df = spark.createDataFrame([(s, dt.date(2020, 1, d), float(d)) for s in "ab" for d in range(1, 20)], "series_id string, date date, close double")
+    path = str(tmp_path / "t")
+    first = sinks.commit_table(df.limit(5), path)
+    second = sinks.commit_table(df, path)
+    table, manifest = sinks.read_committed(spark, path)
+    assert sinks.versions(spark, path) == [second] != [first] and table.count() == 38
+    assert manifest.agg(F.sum("n_rows"), F.min("least_date"), F.max("most_series_id")).first()[:] == (38, dt.date(2020, 1, 1), "b")
+    assert sorted(map(tuple, table.collect())) == sorted(map(tuple, df.collect()))
+    known = next(p for p in (tmp_path / "t" / second).glob("part-*.parquet"))
+    (known.parent / "part-99999-foreign.parquet").write_bytes(known.read_bytes())
+    with pytest.raises(ValueError):
+        sinks.read_committed(spark, path)

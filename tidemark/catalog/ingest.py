@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..functions.columns import round_doubles
+from ..functions.columns import attach, round_doubles
 from ..operators import ingest, selection, validate
 from ..operators.features import compute_features, feature_layout
 from ..operators.layout import POS, plain
-from ..sources.sinks import dataset_metadata
+from ..session import ensure_checkpoint_dir
+from ..sources.sinks import commit_table, dataset_metadata, read_committed, versions
 from ..sources.tables import daily_bars, daily_covariate
 from .sqlparts import BARS, COVARIATE, LOGS, frame, query, rounded, whole
 
@@ -53,6 +56,34 @@ def q_normalize(spark, sf):
     return round_doubles(ingest.normalize_bars(raw_text(spark, sf)))
 
 
+def written_files(spark, sf) -> str:
+    """The bars as CSV files, one per year: rows of the 6th come early, lines of the 13th are cut short, even years have slash dates."""
+    b = daily_bars(spark, sf)
+    day, year = F.dayofmonth("date"), F.year("date")
+    date = F.when(year % 2 == 0, F.date_format("date", "MM/dd/yyyy")).otherwise(F.date_format("date", "yyyy-MM-dd"))
+    cells = [F.format_number(F.col(c), 6) for c in ("open", "high", "low", "close", "volume")]
+    text = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    line = F.when(day == 13, F.concat_ws(",", "series_id", date)).otherwise(F.concat_ws(",", F.col("series_id"), date, *[text(c) for c in cells]))
+    place = F.when(day == 6, F.col(POS) * 10 - 25).otherwise(F.col(POS) * 10)
+    rows = b.select(year.alias("file"), place.alias("place"), "series_id", line.alias("value"))
+    head = rows.select("file").distinct().select("file", F.lit(-1000).cast("long").alias("place"), F.lit("").alias("series_id"), F.lit("series_id,Date,Open,High,Low,Close,Volume").alias("value"))
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/bar-files-{uuid.uuid4().hex}"
+    dealt = rows.unionByName(head).repartition("file").sortWithinPartitions("file", "place", "series_id")
+    dealt.select("file", "value").write.partitionBy("file").text(path)
+    return path
+
+
+def q_files(spark, sf):
+    """Checks in arrival order over several files, with the lines that are no record."""
+    rows, broken = ingest.read_bars_files(spark, written_files(spark, sf))
+    report = validate.validate_bars(ingest.normalize_bars(rows), order="arrival", as_of=AS_OF)
+    lost = broken.groupBy(F.split("line", ",")[0].alias("series_id")).agg(F.count(F.lit(1)).alias("broken_lines"))
+    return report.select(
+        "series_id", "total_rows", "unsorted_dates_count", "impossible_returns_count", "duplicate_rows_count"
+    ).join(lost, "series_id", "left").fillna(0, ["broken_lines"])
+
+
 def q_align(spark, sf):
     out = ingest.align_covariate(daily_bars(spark, sf), daily_covariate(spark, sf), ["vix_close"])
     return round_doubles(plain(out).select("series_id", "date", "close", "vix_close"))
@@ -101,6 +132,19 @@ def q_metadata(spark, sf):
     return dataset_metadata(daily_bars(spark, sf), "lineitem")
 
 
+def q_committed(spark, sf):
+    """Bars committed twice and read back: what the table and its manifest say, and how many versions are left."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/committed-{uuid.uuid4().hex}"
+    bars = daily_bars(spark, sf)
+    commit_table(bars.filter(F.col("volume") > 10), path)
+    commit_table(bars, path)
+    table, manifest = read_committed(spark, path)
+    listed = manifest.agg(F.sum("n_rows").alias("listed_rows"), F.min("least_date").alias("least_date"), F.max("most_series_id").alias("most_series"))
+    rows = table.groupBy("series_id").agg(F.count(F.lit(1)).alias("n_rows"), F.max("date").alias("most_date"), F.round(F.sum("volume"), 2).alias("volume"))
+    return attach(rows, listed).withColumn("versions", F.lit(len(versions(spark, path))))
+
+
 PICK = ["ret_log", "ret_3d", "ret_5d", "ret_10d", "ret_21d", "ret_63d", "ret_cum_21d", "ret_cum_63d"]
 
 
@@ -159,6 +203,7 @@ def q_component_sums(spark, sf):
 
 QUERIES = {
     "normalize_bars": q_normalize,
+    "bar_files": q_files,
     "align_covariate": q_align,
     "external_series": q_external,
     "missing_cells": q_missing_cells,
@@ -169,6 +214,7 @@ QUERIES = {
     "validation_issues": q_issues,
     "missing_business_days": q_missing_days,
     "dataset_metadata": q_metadata,
+    "committed_table": q_committed,
     "feature_variances": q_variances,
     "feature_correlations": q_correlations,
     "selected_features": q_selected,
@@ -254,6 +300,15 @@ ORACLES = {
         BARS,
         f"SELECT series_id, date, {rounded(['open', 'high', 'low', 'close', 'volume'])} FROM bars WHERE day(date) NOT IN (9, 17)",
     ),
+    "bar_files": query(
+        BARS,
+        "p AS (SELECT *, year(date) AS file, row_number() OVER (PARTITION BY series_id ORDER BY date) - 1 AS pos FROM bars)",
+        "o AS (SELECT *, CASE WHEN day(date) = 6 THEN pos * 10 - 25 ELSE pos * 10 END AS place, round(close, 6) AS c FROM p WHERE day(date) <> 13)",
+        "l AS (SELECT *, lag(date) OVER w AS before, lag(c) OVER w AS last FROM o WINDOW w AS (PARTITION BY series_id ORDER BY file, place))",
+        "n AS (SELECT series_id, count(*) AS broken_lines FROM p WHERE day(date) = 13 GROUP BY 1)",
+        "SELECT series_id, count(*) AS total_rows, count_if(date < before) AS unsorted_dates_count, count_if(abs(c / last - 1.0) > 0.30) AS impossible_returns_count, "
+        "CAST(0 AS BIGINT) AS duplicate_rows_count, coalesce(any_value(broken_lines), 0) AS broken_lines FROM l LEFT JOIN n USING (series_id) GROUP BY 1",
+    ),
     "align_covariate": query(
         BARS, COVARIATE,
         f"""j AS (SELECT b.series_id, b.date, b.close, c.vix_close AS v FROM bars b LEFT JOIN cov c USING (date))""",
@@ -303,6 +358,11 @@ ORACLES = {
     "missing_business_days": query(
         BARS, _GAPS.format("bars"), "SELECT series_id, date FROM gaps"
     ),
+    "committed_table": query(
+        BARS, "t AS (SELECT count(*) AS listed_rows, min(date) AS least_date, max(series_id) AS most_series FROM bars)",
+        "SELECT series_id, count(*) AS n_rows, max(date) AS most_date, round(sum(volume), 2) AS volume, listed_rows, least_date, most_series, 1 AS versions "
+        "FROM bars, t GROUP BY series_id, listed_rows, least_date, most_series",
+    ),
     "dataset_metadata": query(
         BARS,
         "h AS (SELECT *, md5(concat_ws('|', " + ", ".join(

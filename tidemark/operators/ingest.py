@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import finite, finite_columns, parse_date, parse_number
+from ..session import stage
 from .layout import POS, cut_blocks, located, running
 
 # fixed values: header names accepted for each column
@@ -32,6 +33,33 @@ def read_bars_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).csv(path)
 
 
+def read_bars_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """CSV files with a header as text rows in their arrival order, and the lines that are no record.
+
+    ``arrival`` orders files by path and rows by their place in the file: the
+    start of the split a row comes from plus its number there, which is below
+    the start of the next split, as a row has a byte at least. Lines with too few
+    or too many fields go to the quarantine (file, arrival, line) and not to the
+    rows. Both are staged.
+    """
+    names = spark.read.option("header", True).csv(path).columns
+    schema = ", ".join(f"`{c}` string" for c in [*names, "_line"])
+    raw = (
+        spark.read.option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_line").schema(schema).csv(path)
+        .select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_from"))
+        .withColumn("_at", F.monotonically_increasing_id())
+    )
+    raw = stage(raw)
+    # one row per split and one per file, not per row
+    splits = raw.groupBy("_file", "_from").agg(F.min("_at").alias("_first"))
+    files = splits.select("_file").distinct().withColumn("_number", F.dense_rank().over(Window.orderBy("_file")))
+    placed = raw.join(splits, ["_file", "_from"]).join(files, "_file").withColumn(
+        "arrival", F.shiftleft(F.col("_number").cast("long"), 40) + F.col("_from") + F.col("_at") - F.col("_first")
+    )
+    rows = stage(placed.filter("_line is null").select(*raw.columns[: len(raw.columns) - 4], "arrival"))
+    return rows, stage(placed.filter("_line is not null").select(F.col("_file").alias("file"), "arrival", F.col("_line").alias("line")))
+
+
 def canonical_names(columns: list[str], aliases: dict[str, list[str]] = ALIASES) -> dict[str, str]:
     """Map from header to canonical name: the first header found per alias list.
 

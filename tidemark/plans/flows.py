@@ -28,7 +28,9 @@ def prepare_bars(
     source: str = "csv", strict: bool = True, backfill: bool = True,
 ) -> str:
     """CSV files to a clean, validated bar table with its reports."""
-    bars = ingest.normalize_bars(ingest.read_bars_csv(spark, bars_csv))
+    rows, broken = ingest.read_bars_files(spark, bars_csv)
+    write_table(broken, f"{out}/quarantine.parquet", ["file"])
+    bars = ingest.normalize_bars(rows)
     if "series_id" not in bars.columns:
         bars = bars.withColumn("series_id", F.lit("main"))
     bars = stage(bars)
@@ -37,11 +39,12 @@ def prepare_bars(
         cov = ingest.normalize_bars(ingest.read_bars_csv(spark, covariate_csv))
         cov = cov.select("date", F.col("close").alias("vix_close"))
         bars = stage(plain(ingest.align_covariate(bars, cov, ["vix_close"], backfill=backfill)))
-    report = stage(validate.validate_bars(bars, covariate=has_covariate))
+    report = stage(validate.validate_bars(bars, order="arrival", covariate=has_covariate))
     write_report_json(report, f"{out}/validation_report.json")
-    write_table(validate.validation_issues(bars, covariate=has_covariate), f"{out}/validation_issues.parquet", ["check_name"])
+    write_table(validate.validation_issues(bars, order="arrival", covariate=has_covariate), f"{out}/validation_issues.parquet", ["check_name"])
     if strict:
         validate.require_valid(report)
+    bars = bars.drop("arrival")
     write_report_json(dataset_metadata(bars, source), f"{out}/dataset_metadata.json")
     write_table(bars, f"{out}/cleaned.parquet")
     return f"{out}/cleaned.parquet"

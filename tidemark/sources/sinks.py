@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import attach
@@ -18,6 +20,63 @@ def write_table(df: DataFrame, path: str, by: list[str] = ["series_id"]) -> None
     df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
 
 
+# --- committed tables -------------------------------------------------------
+
+def _hadoop(spark: SparkSession, path: str):
+    """File system of a path, and the class of its paths."""
+    kind = spark._jvm.org.apache.hadoop.fs.Path
+    return kind(path).getFileSystem(spark._jsc.hadoopConfiguration()), kind
+
+
+def commit_table(df: DataFrame, path: str, by: list[str] = ["series_id"]) -> str:
+    """Write a new version of the table at ``path`` and switch to it; the version's name.
+
+    Files go to a folder of their own, then their manifest (rows, least and
+    greatest values of the clustering columns per file), at last the name of the
+    version replaces that in ``current`` by a rename. A writer that is lost
+    leaves the old version in place, one that runs again writes another folder,
+    and a finished commit removes all folders but its own.
+    """
+    spark = df.sparkSession
+    version = f"v-{uuid.uuid4().hex}"
+    write_table(df, f"{path}/{version}", by)
+    order = [c for c in [*by, "date"] if c in df.columns]
+    made = spark.read.parquet(f"{path}/{version}").groupBy(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file")).agg(
+        F.count(F.lit(1)).alias("n_rows"), *[f(c).alias(f"{n}_{c}") for c in order for n, f in (("least", F.min), ("most", F.max))]
+    )
+    made.write.parquet(f"{path}/{version}/_manifest")
+    store, kind = _hadoop(spark, path)
+    new = kind(f"{path}/next-{version}")
+    out = store.create(new, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    options = spark._jvm.org.apache.hadoop.fs.Options.Rename
+    replace = spark.sparkContext._gateway.new_array(options, 1)
+    replace[0] = options.OVERWRITE
+    spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(kind(path).toUri(), spark._jsc.hadoopConfiguration()).rename(new, kind(f"{path}/current"), replace)
+    for status in store.listStatus(kind(path)):
+        name = status.getPath().getName()
+        if name.startswith(("v-", "next-")) and name != version:
+            store.delete(status.getPath(), True)
+    return version
+
+
+def versions(spark: SparkSession, path: str) -> list[str]:
+    """Folders of versions that exist at ``path``."""
+    store, kind = _hadoop(spark, path)
+    return sorted(s.getPath().getName() for s in store.listStatus(kind(path)) if s.getPath().getName().startswith("v-"))
+
+
+def read_committed(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The current version of a committed table, and its manifest; fails if a file has not the rows of the manifest."""
+    version = spark.read.text(f"{path}/current").first()[0]
+    table, manifest = spark.read.parquet(f"{path}/{version}"), spark.read.parquet(f"{path}/{version}/_manifest")
+    own = table.groupBy(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file")).agg(F.count(F.lit(1)).alias("_n"))
+    if not manifest.join(own, "file", "full").filter(~F.col("n_rows").eqNullSafe(F.col("_n"))).isEmpty():
+        raise ValueError(f"{path}: files of version {version} are not those of its manifest")
+    return table, manifest
+
+
 def write_report_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
