@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ["risk", "features", "ingest", "regimes", "strategies", "models", "given", "resample"]
+AREAS = ["risk", "features", "ingest", "regimes", "strategies", "models", "given", "records", "resample"]
 
 
 def _collect(what: str) -> dict:

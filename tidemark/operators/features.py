@@ -59,6 +59,24 @@ FEATURES = {
 }
 
 
+def covariate_return_maps(covariates: DataFrame, name: str = "name", value: str = "close") -> DataFrame:
+    """Long external series ``(name, date, close)`` to (date, external): a map from name to log return per date.
+
+    The names stay data: any number of series is one aggregation, and none
+    reaches the driver. Names are the keys that have a previous row.
+    """
+    rows = by_position(covariates.select(name, "date", value), [name], halo=1)
+    moved = F.log(F.col(value) / F.lag(value).over(block_window([name])))
+    rows = drop_halo(rows.withColumn("_r", moved)).filter("_r is not null")
+    return rows.groupBy("date").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(name), "_r")))).alias("external"))
+
+
+def with_external(df: DataFrame, maps: DataFrame) -> DataFrame:
+    """Rows with the map of their date, an empty one where no external series moved."""
+    kind = dict(maps.dtypes)["external"]
+    return df.join(maps, "date", "left").withColumn("external", F.coalesce("external", F.create_map().cast(kind)))
+
+
 def feature_names(*groups: str) -> list[str]:
     return [f for g in (groups or FEATURES) for f in FEATURES[g]]
 
