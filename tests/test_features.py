@@ -5,7 +5,7 @@ from frames import bars, ohlcv
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import features as ft
+from tidemark.operators import features as ft, layout
 from tidemark.operators.ewm import add_ewm, from_span
 from tidemark.operators.layout import by_position, drop_halo
 
@@ -120,3 +120,17 @@ def test_covariate_features(spark, frame):
     long = df.select(F.lit("oil").alias("name"), "date", "close").unionByName(df.select(F.lit("gold").alias("name"), "date", "close"))
     ext = ft.covariate_returns(long)
     assert set(ext.columns) == {"date", "ext_gold_ret", "ext_oil_ret"} and ext.count() == len(frame)
+
+
+@pytest.mark.parametrize("group", ["returns", "market_structure", "statistical_complexity", "volatility", "momentum"])
+def test_halo_is_what_the_family_needs(spark, monkeypatch, group):
+    """Blocks hardly longer than the halo give the rows of one block, with no more copies than the halo."""
+    need = ft.halo_of(group)
+    pdf = ohlcv(2 * need + 50)
+    whole = ft.compute_features(bars(spark, pdf), group).orderBy("date").toPandas()
+    monkeypatch.setattr(layout, "BLOCK_ROWS", need + 7)
+    cut = ft.compute_features(bars(spark, pdf), group).orderBy("date").toPandas()
+    names = ft.feature_names(group)
+    pd.testing.assert_frame_equal(cut[names], whole[names], rtol=1e-9, atol=1e-12)
+    copies = ft.feature_layout(bars(spark, pdf), group).filter("not _own").groupBy("_blk").count().collect()
+    assert copies and all(r["count"] <= max(need, 63) for r in copies)

@@ -24,6 +24,11 @@ def from_span(span: int) -> float:
     return 2.0 / (span + 1)
 
 
+def memory_rows(alpha: float) -> int:
+    """Rows after which a value weighs less than 1e-17 in the mean."""
+    return math.ceil(_REACH / -math.log(1.0 - alpha))
+
+
 def _power(q: float, exponent: Column) -> Column:
     return F.exp(exponent * math.log(q))
 
@@ -43,7 +48,7 @@ def add_ewm(
     so that what lies before the halo weighs less than 1e-17.
     """
     slowest = min(alpha for _, alpha, _ in outputs.values())
-    memory = math.ceil(_REACH / -math.log(1.0 - slowest))
+    memory = memory_rows(slowest)
     if memory > layout.HALO_ROWS:
         raise ValueError(f"the weighted mean remembers {memory} rows, the halo has {layout.HALO_ROWS}")
     part = [*keys, BLK]

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from ..functions.columns import (
     change, full, if_zero, rolling_slope, sample_kurtosis, sample_skew,
 )
-from .ewm import add_ewm, from_span
+from . import layout
+from .ewm import add_ewm, from_span, memory_rows
 from .layout import POS, block_window, by_position, drop_halo
 
 KEYS = ["series_id"]
@@ -82,15 +83,45 @@ def feature_names(*groups: str) -> list[str]:
 
 
 def feature_registry(spark: SparkSession) -> DataFrame:
-    """Static table ``(feature, group, title)``."""
-    rows = [(f, g, GROUP_TITLES[g]) for g, names in FEATURES.items() for f in names]
-    rows += [("vix_close_ret", "external", GROUP_TITLES["external"])]
-    return spark.createDataFrame(rows, "feature string, feature_group string, title string")
+    """Static table ``(feature, group, title, halo)``: ``halo`` is what the group needs before a row."""
+    rows = [(f, g, GROUP_TITLES[g], halo_of(g)) for g, names in FEATURES.items() for f in names]
+    rows += [("vix_close_ret", "external", GROUP_TITLES["external"], 1)]
+    return spark.createDataFrame(rows, "feature string, feature_group string, title string, halo int")
+
+
+#: What a family's features read: (what they are made of, rows before the current one). Chains of
+#: features add up; ``halo_of`` walks them from the features to the bars.
+READS = {
+    "bars": [],
+    "log_return": [("bars", 1)],
+    "returns": [("bars", max(RETURN_DAYS)), ("log_return", 62)],
+    "close_volatility": [("log_return", max(VOL_WINDOWS) - 1)],
+    "volatility": [
+        ("close_volatility", 0), ("close_volatility", 251), ("log_return", memory_rows(from_span(21))), ("bars", 1 + memory_rows(1.0 / 14)),
+    ],
+    "trend": [("bars", max(SMA_WINDOWS) - 1 + 4), ("bars", memory_rows(from_span(max(EMA_WINDOWS))) + 4)],
+    "macd_line": [("bars", memory_rows(from_span(26)))],
+    "momentum": [("macd_line", memory_rows(from_span(9))), ("bars", 1 + memory_rows(1.0 / 14)), ("bars", 10), ("bars", 13 + 2)],
+    "drawdown": [("bars", 62)],
+    "market_structure": [("drawdown", 62), ("bars", 14), ("bars", 20)],
+    "statistical_complexity": [("log_return", 62), ("bars", 125 + 16)],
+}
+
+
+def halo_of(*groups: str) -> int:
+    """Rows before a block that the features of the given groups (all by default) need, and no more."""
+    def depth(node: str) -> int:
+        return max((rows + depth(child) for child, rows in READS[node]), default=0)
 
+    return max(depth(g) for g in (groups or FEATURES))
 
-def feature_layout(bars: DataFrame) -> DataFrame:
-    """Positions, blocks and halos, plus the log return every family uses."""
-    rows = by_position(bars, KEYS)
+
+def feature_layout(bars: DataFrame, *groups: str) -> DataFrame:
+    """Positions, blocks and halos, plus the log return every family uses.
+
+    A block gets the rows that the groups need, at most the layout's own halo.
+    """
+    rows = by_position(bars, KEYS, halo=min(max(halo_of(*groups), halo_of("returns")), layout.HALO_ROWS))
     w = block_window(KEYS)
     return rows.withColumn("ret_log", F.log(F.col("close") / F.lag("close").over(w)))
 
@@ -303,7 +334,7 @@ def compute_features(bars: DataFrame, *groups: str) -> DataFrame:
     ``vix_close`` column adds its log change as ``vix_close_ret``.
     """
     groups = groups or tuple(FAMILIES)
-    df = feature_layout(bars)
+    df = feature_layout(bars, *groups)
     for g in groups:
         df = FAMILIES[g](df)
     names = feature_names(*groups)

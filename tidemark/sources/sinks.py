@@ -127,7 +127,7 @@ def feature_metadata(df: DataFrame, selected: list[str], dropped: list[str]) ->
         [(f, "selected") for f in selected] + [(f, "dropped") for f in dropped],
         "feature string, status string",
     )
-    groups = status.join(feature_registry(spark), "feature", "left").fillna("unknown", subset=["feature_group"])
+    groups = status.join(feature_registry(spark).drop("halo"), "feature", "left").fillna("unknown", subset=["feature_group"])
     info = df.agg(
         F.count(F.lit(1)).alias("total_records"),
         F.min("date").alias("start_date"),
