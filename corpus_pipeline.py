@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, exact_dedup, near_dedup, quality, sentencepiece_fst
-from tidemark.llm.common import documents, written
+from tidemark.llm.common import documents, drop_scratch_since, last_scratch, scratch_mark, written
 from tidemark.llm.labels import labels_of
 
 
@@ -57,8 +57,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; of the scratch tables only the last stage's input is left when it returns."""
     docs = documents(spark, sf_dir)
     *inner, (_, last) = STAGES
+    mark = scratch_mark()
     for name, stage in inner:
         docs = written(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        drop_scratch_since(spark, mark, last_scratch())
     return last(spark, docs, sf_dir)

@@ -77,5 +77,18 @@ def test_passages_are_cut_and_clean_texts_stay_as_they_are(spark):
     assert without_words("a b c d", [0, 1, 3]) == " c "
 
 
+def test_a_large_benchmark_has_a_bounded_plan(spark, monkeypatch):
+    """Thirty chunks: the plan holds one pass, the result is that of brute force."""
+    monkeypatch.setattr(decontaminate, "CHUNK_WORDS", 20)
+    docs, items = some(11, n_docs=40, n_items=160)
+    left = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    benchmark = spark.createDataFrame(items, "item_id string, text string")
+    assert len(list(decontaminate._chunks(benchmark))) >= 30
+    out, count, hit, item = match(left, benchmark, window=6)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    assert {r.doc_id: (r[count], r[hit], r[item]) for r in out.collect()} == expected(docs, items, 6)
+
+
 def test_query_digest():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")

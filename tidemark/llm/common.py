@@ -77,7 +77,28 @@ def scratch(spark: SparkSession, name: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tidemark-llm-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+#: Scratch folders of this process, in the order of their making.
+_made: list[str] = []
+
+
+def scratch_mark() -> int:
+    """How many scratch folders there are now."""
+    return len(_made)
+
+
+def last_scratch() -> str:
+    return _made[-1]
+
+
+def drop_scratch_since(spark: SparkSession, mark: int, *kept: str) -> None:
+    """Delete the scratch folders made after ``mark``, but for ``kept`` and the package's code."""
+    for path in [p for p in _made[mark:] if p not in kept and "/code-" not in p]:
+        drop_scratch(spark, path)
+        _made.remove(path)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -7,13 +7,14 @@ is the longest suffix that occurs in some item, and its length is tracked.
 A suffix of ``window`` words or more is a leaked passage; an item shorter than
 a window counts when it occurs whole.
 
-Items are taken in chunks of at most ``CHUNK_WORDS`` words: one automaton of
-bounded size is sent to the tasks at a time and the documents pass it without a
-shuffle, so the benchmark may be of any size.
+Items are taken in chunks of about ``CHUNK_WORDS`` words, an item never being
+split; the automaton of a chunk is sent to the tasks and the documents pass it
+without a shuffle. A plan holds ``AUTOMATA`` of them at most; a larger benchmark
+takes several passes, and what one has found is written before the next.
 
 Defined cases: null texts have no words; items without words never match; an
-item without an id makes hits and cuts, but is not among the items found; repeated items and repeated rows are kept
-apart by their rows; an empty benchmark leaves all documents clean; further
+item without an id makes hits and cuts, but is not among the items found;
+repeated items and repeated rows are kept apart by their rows; an empty benchmark leaves all documents clean; further
 columns of ``docs`` pass through unchanged whatever their names.
 """
 
@@ -28,11 +29,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import doc_of, documents, freeing, fresh, small_batches, space_words, translate
+from .common import doc_of, documents, drop_scratch, freeing, fresh, last_scratch, small_batches, space_words, translate, written
 
 WINDOW = 10
 #: Words of the items in one automaton; bounds what is collected and broadcast at once.
 CHUNK_WORDS = 200_000
+#: Automata in one pass and one plan; with more the documents found so far are written in between.
+AUTOMATA = 4
 #: Share of hit words above which a document is dropped instead of cut.
 MAX_COVERAGE = 0.5
 
@@ -183,26 +186,36 @@ def match(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str
     count, hit, item = (fresh(docs, c) for c in ("n_words", "hit_words", "item_ids"))
     at = docs.columns.index(text)
     schema = T.StructType([*docs.schema.fields, T.StructField(count, T.LongType()), T.StructField(hit, T.ArrayType(T.LongType())), T.StructField(item, T.ArrayType(T.StringType()))])
-    out = docs
-    for first, items in enumerate(_chunks(benchmark)) if benchmark is not None else ():
-        out = _through(out, spark.sparkContext.broadcast(Automaton(items, window)), at, schema, bool(first))
-    if out is docs:
-        out = _through(docs, spark.sparkContext.broadcast(Automaton([], window)), at, schema, False)
+    out, ready, more, before = docs, [], False, None
+    for items in _chunks(benchmark) if benchmark is not None else ():
+        if len(ready) == AUTOMATA:
+            # what these automata found is written, so a plan never holds more of them, whatever the benchmark's size
+            out = written(_through(out, ready, at, schema, more), "decontaminate")
+            for sent in ready:
+                sent.destroy()
+            if before:
+                drop_scratch(spark, before)
+            before, ready, more = last_scratch(), [], True
+        ready.append(spark.sparkContext.broadcast(Automaton(items, window)))
+    if ready or not more:
+        out = _through(out, ready or [spark.sparkContext.broadcast(Automaton([], window))], at, schema, more)
     return out, count, hit, item
 
 
-def _through(docs: DataFrame, automaton, at: int, schema: T.StructType, more: bool) -> DataFrame:
-    """One pass of the documents through one automaton, without a shuffle."""
+def _through(docs: DataFrame, automata: list, at: int, schema: T.StructType, more: bool) -> DataFrame:
+    """One pass of the documents through a few automata, without a shuffle; ``more``: ``docs`` has what others found."""
     width = len(schema.fields)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = batch.columns
-            n, hits, items = find_hits(columns[at].cast(pa.string()), automaton.value)
-            if more:
-                hits = [sorted({*a, *b}) for a, b in zip(columns[width - 2].to_pylist(), hits)]
-                items = [sorted({*a, *b}) for a, b in zip(columns[width - 1].to_pylist(), items)]
-            made = [pa.array(n, pa.int64()), pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
+            hits = [set(h) for h in columns[width - 2].to_pylist()] if more else None
+            items = [set(i) for i in columns[width - 1].to_pylist()] if more else None
+            for automaton in automata:
+                n, own, found = find_hits(columns[at].cast(pa.string()), automaton.value)
+                hits = [a | set(b) for a, b in zip(hits, own)] if hits is not None else [set(h) for h in own]
+                items = [a | set(b) for a, b in zip(items, found)] if items is not None else [set(i) for i in found]
+            made = [pa.array(n, pa.int64()), pa.array(list(map(sorted, hits)), pa.list_(pa.int64())), pa.array(list(map(sorted, items)), pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([*columns[: width - 3], *made], names=[f.name for f in schema.fields])
 
     return docs.mapInArrow(freeing(scan), schema)
