@@ -50,7 +50,12 @@ def add_column(docs: DataFrame, name: str, kind: T.DataType, model, of: Callable
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, of(sent.value, batch.column(at).cast(pa.string()))], names=[f.name for f in schema.fields])
+        try:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([*batch.columns, of(sent.value, batch.column(at).cast(pa.string()))], names=[f.name for f in schema.fields])
+        finally:  # a worker keeps the model for later tasks, but not what it made of it
+            release = getattr(sent.value, "release", None)
+            if release is not None:
+                release()
 
     return docs.mapInArrow(freeing(scan), schema), name

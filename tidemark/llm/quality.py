@@ -58,6 +58,10 @@ class Measure:
             self._ready = [zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False) for d in found]
         return self._ready
 
+    def release(self) -> None:
+        """Give back the tables of the compressors, some 50 MB; they are made anew when they are needed."""
+        self._ready = None
+
     def sizes(self, raw: bytes) -> tuple[int, int]:
         """Compressed bytes with the good and with the bad dictionary, over all blocks."""
         good, bad = self._compressors()
@@ -105,6 +109,10 @@ class Classifier:
     def __init__(self, measure: Measure | None, weights: np.ndarray | None, prior: float):
         self.measure, self.weights, self.prior = measure, weights, prior
 
+    def release(self) -> None:
+        if self.measure is not None:
+            self.measure.release()
+
     def score(self, text: str | None) -> float:
         if not text or self.measure is None:
             return self.prior
