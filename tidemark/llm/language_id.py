@@ -206,7 +206,7 @@ def labelled_segments(docs: DataFrame, per_language: int = SAMPLE) -> tuple[list
         for batch in batches:
             for doc, text, lang in zip(*(c.to_pylist() for c in batch.columns)):
                 segments, _ = segments_of([text])
-                place = mix(np.arange(len(segments), dtype=np.uint64) + np.uint64(doc & (1 << 62) - 1) * np.uint64(0x9E3779B97F4A7C15))
+                place = mix(np.arange(len(segments), dtype=np.uint64) + np.full(1, doc & (1 << 62) - 1, np.uint64) * np.uint64(0x9E3779B97F4A7C15))
                 at = np.flatnonzero((place >> np.uint64(11)) / float(1 << 53) < keep[lang])
                 yield pa.RecordBatch.from_arrays([pa.array([doc] * len(at), pa.int64()), pa.array(at), pa.array([lang] * len(at), pa.string()), pa.array([segments[i].tobytes() for i in at], pa.binary())], names=["doc_id", "at", "lang", "segment"])
 

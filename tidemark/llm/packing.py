@@ -45,6 +45,8 @@ WINDOW = 2048
 END_ID = 1
 #: Remainders of documents in a group.
 GROUP = 1000
+#: Groups that a task reads, one after the other, about 3 MB each.
+GROUPS = 16
 #: One remainder in so many is cut into halves; a piece has at least SMALLEST ids then.
 HALVED, SMALLEST = 4, 4
 #: Ranks of the vocabulary of byte_bpe_50k.json, and its special token.
@@ -216,7 +218,9 @@ def sequences(rows: DataFrame, window: int = WINDOW, pad_id: int = 0, group: int
     """
     rest, full = rows.filter(F.col("length") < window), rows.filter(F.col("length") == window)
     n = max(1, -(-rest.count() // group))
-    dealt = rest.withColumn("group", F.col("draw") % n).groupBy("group").applyInArrow(_grouped(window, pad_id), SEQUENCES)
+    # a task reads GROUPS groups, however many there are
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // GROUPS))
+    dealt = rest.withColumn("group", F.col("draw") % n).repartition(parts, "group").groupBy("group").applyInArrow(_grouped(window, pad_id), SEQUENCES)
     own = F.struct("doc_id", "start", "length", "doc_tokens", F.lit(0).cast("long").alias("offset"))
     alone = full.select(
         F.monotonically_increasing_id().bitwiseOR(F.lit(1 << 62)).alias("sequence_id"), F.col("length").alias("n_tokens"), "ids", F.array(own).alias("pieces")
