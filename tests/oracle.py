@@ -64,7 +64,8 @@ def compare(left: pd.DataFrame, right: pd.DataFrame, rel: float | None = None) -
             x, y = float(p), float(q)
         except ValueError:
             return False
-        return abs(x - y) <= max(rel * max(abs(x), abs(y)), 1.1e-3 if abs(x) > 10 else 1.1e-6)
+        digits = max(len(v.partition(".")[2].partition("e")[0]) for v in (p, q))
+        return abs(x - y) <= max(rel * max(abs(x), abs(y)), 1.1 * 10.0**-digits if "." in p + q and "e" not in p + q else 0.0)
 
     bad = [
         (x, y) for x, y in zip(a, b)

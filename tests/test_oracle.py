@@ -1,4 +1,4 @@
-"""Every query with SQL against DuckDB on the smallest tables."""
+"""Every query with SQL against DuckDB at scale factor 0.01."""
 
 import os
 
@@ -7,7 +7,7 @@ from oracle import check, duck
 
 from tidemark import catalog
 
-FOLDER = "/root/testdata/sf0.001"
+FOLDER = "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the driver's tables")
 SQL = catalog.oracle_sql()
 
