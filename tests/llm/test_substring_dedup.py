@@ -5,7 +5,22 @@ import pytest
 from cases import LONG, empty_docs, odd_docs, random_texts, table
 
 from tidemark.llm import substring_dedup
-from tidemark.llm.substring_dedup import brute_force, remove_repeats, rolling, sliding_min
+from tidemark.llm.substring_dedup import WINDOW, remove_repeats, rolling, sliding_min
+
+
+def brute_force(texts: dict, window: int = WINDOW) -> dict:
+    """Id -> (words, removed, sha256 of the kept words)."""
+    words = {i: (t or "").encode().split() for i, t in texts.items()}
+    seen: dict[tuple, int] = {}
+    for w in words.values():
+        for a in range(len(w) - window + 1):
+            seen[tuple(w[a : a + window])] = seen.get(tuple(w[a : a + window]), 0) + 1
+    out = {}
+    for i, w in words.items():
+        gone = {p for a in range(len(w) - window + 1) if seen[tuple(w[a : a + window])] > 1 for p in range(a, a + window)}
+        kept = b" ".join(x for p, x in enumerate(w) if p not in gone)
+        out[i] = (len(w), len(gone), hashlib.sha256(kept).hexdigest())
+    return out
 
 
 def found(df):

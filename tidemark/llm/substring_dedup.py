@@ -20,7 +20,6 @@ further columns pass through whatever their names.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -292,21 +291,6 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"), F.sha2("_kept", 256).alias("kept_sha256"))
 
 
-def brute_force(texts: dict, window: int = WINDOW) -> dict:
-    """Reference for tests: id -> (words, removed, sha256 of the kept words)."""
-    words = {i: (t or "").encode().split() for i, t in texts.items()}
-    seen: dict[tuple, int] = {}
-    for w in words.values():
-        for a in range(len(w) - window + 1):
-            seen[tuple(w[a : a + window])] = seen.get(tuple(w[a : a + window]), 0) + 1
-    out = {}
-    for i, w in words.items():
-        gone = {p for a in range(len(w) - window + 1) if seen[tuple(w[a : a + window])] > 1 for p in range(a, a + window)}
-        kept = b" ".join(x for p, x in enumerate(w) if p not in gone)
-        out[i] = (len(w), len(gone), hashlib.sha256(kept).hexdigest())
-    return out
-
-
 SQL = rf"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 win AS (SELECT r, i, md5(array_to_string(w[i:i + {WINDOW} - 1], ' ')) AS g FROM (SELECT r, w, unnest(range(1, len(w) - {WINDOW} + 2)) AS i FROM d WHERE len(w) >= {WINDOW})),
