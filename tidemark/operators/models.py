@@ -658,6 +658,8 @@ def silhouette_squared(df: DataFrame, keys: list[str], state: str, features: lis
     (key, state) pairs and meets the rows on (key, salt), so that a hot key is
     many tasks and is summed twice.
     """
+    if not keys:
+        return silhouette_squared(df.withColumn("_all", F.lit(0)), ["_all"], state, features).drop("_all")
     if isinstance(features, str):
         width = df.agg(F.max(F.size(features)).alias("w")).first()["w"] or 0
         x = F.transform(features, lambda v: v.cast("double"))
@@ -670,11 +672,8 @@ def silhouette_squared(df: DataFrame, keys: list[str], state: str, features: lis
         F.avg(_square_sum(F.col("_x"))).alias("sq"),
     )
     per_key = clusters.groupBy(*keys).agg(F.collect_list(F.struct(F.col(state).alias("c"), "n", "mu", "sq")).alias("_cl"))
-    if keys:
-        rows, per_key = salted(rows, per_key)
-        rows = rows.join(per_key, [*keys, SALT])
-    else:
-        rows = rows.withColumn(SALT, F.lit(0)).join(F.broadcast(per_key), F.lit(True))
+    rows, per_key = salted(rows, per_key)
+    rows = rows.join(per_key, [*keys, SALT])
     rows = rows.withColumn("_xx", _square_sum(F.col("_x")))
     dist = F.transform(
         "_cl",
