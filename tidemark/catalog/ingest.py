@@ -272,17 +272,20 @@ _missing |= {f"ret_{n}d": f"ret_{n}d" for n in (3, 5, 10, 21, 63)}
 _missing |= {c: c for c in ("ret_cum_21d", "ret_cum_63d", "raw_close")}
 _missing |= {f"raw_{c}": c for c in ("open", "high", "low", "volume")}
 
-#: Features low in variance, then a walk over the pairs (later, earlier) as a recursion that carries what is gone.
-_SELECTED = query(
-    BARS, LOGS, _RET, f"ok AS (SELECT * FROM f WHERE {_ALL_OK})",
-    "v AS (" + " UNION ALL ".join(f"SELECT series_id, {i} AS i, '{c}' AS feature, var_samp({c}) >= 0.15 AS high FROM ok GROUP BY 1" for i, c in enumerate(PICK)) + ")",
+def selection_sql(feats: list[str], var_min: float, corr_max: float) -> list[str]:
+    """CTEs over ``ok`` (series_id and features of complete rows) that end in ``chosen`` (series_id, i, feature, selected, dropped_as).
+
+    The walk over the pairs (later, earlier) is a recursion that carries what is gone.
+    """
+    return [
+    "v AS (" + " UNION ALL ".join(f"SELECT series_id, {i} AS i, '{c}' AS feature, var_samp({c}) >= {var_min} AS high FROM ok GROUP BY 1" for i, c in enumerate(feats)) + ")",
     "r AS (" + " UNION ALL ".join(
         f"SELECT series_id, {i} AS i, {j} AS j, " + ("1.0::DOUBLE" if i == j else f"abs(corr({a}, {b}))") + " AS r FROM ok GROUP BY 1"
-        for i, a in enumerate(PICK) for j, b in enumerate(PICK)) + ")",
+        for i, a in enumerate(feats) for j, b in enumerate(feats)) + ")",
     "k AS (SELECT r.* FROM r JOIN v a ON a.series_id = r.series_id AND a.i = r.i AND a.high JOIN v b ON b.series_id = r.series_id AND b.i = r.j AND b.high)",
     "s AS (SELECT series_id, i, avg(r) AS strength FROM k GROUP BY 1, 2)",
     """p AS (SELECT k.series_id, k.i, k.j, a.strength > b.strength + 1e-9 AS first_goes, row_number() OVER (PARTITION BY k.series_id ORDER BY k.j, k.i) AS nth
-      FROM k JOIN s a ON a.series_id = k.series_id AND a.i = k.i JOIN s b ON b.series_id = k.series_id AND b.i = k.j WHERE k.i < k.j AND r > 0.6)""",
+      FROM k JOIN s a ON a.series_id = k.series_id AND a.i = k.i JOIN s b ON b.series_id = k.series_id AND b.i = k.j WHERE k.i < k.j AND r > """ + f"{corr_max})",
     """w AS (SELECT DISTINCT series_id, 0::BIGINT AS nth, []::INTEGER[] AS gone FROM v
       UNION ALL SELECT w.series_id, p.nth, CASE WHEN list_contains(gone, p.i) OR list_contains(gone, p.j) THEN gone
         ELSE list_append(gone, CASE WHEN first_goes THEN p.i ELSE p.j END) END FROM w JOIN p ON p.series_id = w.series_id AND p.nth = w.nth + 1)""",
@@ -290,9 +293,15 @@ _SELECTED = query(
     "l AS (SELECT series_id, i, row_number() OVER (PARTITION BY series_id ORDER BY i) AS nth FROM v WHERE NOT high)",
     "n AS (SELECT series_id, count(*) AS n FROM l GROUP BY 1)",
     "o AS (SELECT series_id, bool_or(high) AS any_high FROM v GROUP BY 1)",
-    """SELECT v.series_id, v.feature, NOT any_high OR (high AND NOT list_contains(gone, v.i)) AS selected,
+    """chosen AS (SELECT v.series_id, v.i, v.feature, NOT any_high OR (high AND NOT list_contains(gone, v.i)) AS selected,
       CAST(CASE WHEN NOT any_high THEN 0 WHEN NOT high THEN l.nth WHEN list_contains(gone, v.i) THEN coalesce(n, 0) + list_position(gone, v.i) ELSE 0 END AS INTEGER) AS dropped_as
-      FROM v JOIN e USING (series_id) JOIN o USING (series_id) LEFT JOIN l ON l.series_id = v.series_id AND l.i = v.i LEFT JOIN n ON n.series_id = v.series_id""",
+      FROM v JOIN e USING (series_id) JOIN o USING (series_id) LEFT JOIN l ON l.series_id = v.series_id AND l.i = v.i LEFT JOIN n ON n.series_id = v.series_id)""",
+    ]
+
+
+_SELECTED = query(
+    BARS, LOGS, _RET, f"ok AS (SELECT * FROM f WHERE {_ALL_OK})", *selection_sql(PICK, 0.15, 0.6),
+    "SELECT series_id, feature, selected, dropped_as FROM chosen",
 ).replace("WITH ", "WITH RECURSIVE ", 1)
 
 ORACLES = {

@@ -15,6 +15,8 @@ from ..operators.layout import POS
 from ..operators.packing import number_complete_rows, pack
 from ..session import stage
 from ..sources.tables import daily_bars, table
+from .features import ORACLES as FEATURE_SQL
+from .ingest import selection_sql
 from .sqlparts import query
 from .strategies import SPLITS
 
@@ -189,8 +191,26 @@ QUERIES = {
     "silhouette_squared": q_silhouette,
 }
 
+_feats = ", ".join(OOS_FEATS)
+_known = " AND ".join(f"{c} IS NOT NULL" for c in OOS_FEATS)
+#: Expanding folds of 4 years and 6 months, and what is selected from the complete rows before each.
+_FOLDS = query(
+    f"vol AS ({FEATURE_SQL['features_volatility']})", f"ret AS ({FEATURE_SQL['features_returns']})",
+    f"x AS (SELECT series_id, date, row_number() OVER (PARTITION BY series_id ORDER BY date) - 1 AS pos, {_feats} FROM vol JOIN ret USING (series_id, date))",
+    "cn AS (SELECT series_id, count(*) AS n FROM x GROUP BY 1)",
+    """fo AS (SELECT series_id, CAST(i AS INTEGER) AS fold, CASE WHEN n > 1008 THEN 1008 + 126 * i ELSE n END AS train_hi, n
+      FROM cn, range(0, 2000) t(i) WHERE 1008 + 126 * i < n OR (n <= 1008 AND i = 0))""",
+    f"ok AS (SELECT series_id || '|' || fold AS series_id, {_feats} FROM x JOIN fo USING (series_id) WHERE pos < train_hi AND {_known})",
+    *selection_sql(OOS_FEATS, 1e-4, 0.9),
+    "fk AS (" + " UNION ALL ".join(f"SELECT series_id AS s, '{c}' AS feature, min(pos) FILTER ({c} IS NOT NULL) AS known FROM x GROUP BY 1" for c in OOS_FEATS) + ")",
+    "sl AS (SELECT series_id AS sid, string_agg(feature, ',' ORDER BY i) AS selected, max(known) AS lo FROM chosen JOIN fk USING (feature) "
+    "WHERE selected AND s = split_part(series_id, '|', 1) GROUP BY 1)",
+    "SELECT series_id, fold, train_hi, train_hi AS test_lo, least(train_hi + 126, n) AS test_hi, lo, selected FROM fo JOIN sl ON sid = series_id || '|' || fold",
+).replace("WITH ", "WITH RECURSIVE ", 1)
+
 _vec = "v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings)"
 ORACLES = {
+    "walk_forward_folds": _FOLDS,
     "silhouette_squared": query(
         _vec,
         "p AS (SELECT a.vec_id, a.label, b.label AS other, a.vec_id = b.vec_id AS self, "
