@@ -101,10 +101,10 @@ def drop_scratch_since(spark: SparkSession, mark: int, *kept: str) -> None:
         _made.remove(path)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared scratch folder and read back: a lineage cut that survives lost executors."""
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """``df`` written as Parquet (with the writer's ``options``) in the shared scratch folder and read back: a lineage cut that survives lost executors."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

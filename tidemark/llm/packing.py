@@ -47,6 +47,8 @@ END_ID = 1
 GROUP = 1000
 #: Groups that a task reads, one after the other, about 3 MB each.
 GROUPS = 16
+#: A writer holds a row group in memory; ids do not repeat as whole values, so a dictionary of them is of no use.
+SMALL_BLOCKS = {"parquet.block.size": str(16 << 20), "parquet.enable.dictionary": "false"}
 #: One remainder in so many is cut into halves; a piece has at least SMALLEST ids then.
 HALVED, SMALLEST = 4, 4
 #: Ranks of the vocabulary of byte_bpe_50k.json, and its special token.
@@ -170,7 +172,7 @@ def tokenised(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID,
                     piece = own[at : at + window]
                     rows.append((doc, at, len(piece), len(own), piece.tobytes()))
                     held += len(piece)
-                if held > 1 << 20:
+                if held > 1 << 18:
                     yield out(rows)
                     rows, held = [], 0
             if rows:
@@ -178,7 +180,7 @@ def tokenised(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID,
 
     schema = "draw long, doc_id long, start long, length long, doc_tokens long, ids binary"
     small_batches(docs.sparkSession)
-    return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(freeing(run), schema), "packing-ids")
+    return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(freeing(run), schema), "packing-ids", **SMALL_BLOCKS)
 
 
 def padded(n: int, window: int) -> int:
