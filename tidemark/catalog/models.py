@@ -62,6 +62,19 @@ def q_gmm(spark, sf):
     return out.drop("means", "vars", "start", "trans", "shift", "inv", "active", "scores")
 
 
+def q_kmeans_conditions(spark, sf):
+    """What must vanish at rest: the gap between a centre and the mean of the rows that are nearest to it."""
+    rows, packed, params = _fit("kmeans", ks=(2, 3, 4))(spark, sf)
+    d = len(FEATS)
+    found = md.kmeans_assign(packed, params, KEYS, d).join(params.select("model_id", "k", "means", *KEYS), "model_id")
+    placed = rows.withColumnRenamed(POS, "pos").join(found, [*KEYS, "pos"])
+    own = placed.groupBy(*KEYS, "k", "state").agg(
+        F.count(F.lit(1)).alias("n"), F.array(*[F.avg(c) for c in FEATS]).alias("mean"), F.first(F.slice("means", F.col("state") * d + 1, F.lit(d))).alias("centre")
+    )
+    gap = F.array_max(F.zip_with("mean", "centre", lambda a, b: F.abs(a - b)))
+    return own.groupBy(*KEYS, "k").agg(F.sum("n").alias("n"), F.round(F.max(gap), 3).alias("gap"))
+
+
 def q_kmeans_starts(spark, sf):
     """Inertia of every start of the seeding; the model is the best one."""
     _, _, params = _fit("kmeans", ks=(2, 3, 4))(spark, sf)
@@ -174,6 +187,7 @@ def q_silhouette(spark, sf):
 QUERIES = {
     "kmeans_states": q_kmeans,
     "kmeans_starts": q_kmeans_starts,
+    "kmeans_conditions": q_kmeans_conditions,
     "gmm_models": q_gmm,
     "switching_fits": q_switching,
     "hmm_emissions": q_hmm,
@@ -210,6 +224,11 @@ _FOLDS = query(
 
 _vec = "v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings)"
 ORACLES = {
+    "kmeans_conditions": query(
+        f"vol AS ({FEATURE_SQL['features_volatility']})", f"ret AS ({FEATURE_SQL['features_returns']})",
+        "SELECT series_id, CAST(k AS INTEGER) AS k, count(*) AS n, 0.0::DOUBLE AS gap FROM vol JOIN ret USING (series_id, date), range(2, 5) t(k) "
+        "WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in FEATS) + " GROUP BY 1, 2",
+    ),
     "walk_forward_folds": _FOLDS,
     "silhouette_squared": query(
         _vec,

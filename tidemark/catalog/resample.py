@@ -61,6 +61,15 @@ def q_student(spark, sf):
     return tails.student_t_fit(pools(spark, sf), KEYS)
 
 
+def q_student_conditions(spark, sf):
+    """What must vanish at a maximum of the likelihood: the weighted gaps, and the weighted squares less one."""
+    p = pools(spark, sf)
+    rows = p.join(tails.student_t_fit(p, KEYS).select(*KEYS, "pool", "nu", "loc", "scale"), [*KEYS, "pool"])
+    z = (F.col("r") - F.col("loc")) / F.col("scale")
+    w = F.when(F.col("nu") == float("inf"), 1.0).otherwise((F.col("nu") + 1.0) / (F.col("nu") + z * z))
+    return round_doubles(rows.groupBy(*KEYS, "pool").agg(F.count(F.lit(1)).alias("n"), F.avg(w * z).alias("gap"), (F.avg(w * z * z) - 1.0).alias("spread")), 5)
+
+
 QUERIES = {
     "bootstrap_paths": q_boot,
     "bootstrap_paths_one_state": q_boot_state,
@@ -70,6 +79,7 @@ QUERIES = {
     "path_fan": q_fan,
     "terminal_histogram": q_histogram,
     "student_t_fits": q_student,
+    "student_t_conditions": q_student_conditions,
 }
 
 
@@ -117,6 +127,7 @@ ORACLES = {
     "bootstrap_paths": query(*_BASE, *_draws(-1, [DAYS]), _PATHS, _OUT),
     "bootstrap_paths_one_state": query(*_BASE, *_draws(2, [DAYS]), _PATHS, _OUT),
     "bootstrap_paths_covid": query(*_BASE, *_draws(-1, [DAYS], "(r - m) * (2.5::DOUBLE * 1.2::DOUBLE) + m"), _PATHS, _OUT),
+    "student_t_conditions": query(*_BASE, "SELECT series_id, pool, n, 0.0::DOUBLE AS gap, 0.0::DOUBLE AS spread FROM pn"),
     "stressed_transitions": query(*_BASE, _TM, _stressed("CASE WHEN pool = 0 THEN r - 1.0 ELSE r END"),
                                   "SELECT series_id, from_state, to_state, round(p, 6) + 0.0 AS p FROM sm"),
     "path_stats_by_horizon": query(
